@@ -390,7 +390,41 @@ def _(t):
     )
 
 
-@query("policy_full")
+_TOKS = "regexp_extract_all(x, '[A-Za-z0-9_]+|[^A-Za-z0-9_]+')"
+_BLANK = r"'[\s\v]+'"
+_SPAM = f"""(len(list_filter(list_distinct(string_split(x, '')), lambda c: c <> chr(10) AND c <> chr(13) AND contains(x, repeat(c, 7)))) > 0
+  OR regexp_full_match(x, '[^A-Za-z_]{{0,5}}')
+  OR len(list_filter(range(1, len(tk) - 7), lambda i: regexp_matches(tk[i], '^[A-Za-z0-9_]')
+    AND tk[i + 2] = tk[i] AND tk[i + 4] = tk[i] AND tk[i + 6] = tk[i] AND starts_with(tk[i + 8], tk[i])
+    AND regexp_full_match(tk[i + 1], {_BLANK}) AND regexp_full_match(tk[i + 3], {_BLANK})
+    AND regexp_full_match(tk[i + 5], {_BLANK}) AND regexp_full_match(tk[i + 7], {_BLANK}))) > 0)"""
+
+
+def _sql_group(group: str) -> str:
+    message = fv.POLICY_MESSAGES[group]
+    if group == "spam":
+        return f"CASE WHEN {_SPAM} THEN [{sql.lit(message)}] ELSE [] END"
+    if group == "length":
+        return f"CASE WHEN length({sql.strip('x')}) > 3000 THEN [{sql.lit(message)}] ELSE [] END"
+    return _sql_hits(fv.POLICY_GROUPS[group], message)
+
+
+def _sql_all() -> str:
+    out = "[]"
+    for group in fv.POLICY_GROUPS:
+        out = f"list_concat({out}, {_sql_group(group)})"
+    return out
+
+
+_PROMPTS = f"""WITH q AS (SELECT conv_id, turn, {_PROMPT} AS x FROM conversations),
+    p AS (SELECT *, {_TOKS} AS tk FROM q)"""
+
+
+@query(
+    "policy_full",
+    f"""{_PROMPTS}, v AS (SELECT conv_id, turn, {_sql_all()} AS v FROM p)
+    SELECT conv_id, turn, len(v) = 0 AS passed, coalesce(array_to_string(v, ';'), '') AS violations FROM v""",
+)
 def _(t):
     found = prompts(t).select("conv_id", "turn", policy.full_violations(F.col("prompt")).alias("v"))
     return found.select(
@@ -401,23 +435,18 @@ def _(t):
     )
 
 
-_GROUPS = [g for g, phrases in fv.POLICY_GROUPS.items() if phrases]
-
-
 @query(
     "policy_summary",
-    f"WITH p AS (SELECT {_PROMPT} AS x FROM conversations), h AS ("
+    f"{_PROMPTS}, h AS ("
     + " UNION ALL ".join(
-        f"SELECT {sql.lit(g)} AS category, unnest({_sql_hits(fv.POLICY_GROUPS[g], fv.POLICY_MESSAGES[g])}) AS message FROM p"
-        for g in _GROUPS
+        f"SELECT {sql.lit(g)} AS category, unnest({_sql_group(g)}) AS message FROM p"
+        for g in fv.POLICY_GROUPS
     )
-    + f""" UNION ALL SELECT 'length', {sql.lit(fv.POLICY_MESSAGES['length'])} FROM p WHERE length({sql.strip('x')}) > 3000)
-    SELECT category, message, count(*) AS n FROM h GROUP BY ALL""",
+    + ") SELECT category, message, count(*) AS n FROM h GROUP BY ALL",
 )
 def _(t):
     found = prompts(t).select(F.explode(policy.full_violations(F.col("prompt"))).alias("v"))
     by_kind = found.groupBy(
         F.col("v.category").alias("category"), F.col("v.message").alias("message")
     )
-    # spam needs back references, which the twin lacks: it is tested against brute force
-    return by_kind.agg(F.count("*").alias("n")).filter(F.col("category") != "spam")
+    return by_kind.agg(F.count("*").alias("n"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -27,16 +26,19 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_local_scratch: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
+    """A new folder under the cluster's shared checkpoint folder, ``spark.checkpoint.dir``.
 
-    The folder is read from ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a temporary folder is made and set.
+    Only where that is unset, as in tests on one machine, a temporary folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.environ.get("PAGEMILL_SCRATCH") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _local_scratch:
+            _local_scratch.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        base = _local_scratch[0]
     return f"{base.rstrip('/')}/pagemill/{name}-{uuid.uuid4().hex}"
 
 
