@@ -55,6 +55,16 @@ def _fix(text: str) -> str:
     return unicodedata.normalize("NFC", _CONTROL.sub("", text))
 
 
+def _settle(text: str) -> str:
+    """Repair and NFKC until nothing changes: compatibility forms may hide entities."""
+    for _ in range(3):
+        repaired = unicodedata.normalize("NFKC", _fix(text))
+        if repaired == text:
+            break
+        text = repaired
+    return text
+
+
 @F.pandas_udf(T.StringType())
 def _fix_udf(texts: pd.Series) -> pd.Series:
     return texts.map(_fix, na_action="ignore")
@@ -67,7 +77,7 @@ def _nfkc_udf(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def _fix_nfkc_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: unicodedata.normalize("NFKC", _fix(t)), na_action="ignore")
+    return texts.map(_settle, na_action="ignore")
 
 
 _PRINTABLE = r"\A[\x20-\x25\x27-\x7e\t\n\f]*\z"

@@ -55,7 +55,7 @@ def first_positions(keys: Column) -> Column:
 
     Sorting (key, position) pairs keeps the work at n log n per row and needs no shuffle.
     """
-    pairs = F.array_sort(
+    pairs = F.sort_array(
         F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i")))
     )
 
@@ -64,7 +64,7 @@ def first_positions(keys: Column) -> Column:
             ordered,
             lambda pair, j: (j == 0) | (F.get(ordered, j - 1)["k"] != pair["k"]),
         )
-        return F.array_sort(F.transform(firsts, lambda pair: pair["i"]))
+        return F.sort_array(F.transform(firsts, lambda pair: pair["i"]))
 
     return let(pairs, pick)
 

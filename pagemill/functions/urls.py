@@ -106,7 +106,7 @@ def canonicalize_url(url: Column) -> Column:
         _trim_path(path_of(u)),
     )
     query = F.when(query_of(u) == "", F.lit("")).otherwise(
-        _join_query(F.array_sort(query_items(u)))
+        _join_query(F.sort_array(query_items(u)))
     )
     return _with_query(base, query)
 

@@ -25,6 +25,7 @@ DOCUMENT_FIELDS = [
 ]
 EXTRA_FIELDS = {
     "visible_text": T.StructField("visible_text", S),
+    "body_text": T.StructField("body_text", S),
     "links": T.StructField("links", T.ArrayType(S)),
     "needs_render": T.StructField("needs_render", T.BooleanType()),
 }
@@ -57,6 +58,10 @@ def read_pages(
                 found["needs_render"] = not html.strip() or dom.needs_render(dom.build(html))
             if documents:
                 found.update(dom.document(dom.build(html), strip_boilerplate))
+            if "body_text" in extras:
+                root = dom.build(html)
+                dom.drop_boilerplate(root)
+                found["body_text"] = dom.body_of(root).text()
             if "visible_text" in extras:
                 found["visible_text"] = dom.visible_text(dom.build(html))
             return found

@@ -208,7 +208,7 @@ def conversations_with_messages(
     """
     paged = messages.withColumn("page", F.floor(F.col("turn") / page_size).cast("int"))
     nested = paged.groupBy("conversation_id", "page").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("messages")
+        F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("messages")
     )
     joined = conversations.join(nested, F.col("id") == F.col("conversation_id"), "left")
     return joined.drop("conversation_id").withColumn("page", F.coalesce("page", F.lit(0)))

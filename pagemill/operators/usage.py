@@ -198,7 +198,7 @@ def dashboard(
     activity = top.groupBy(F.col("owner_id").alias("user_id")).agg(
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.struct("_rn", "display_name"))),
+                F.sort_array(F.collect_list(F.struct("_rn", "display_name"))),
                 lambda w: w["display_name"],
             ),
             "|",

@@ -64,7 +64,7 @@ def _(t):
 )
 def _(t):
     return _texts(t).select(
-        "doc_id", F.array_join(F.array_sort(text.keywords(F.col("text"))), " ").alias("keywords")
+        "doc_id", F.array_join(F.sort_array(text.keywords(F.col("text"))), " ").alias("keywords")
     )
 
 
@@ -80,7 +80,7 @@ def _(t):
     return grams.select(
         "doc_id",
         F.size("g").alias("n"),
-        text.sha256(F.array_join(F.array_sort("g"), "|")).alias("digest"),
+        text.sha256(F.array_join(F.sort_array("g"), "|")).alias("digest"),
     )
 
 
@@ -184,10 +184,19 @@ def _(t):
     return _texts(t).select("doc_id", text.collapse_ws(F.col("text")).alias("flat"))
 
 
-@query("text_fix_encoding")
+def _garbled():
+    """The text as a reader that takes UTF-8 for Latin-1 would see it."""
+    return F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+
+
+@query(
+    "text_fix_encoding",
+    "SELECT doc_id, text AS fixed, regexp_matches(text, '[^\\x00-\\x7f]') AS changed FROM documents",
+)
 def _(t):
-    fixed = _texts(t).select("doc_id", "text", repair.fix_encoding(F.col("text")).alias("fixed"))
-    return fixed.select("doc_id", "fixed", (F.col("fixed") != F.col("text")).alias("changed"))
+    fixed = _texts(t).select("doc_id", _garbled().alias("raw"))
+    fixed = fixed.withColumn("fixed", repair.fix_encoding(F.col("raw")))
+    return fixed.select("doc_id", "fixed", (F.col("fixed") != F.col("raw")).alias("changed"))
 
 
 @query("text_nfkc", "SELECT doc_id, nfc_normalize(text) AS normal FROM documents")
@@ -216,10 +225,15 @@ def _(t):
     return _texts(t).select("doc_id", text.normalize_whitespace(F.col("text")).alias("clean"))
 
 
-@query("text_normalize")
+@query(
+    "text_normalize",
+    f"""SELECT doc_id, {_whitespace('nfc_normalize(text)')} AS clean, {_whitespace('nfc_normalize(text)')} <> text
+      OR regexp_matches(text, '[^\\x00-\\x7f]') AS changed FROM documents""",
+)
 def _(t):
-    normal = _texts(t).select("doc_id", "text", repair.normalize_text(F.col("text")).alias("clean"))
-    return normal.select("doc_id", "clean", (F.col("clean") != F.col("text")).alias("changed"))
+    normal = _texts(t).select("doc_id", _garbled().alias("raw"))
+    normal = normal.withColumn("clean", repair.normalize_text(F.col("raw")))
+    return normal.select("doc_id", "clean", (F.col("clean") != F.col("raw")).alias("changed"))
 
 
 _LINE_LIST = f"list_transform(string_split_regex(text, '\\r\\n|[\\n\\r\\v\\f]'), lambda l: {sql.strip('l')})"

@@ -201,7 +201,7 @@ def robots_bodies(t):
         F.concat(F.lit("Allow: "), folder)
     )
     lines = t.pages.select(urls.host_of(url_col()).alias("host"), "page_id", rule.alias("rule"))
-    listed = lines.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("page_id", "rule"))).alias("r"))
+    listed = lines.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("page_id", "rule"))).alias("r"))
     return listed.select(
         "host",
         F.concat(
@@ -259,7 +259,7 @@ def sitemap_bodies(t):
         F.lit("</priority></url>"),
     )
     sets = pages.groupBy("host", "folder").agg(
-        F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))).alias("es")
+        F.sort_array(F.collect_list(F.struct("page_id", entry.alias("e")))).alias("es")
     )
     leaf_url = F.concat(F.lit("https://"), F.col("host"), F.lit("/"), F.col("folder"), F.lit("/sitemap.xml"))
     leaves = sets.select(
@@ -270,7 +270,7 @@ def sitemap_bodies(t):
             F.lit("</urlset>"),
         ).alias("body"),
     )
-    named = sets.groupBy("host").agg(F.array_sort(F.collect_set(leaf_url)).alias("ls"))
+    named = sets.groupBy("host").agg(F.sort_array(F.collect_set(leaf_url)).alias("ls"))
     indexes = named.select(
         F.concat(F.lit("https://"), F.col("host"), F.lit("/sitemap_index.xml")).alias("url"),
         F.concat(
