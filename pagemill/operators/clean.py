@@ -92,7 +92,7 @@ def clean_documents(
     """Parsed documents (with 1-based ``pos``) to accepted and rejected ones, told by ``reason``.
 
     ``gates`` switches the length and duplicate rejects (off on the incremental path).  The cleaned
-    text is written once before de-duplication reads it twice.
+    text is written once, before the rejects and the duplicate check read it several times.
     """
     cleaned = add_clean_text(parsed).select(
         "pos",
@@ -101,19 +101,19 @@ def clean_documents(
         normalize_text(text_or_empty(F.col("title"))).alias("title"),
         text_or_empty(F.col("content")).alias("content"),
         "cleaned_content",
-        F.length("cleaned_content").alias("content_length"),
         F.lit("en").alias("language"),
         "encoding_fixed",
         "repeated_lines_removed",
         "duplicate_paragraphs_removed",
     )
+    if materialize:
+        cleaned = cut_lineage(cleaned, "cleaned")
+    cleaned = cleaned.withColumn("content_length", F.length("cleaned_content"))
     if not gates:
         empty = strip(F.col("cleaned_content")) == ""
         reason = F.when(empty, F.lit(fv.REJECT_EMPTY_DOCUMENT)).otherwise("")
         return cleaned.withColumns({"reason": reason, "duplicate_of": F.lit("")})
     judged = cleaned.withColumn("reason", reject_reason(F.col("cleaned_content")))
-    if materialize:
-        judged = cut_lineage(judged, "cleaned")
     return drop_duplicates(judged)
 
 
