@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagemill import fixed_values as fv
 
@@ -54,32 +54,48 @@ def split_text(text: str, limit: int, overlap: int, separators: list[str] | None
     return [t for chunk in out if (t := chunk.strip())]
 
 
-def splitter(load_tokenizer: Callable[[], object] | None = None) -> Callable[..., Column]:
-    """UDF (texts, size, overlap) -> pieces of each text.
+def _token_windows(piece: str, size: int, overlap: int, tokenizer) -> list[str]:
+    ids = tokenizer.encode(piece)
+    if len(ids) <= size:
+        return [piece]
+    step = max(size - overlap, 1)
+    cut = (tokenizer.decode(ids[i : i + size]).strip() for i in range(0, len(ids), step))
+    return [c for c in cut if c]
+
+
+def split_texts(
+    df: DataFrame,
+    texts: str,
+    size: str,
+    overlap: str,
+    into: str = "pieces",
+    load_tokenizer: Callable[[], object] | None = None,
+) -> DataFrame:
+    """Add ``into``: for every text of the array ``texts`` the array of its pieces.
 
     Sizes are in tokens at four characters each.  A tokenizer with ``encode`` and ``decode``, loaded
-    once per Python worker, re-splits pieces over the token budget by sliding token windows; the
+    once per task, re-splits pieces over the token budget by sliding token windows; the
     length-based estimate never exceeds the budget.
     """
-    def windows(piece: str, size: int, overlap: int, tokenizer) -> list[str]:
-        ids = tokenizer.encode(piece)
-        if len(ids) <= size:
-            return [piece]
-        step = max(size - overlap, 1)
-        cut = (tokenizer.decode(ids[i : i + size]).strip() for i in range(0, len(ids), step))
-        return [c for c in cut if c]
-
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def split(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    nested = T.ArrayType(T.ArrayType(T.StringType()))
+    schema = T.StructType([*df.schema.fields, T.StructField(into, nested)])
+    arrow = to_arrow_type(nested)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer() if load_tokenizer else None
         width = fv.CHARS_PER_TOKEN
-        for texts, sizes, overlaps in batches:
+        for batch in batches:
             rows = []
-            for items, size, overlap in zip(texts, sizes, overlaps):
-                pieces = [split_text(t or "", size * width, overlap * width) for t in items]
+            columns = [batch.column(c).to_pylist() for c in (texts, size, overlap)]
+            for items, n, m in zip(*columns):
+                pieces = [split_text(t or "", n * width, m * width) for t in items or []]
                 if tokenizer is not None:
-                    pieces = [[w for p in ps for w in windows(p, size, overlap, tokenizer)] for ps in pieces]
+                    pieces = [
+                        [w for p in ps for w in _token_windows(p, n, m, tokenizer)] for ps in pieces
+                    ]
                 rows.append(pieces)
-            yield pd.Series(rows)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(rows, arrow)], names=[*batch.schema.names, into]
+            )
 
-    return split
+    return df.mapInArrow(run, schema)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagemill import fixed_values as fv
 from pagemill.functions import text
 from pagemill.functions.repair import fix_encoding
-from pagemill.functions.split import splitter
+from pagemill.functions.split import split_texts
 from pagemill.functions.text import WS, estimate_tokens, let, lines, strip, text_or_empty
 from pagemill.operators.dedup import is_first, with_first
 from pagemill.session import cut_lineage
@@ -219,6 +219,14 @@ def dedup_in_document(fact_array: Column, section_chunks: Column) -> Column:
     return let(tagged, merge)
 
 
+def repair_documents(documents: DataFrame) -> DataFrame:
+    """Encoding repair for documents that did not come from the cleaning stage, which repairs them."""
+    fixed = documents.withColumns(
+        {c: fix_encoding(F.col(c)) for c in ("content", "title", "section_heading")}
+    )
+    return cut_lineage(fixed.select(documents.columns), "repaired")
+
+
 def split_documents(
     documents: DataFrame,
     size: int = fv.DEFAULT_CHUNK_SIZE,
@@ -227,14 +235,12 @@ def split_documents(
     load_tokenizer: Callable[[], object] | None = None,
 ) -> DataFrame:
     """One row per chunk of every document, before rejection, with its 1-based ``index``."""
-    split = splitter(load_tokenizer)
     fallback = F.coalesce(F.nullif("section_heading", F.lit("")), text_or_empty(F.col("title")))
-    title = F.coalesce(F.nullif(text_or_empty(F.col("title")), F.lit("")), fallback)
     step = documents.withColumns(
         {
-            "_title": fix_encoding(title),
-            "_text": fix_encoding(F.col("content")),
-            "_fallback": fix_encoding(fallback),
+            "_text": text_or_empty(F.col("content")),
+            "_fallback": fallback,
+            "_title": F.coalesce(F.nullif(text_or_empty(F.col("title")), F.lit("")), fallback),
             "_settings": chunk_settings(F.col("category"), size, overlap),
         }
     )
@@ -255,23 +261,26 @@ def split_documents(
             "_sections": contextual(merge_small(sections(F.col("_paras"), F.col("_fallback")))),
         }
     )
-    step = step.withColumn(
-        "_pieces",
-        split(F.col("_sections.content"), F.col("_settings.size"), F.col("_settings.overlap")),
+    columns = [c for c in documents.columns if c != "content"]
+    prepared = step.select(
+        *columns,
+        "_facts",
+        F.col("_sections.heading").alias("_headings"),
+        F.col("_sections.content").alias("_texts"),
+        F.col("_settings.size").alias("chunk_size"),
+        F.col("_settings.overlap").alias("_overlap"),
     )
+    pieces = split_texts(prepared, "_texts", "chunk_size", "_overlap", "_pieces", load_tokenizer)
     headed = F.flatten(
         F.transform(
-            F.arrays_zip(F.col("_sections.heading").alias("heading"), F.col("_pieces").alias("pieces")),
+            F.arrays_zip(F.col("_headings").alias("heading"), F.col("_pieces").alias("pieces")),
             lambda z: F.transform(
                 z["pieces"], lambda c: F.struct(z["heading"].alias("heading"), c.alias("content"))
             ),
         )
     )
-    step = step.withColumn("_chunks", dedup_in_document(F.col("_facts"), headed))
-    columns = [c for c in documents.columns if c != "content"]
-    exploded = step.select(
-        *columns, F.col("_settings.size").alias("chunk_size"), F.posexplode("_chunks").alias("_i", "_c")
-    )
+    chunks = dedup_in_document(F.col("_facts"), headed)
+    exploded = pieces.select(*columns, "chunk_size", F.posexplode(chunks).alias("_i", "_c"))
     rows = exploded.select(
         *columns,
         "chunk_size",
