@@ -23,26 +23,36 @@ _PLAIN = str.maketrans({
 })
 # fixed values: control characters that carry no text
 _CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f﻿￹-￻]")
-# a lead byte and a continuation byte of UTF-8, read as Windows-1252 or Latin-1
-_MOJIBAKE = re.compile(
-    "[\xc2-\xf4][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹Œ"
-    "Ž‘’“”•–—˜™š›œžŸ]"
-)
+
+
+def _byte_table() -> dict[int, int]:
+    """Windows-1252 characters to their bytes; bytes without a character stand for themselves."""
+    table = {}
+    for b in range(0x80, 0xA0):
+        table[b] = b
+        try:
+            table[ord(bytes([b]).decode("cp1252"))] = b
+        except UnicodeDecodeError:
+            pass
+    return table
+
+
+_BYTES = _byte_table()
+_TAIL = "[\x80-\xbf" + "".join(chr(c) for c in _BYTES if c > 0xFF) + "]"
+# UTF-8 of two, three or four bytes, read as Windows-1252 or Latin-1
+_MOJIBAKE = re.compile(f"[\xc2-\xdf]{_TAIL}|[\xe0-\xef]{_TAIL}{{2}}|[\xf0-\xf4]{_TAIL}{{3}}")
 
 
 def _unmix(text: str) -> str:
-    """Undo UTF-8 that was read as Windows-1252 or Latin-1, as often as it applies."""
-    while _MOJIBAKE.search(text):
-        for codec in ("cp1252", "latin-1"):
-            try:
-                repaired = text.encode(codec).decode("utf-8")
-            except UnicodeError:
-                continue
-            break
-        else:
-            return text
-        if repaired == text:
-            return text
+    """Undo UTF-8 that was read with a one-byte code, as often as it applies."""
+    def decode(match: re.Match) -> str:
+        run = match.group()
+        try:
+            return run.translate(_BYTES).encode("latin-1").decode("utf-8")
+        except UnicodeError:
+            return run
+
+    while (repaired := _MOJIBAKE.sub(decode, text)) != text:
         text = repaired
     return text
 

@@ -281,8 +281,8 @@ def confidence(accepted: DataFrame) -> DataFrame:
         scores.confidence_label(value).alias("confidence_label"),
         F.struct(*percent.values()).alias("confidence_factors"),
         F.col("n").alias("accepted_chunks"),
-        F.bround("s", 4).alias("avg_semantic_score"),
-        F.bround(F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.col("n"), 4).alias("avg_rerank_score"),
+        F.col("s").alias("avg_semantic_score"),
+        (F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("avg_rerank_score"),
     )
 
 
@@ -353,7 +353,10 @@ def is_bad_answer(answer: Column) -> Column:
 
 
 def answer_metrics(input_tokens: Column, output_tokens: Column, generation_ms: Column) -> Column:
-    """Token totals and throughput; latencies come from whoever ran the model."""
+    """Token totals, throughput, chunk counts and mean scores of a result row.
+
+    Latencies come from whoever ran the model.
+    """
     rate = F.when(
         generation_ms > 0,
         F.bround(output_tokens / F.greatest(generation_ms / 1000.0, F.lit(1e-6)), 2),
@@ -363,6 +366,10 @@ def answer_metrics(input_tokens: Column, output_tokens: Column, generation_ms: C
         output_tokens.alias("output_tokens"),
         (input_tokens + output_tokens).alias("total_tokens"),
         rate.alias("throughput_tokens_per_sec"),
+        F.col("retrieved_chunks").alias("retrieved_chunks"),
+        F.col("accepted_chunks").alias("accepted_chunks"),
+        F.bround("avg_semantic_score", 4).alias("avg_semantic_score"),
+        F.bround("avg_rerank_score", 4).alias("avg_rerank_score"),
     )
 
 

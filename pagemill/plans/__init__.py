@@ -7,12 +7,18 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
 
+# little data, much work per row: these must not run in one task because they sit in one file
+TEXT_TABLES = {"documents", "pages", "conversations", "embeddings"}
+
+
 class Tables:
     """Attribute access to the given parquet tables of one folder."""
 
@@ -23,7 +29,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
 
 @dataclass(frozen=True)

@@ -14,8 +14,8 @@ from pagemill.plans.url_queries import CANON
 
 
 def _decode(x: str) -> str:
-    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        x = f"replace({x}, '{entity}', '{char}')"
+    for entity, char in (("&quot;?", '"'), ("&copy;?", "©"), ("&middot;?", "·"), ("&amp;?", "&")):
+        x = f"regexp_replace({x}, '{entity}', '{char}', 'g')"
     return x
 
 

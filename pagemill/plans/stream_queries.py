@@ -12,13 +12,23 @@ from pagemill.streaming import usage as stream_usage
 from pagemill.streaming.indexer import SiteIndexer
 
 
-def page_files(t, files: int = 4) -> str:
-    """The page table as several files in id order, so that a stream has several batches."""
+def page_files(t, files: int = 2) -> str:
+    """The page table in files that arrive in id order, so that a stream has ordered batches."""
     path = scratch_dir(t.spark, "page-files")
-    t.pages.repartitionByRange(files, "page_id").write.parquet(path)
+    write_page_files(t, path, files)
     return path
 
 
+def write_page_files(t, path: str, files: int, between=lambda: None) -> None:
+    staged = scratch_dir(t.spark, "staged")
+    t.pages.repartitionByRange(files, "page_id").write.parquet(staged)
+    parts = t.spark.read.parquet(staged).withColumn("_file", F.input_file_name())
+    names = [r[0] for r in parts.groupBy("_file").agg(F.min("page_id").alias("m")).orderBy("m").collect()]
+    for name in names:
+        t.spark.read.parquet(name).coalesce(1).write.mode("append").parquet(path)
+        between()
+
+
 def indexer(t, name: str = "index") -> SiteIndexer:
     return SiteIndexer(t.spark, scratch_dir(t.spark, name), "website_pages")
 
@@ -33,22 +43,17 @@ _GATED = f"""WITH {PARSED}, probed AS (SELECT page_id, url, content, {_DECLARED}
 
 @query("stream_index", f"{_GATED} SELECT DISTINCT {CANON} AS source_url FROM gated WHERE english")
 def _(t):
-    done = indexer(t).run(page_files(t), files_per_batch=2)
+    done = indexer(t).run(page_files(t), files_per_batch=1)
     return done.vectors().read().select(F.col("metadata.source_url").alias("source_url")).distinct()
 
 
 @query("stream_resume", f"{_GATED} SELECT DISTINCT {CANON} AS source_url FROM gated WHERE english")
 def _(t):
-    """Two files, a stop, the rest, and a third run that finds nothing new."""
+    """A run after each of two files, and one more that finds nothing new."""
     path = scratch_dir(t.spark, "page-files")
-    pages = t.pages.repartitionByRange(2, "page_id").cache()
-    half = F.spark_partition_id() == 0
-    pages.filter(half).write.parquet(path)
     job = indexer(t, "resume")
+    write_page_files(t, path, 2, between=lambda: job.run(path))
     job.run(path)
-    pages.filter(~half).write.mode("append").parquet(path)
-    job.run(path).run(path)
-    pages.unpersist()
     return job.vectors().read().select(F.col("metadata.source_url").alias("source_url")).distinct()
 
 
@@ -110,7 +115,7 @@ def _(t):
     f"""{_GATED} SELECT count(*) AS pages, count(*) FILTER (english) AS english, count(*) FILTER (NOT english) AS non_english, 0 AS failed FROM gated""",
 )
 def _(t):
-    done = indexer(t, "summary").run(page_files(t, 3), files_per_batch=2)
+    done = indexer(t, "summary").run(page_files(t), files_per_batch=1)
     return done.summary().select("pages", "english", "non_english", "failed")
 
 
@@ -121,7 +126,6 @@ def _(t):
 def _(t):
     path, out = scratch_dir(t.spark, "event-files"), scratch_dir(t.spark, "daily")
     t.events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
-    # one batch per drain keeps the order of days: files of one write carry no order of their own
     stream_usage.start_daily(t.spark, path, out).awaitTermination()
     rows = stream_usage.read_daily(t.spark, out)
     return rows.select("user_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "queries", "tokens")

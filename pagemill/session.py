@@ -49,6 +49,12 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for an input of fewer splits than cores; larger inputs stay as they are."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 def salt_buckets(spark: SparkSession) -> int:
     """How many ways a hot group is spread: as wide as a shuffle."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
