@@ -16,7 +16,7 @@ from pagemill.functions import text
 from pagemill.functions.repair import fix_encoding
 from pagemill.functions.split import split_texts
 from pagemill.functions.text import WS, estimate_tokens, let, lines, strip, text_or_empty
-from pagemill.operators.dedup import is_first, with_first
+from pagemill.operators.dedup import repeats
 from pagemill.session import cut_lineage
 
 _SECTION = "array<struct<heading:string,content:string>>"
@@ -319,6 +319,7 @@ def chunk_documents(
     )
     if not gates:
         return chunks.withColumn("reason", F.lit(""))
+    chunks = chunks.withColumn("fingerprint", text.fingerprint(F.col("content")))
     if materialize:
         chunks = cut_lineage(chunks, "chunks")
     return drop_duplicate_chunks(chunks)
@@ -327,11 +328,12 @@ def chunk_documents(
 def drop_duplicate_chunks(chunks: DataFrame, order: list[str] | None = None) -> DataFrame:
     """First chunk of every fingerprint stays; later ones are rejected."""
     order = order or ["pos", "index"]
-    usable = F.col("reason") == ""
-    keyed = chunks.withColumn("_fp", text.fingerprint(F.col("content")))
-    marked = with_first(keyed, ["_fp"], order, where=usable)
-    reason = F.when(usable & ~is_first(order), fv.REJECT_DUPLICATE_CHUNK).otherwise(F.col("reason"))
-    return marked.withColumn("reason", reason).drop("_fp", "_first", "_n")
+    known = "fingerprint" in chunks.columns
+    keyed = chunks if known else chunks.withColumn("fingerprint", text.fingerprint(F.col("content")))
+    later = repeats(keyed, ["fingerprint"], order, where=F.col("reason") == "")
+    marked = chunks.drop("fingerprint").join(later, order, "left")
+    reason = F.when(F.col("_first").isNotNull(), fv.REJECT_DUPLICATE_CHUNK).otherwise(F.col("reason"))
+    return marked.withColumn("reason", reason).drop("_first")
 
 
 def chunk_summary(chunks: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pagemill import fixed_values as fv
 from pagemill.functions import text
 from pagemill.functions.repair import normalize_text
 from pagemill.functions.text import let, strip, text_or_empty
-from pagemill.operators.dedup import is_first, with_first
+from pagemill.operators.dedup import repeats
 from pagemill.session import cut_lineage
 
 
@@ -74,16 +74,17 @@ def drop_duplicates(documents: DataFrame, order: str = "pos") -> DataFrame:
 
     Needs ``cleaned_content``, ``reason``, ``url`` and the unique ``order`` key.
     """
-    usable = F.col("reason") == ""
-    keyed = documents.withColumn("_fp", text.fingerprint(F.col("cleaned_content")))
-    marked = with_first(keyed, ["_fp"], [order], carry=["url"], where=usable)
-    repeat = usable & ~is_first([order])
+    known = "fingerprint" in documents.columns
+    keyed = documents if known else documents.withColumn("fingerprint", text.fingerprint(F.col("cleaned_content")))
+    later = repeats(keyed, ["fingerprint"], [order], carry=["url"], where=F.col("reason") == "")
+    marked = documents.drop("fingerprint").join(later, order, "left")
+    repeat = F.col("_first").isNotNull()
     return marked.withColumns(
         {
             "duplicate_of": F.when(repeat, F.col("_first.url")).otherwise(F.lit("")),
             "reason": F.when(repeat, F.lit(fv.REJECT_DUPLICATE_DOCUMENT)).otherwise(F.col("reason")),
         }
-    ).drop("_fp", "_first", "_n")
+    ).drop("_first")
 
 
 def clean_documents(
@@ -107,7 +108,9 @@ def clean_documents(
         "duplicate_paragraphs_removed",
     )
     if materialize:
-        cleaned = cut_lineage(cleaned, "cleaned")
+        # the text is written with its fingerprint, so that later steps read no more than they need
+        mark = text.fingerprint(F.col("cleaned_content"))
+        cleaned = cut_lineage(cleaned.withColumn("fingerprint", mark) if gates else cleaned, "cleaned")
     cleaned = cleaned.withColumn("content_length", F.length("cleaned_content"))
     if not gates:
         empty = strip(F.col("cleaned_content")) == ""

@@ -51,6 +51,24 @@ def is_first(order: list[str]) -> Column:
     return out
 
 
+def repeats(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    carry: list[str] | None = None,
+    where: Column | None = None,
+) -> DataFrame:
+    """(order, _first) of the rows that are not their key's first.
+
+    Only these narrow columns are shuffled.  Wide rows then take the result by ``order``, which is
+    unique and so never skewed, and which Spark broadcasts when there are few repeats.
+    """
+    narrow = df if where is None else df.filter(where)
+    narrow = narrow.select(*dict.fromkeys([*keys, *order, *(carry or [])]))
+    marked = with_first(narrow, keys, order, carry)
+    return marked.filter(~is_first(order)).select(*order, "_first")
+
+
 def keep_first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row of every key in ``order``; whole rows travel once, combined on the map side."""
     rest = [c for c in df.columns if c not in keys]

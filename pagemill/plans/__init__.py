@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.session import spread
+from pagemill.session import ship_package, spread
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -23,7 +23,7 @@ class Tables:
     """Attribute access to the given parquet tables of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark = spark
+        self.spark = ship_package(spark)
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +25,21 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        home = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(f"{folder}/{home.name}", "zip", home.parent, home.name))
+        _shipped.add(context.applicationId)
+    return spark
 
 
 _local_scratch: list[str] = []
