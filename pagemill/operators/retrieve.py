@@ -185,7 +185,7 @@ def skip_rerank(sub_count: Column, enabled: bool = True) -> Column:
     """Per question: one sub-question whose first candidate already scores high."""
     per_question = Window.partitionBy("question_id")
     top = F.max(F.when(F.col("cand_pos") == 1, F.col("semantic_score"))).over(per_question)
-    return F.lit(not enabled) | ((sub_count == 1) & (top > fv.SKIP_RERANK_ABOVE))
+    return F.lit(not enabled) | ((sub_count == 1) & F.coalesce(top > fv.SKIP_RERANK_ABOVE, F.lit(False)))
 
 
 def rank_text() -> Column:

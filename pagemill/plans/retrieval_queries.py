@@ -66,11 +66,12 @@ def scored(t):
     """Candidates with chunk, skip flag and pair score; keywords are taken once per text."""
     from pagemill.functions import text
 
-    questions = question_rows(t).select("question_id", "subs", text.keywords(F.col("text")).alias("qk"))
+    questions = question_rows(t).select("question_id", text.keywords(F.col("text")).alias("qk"))
     chunks = chunk_rows(t)
     chunks = chunks.withColumn("ck", text.keywords(retrieve.rank_text()))
-    joined = cands(t).join(chunks, "chunk_id").join(questions, "question_id")
-    flagged = joined.withColumn("skip", retrieve.skip_rerank(F.col("subs")))
+    counted = asked(t).groupBy(F.col("question_id").cast("string").alias("question_id")).agg(F.count("*").alias("subs"))
+    found = cands(t).join(counted, "question_id").withColumn("skip", retrieve.skip_rerank(F.col("subs")))
+    flagged = found.join(chunks, "chunk_id").join(questions, "question_id")
     raw = F.when(~F.col("skip"), text.overlap(F.col("qk"), F.col("ck")))
     return flagged.withColumn("raw_score", raw).drop("qk", "ck")
 
@@ -181,7 +182,9 @@ def _(t):
 
 @query("rank_skip_rule", f"WITH {SCORED} SELECT question_id, bool_or(skip) AS skip, count(*) AS candidates FROM flagged GROUP BY 1")
 def _(t):
-    return scored(t).groupBy("question_id").agg(F.bool_or("skip").alias("skip"), F.count("*").alias("candidates"))
+    counted = asked(t).groupBy(F.col("question_id").cast("string").alias("question_id")).agg(F.count("*").alias("subs"))
+    flagged = cands(t).join(counted, "question_id").withColumn("skip", retrieve.skip_rerank(F.col("subs")))
+    return flagged.groupBy("question_id").agg(F.bool_or("skip").alias("skip"), F.count("*").alias("candidates"))
 
 
 @query("rank_text", f"WITH {DOCS} SELECT 'v' || doc_id AS chunk_id, rank_text FROM rtexts")
