@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,10 +49,12 @@ _local_scratch: list[str] = []
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared checkpoint folder, ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder stands in.
+    Where that is unset, a cluster is refused; only on one machine a temporary folder stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _local_scratch:
             _local_scratch.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         base = _local_scratch[0]
