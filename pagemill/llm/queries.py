@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import token_counts, url_rules
+from pagemill.llm import simhash, token_counts, url_rules
 from pagemill.llm.batches import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ SQL_URL = """WITH parts AS (SELECT page_id,
       AND starts_with(path, r_path)), 'allow') AS verdict FROM parts"""
 
 
+@query("op2_simhash_near_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op5_url_rules", SQL_URL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     rules = prepare(spark).createDataFrame(URL_RULES, "host string, path string, verdict string")
