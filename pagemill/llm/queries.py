@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagemill.llm import simhash, token_counts, url_rules
+from pagemill.llm import language_models, simhash, token_counts, url_rules
 from pagemill.llm.batches import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +62,16 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op8_language_models")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    fold = language_models.training_fold(F.col("doc_id"))
+    classifier = language_models.train(docs.filter(fold != 2))
+    judged = language_models.identify(docs, classifier)
+    held_out = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
+    return judged.select("doc_id", held_out, "lang_pred", "score", "entropy", "rejected")
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
