@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import language_models, simhash, token_counts, url_rules
+from pagemill.llm import language_models, secret_scan, simhash, token_counts, url_rules
 from pagemill.llm.batches import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,21 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op6_secret_scan")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scanned = secret_scan.scan(docs, secret_scan.learn_formats(docs))
+    counts = [secret_scan.count_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    base_text = secret_scan.spans_text(F.col("base"))
+    return scanned.select(
+        "doc_id",
+        *counts,
+        F.sha2(base_text, 256).alias("base_sha256"),
+        secret_scan.spans_text(F.col("spans")).alias("spans"),
+        secret_scan.count_kind(F.col("spans"), "format").alias("n_format"),
+    )
+
+
 @query("op8_language_models")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
