@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import language_models, secret_scan, simhash, token_counts, url_rules
+from pagemill.llm import decontaminate, language_models, secret_scan, simhash, token_counts, url_rules
 from pagemill.llm.batches import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op4_decontaminate")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.decontaminate(docs, benchmark).drop("text_hash")
+
+
 @query("op5_url_rules", SQL_URL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     rules = prepare(spark).createDataFrame(URL_RULES, "host string, path string, verdict string")
