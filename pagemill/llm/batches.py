@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from pagemill.session import ship_package
+from pagemill.session import cut_lineage, ship_package
 
 ROWS_PER_BATCH = "500"  # texts may be long: a batch holds some MB, not some hundred
 
@@ -52,3 +53,15 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes, null as no bytes."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def without_rows(docs: DataFrame, listed: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` that ``doc_id, text_hash`` (of ``xxhash64(text)``) does not list.
+
+    The list is written first: Spark then knows its size, broadcasts it only below its own threshold and
+    shuffles otherwise.
+    """
+    names = {"doc_id": "_listed_id", "text_hash": "_listed_text"}
+    small = cut_lineage(listed.withColumnsRenamed(names), "listed")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_listed_id"))
+    return docs.join(small, same & (F.xxhash64("text") == F.col("_listed_text")), how)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.batches import map_columns, texts
+from pagemill.llm.batches import map_columns, texts, without_rows
 
 WINDOW, SHORTEST, MIN_SHARE = 8, 5, 0.25
 SCREEN_ROWS = 2_000_000  # 16 MB
@@ -176,12 +176,22 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     return held.agg(share.alias("share")).filter(F.col("share") >= min_share)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows that hold no item, with all their columns."""
+    found = find_items(_keyed(docs), benchmark, window, min_share).select("doc_id", "text_hash").distinct()
+    return without_rows(docs, found)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """``doc_id, text`` to ``doc_id, text_hash, contaminated, items, share``, row for row.
 
     ``text_hash`` is ``xxhash64(text)``, by which a caller can join the answer to the rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = _keyed(docs)
     found = find_items(rows, benchmark, window, min_share)
     held = found.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set("item_id")).alias("items"), F.max("share").alias("share")

@@ -30,7 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.batches import map_columns, texts
@@ -333,22 +333,32 @@ def _hash_limit(sample: DataFrame, rows: int) -> int:
     return (1 << 63) - 1 if n <= rows else int(-(1 << 63) + (1 << 64) * rows / n)
 
 
+def language_of(text: Column | str, classifier: Classifier, spark: SparkSession) -> Column:
+    """``lang_pred, score, entropy, rejected`` of a text, as one struct."""
+    shared = spark.sparkContext.broadcast(classifier)
+
+    @F.arrow_udf("lang_pred string, score double, entropy double, rejected boolean")
+    def judge(column: pa.Array) -> pa.Array:
+        entropy, length = shared.value.entropies([words_of(t) for t in texts(column)])
+        judged = [shared.value.judge(e, n) for e, n in zip(entropy, length, strict=True)]
+        lang, score, bits, rejected = zip(*judged, strict=True) if judged else ([],) * 4
+        columns = [
+            pa.array(lang, pa.string()),
+            pa.array(score, pa.float64()),
+            pa.array(bits, pa.float64()),
+            pa.array(rejected, pa.bool_()),
+        ]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "entropy", "rejected"])
+
+    return judge(text)
+
+
 def identify(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """``doc_id, text`` to ``doc_id, lang_pred, score, entropy, rejected``, row for row."""
-    shared = docs.sparkSession.sparkContext.broadcast(classifier)
+    judged = language_of("text", classifier, docs.sparkSession).alias("judged")
+    return docs.select("doc_id", judged).select("doc_id", "judged.*")
 
-    def work(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
-        for batch in batches:
-            entropy, length = shared.value.entropies([words_of(t) for t in texts(batch["text"])])
-            judged = [shared.value.judge(e, n) for e, n in zip(entropy, length, strict=True)]
-            lang, score, bits, rejected = map(list, zip(*judged, strict=True)) if judged else ([],) * 4
-            yield {
-                "doc_id": batch["doc_id"],
-                "lang_pred": lang,
-                "score": score,
-                "entropy": bits,
-                "rejected": rejected,
-            }
-
-    schema = "doc_id long, lang_pred string, score double, entropy double, rejected boolean"
-    return map_columns(docs.selectExpr("cast(doc_id as long) doc_id", "text"), schema, work)
+
+def keep_known(docs: DataFrame, classifier: Classifier) -> DataFrame:
+    """The rows whose text is not rejected, with all their columns."""
+    return docs.filter(~language_of("text", classifier, docs.sparkSession)["rejected"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, language_models, secret_scan, simhash, token_counts, url_rules
+from pagemill.llm import decontaminate, language_models, pieces, secret_scan, simhash, token_counts, url_rules
 from pagemill.llm.batches import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,9 +50,23 @@ SQL_URL = """WITH parts AS (SELECT page_id,
       AND starts_with(path, r_path)), 'allow') AS verdict FROM parts"""
 
 
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    model = tokenizer_file("piece_bpe_32k.model")
+    encoded = table(spark, folder, "documents").select("doc_id", "text", pieces.encode_pieces("text", model).alias("ids"))
+    decoded = encoded.withColumn("decoded", pieces.decode_pieces("ids", model))
+    return decoded.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 @query("op2_simhash_near_dedup")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, folder, "documents"))
+    return simhash.near_duplicates(table(spark, folder, "documents")).drop("text_hash")
 
 
 @query("op4_decontaminate")

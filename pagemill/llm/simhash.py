@@ -18,15 +18,13 @@ component has no id; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.batches import map_columns, raw_texts
+from pagemill.llm.batches import raw_texts, without_rows
 from pagemill.llm.components import component_roots
 from pagemill.session import cut_lineage
 
@@ -55,17 +53,14 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, text`` to ``doc_id, fp``, row for row."""
+    """``doc_id, text`` to ``doc_id, text_hash, fp``, row for row; ``text_hash`` is ``xxhash64(text)``."""
 
-    def work(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
-        for batch in batches:
-            yield {
-                "doc_id": batch["doc_id"],
-                "fp": [fingerprint(t, words) for t in raw_texts(batch["text"])],
-            }
+    @F.arrow_udf("long")
+    def fingerprint_of(column: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(t, words) for t in raw_texts(column)], pa.int64())
 
-    narrow = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    return map_columns(narrow, "doc_id long, fp long", work)
+    key = [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")]
+    return docs.select(*key, fingerprint_of("text").alias("fp"))
 
 
 def _word(bits: int) -> Column:
@@ -120,21 +115,34 @@ def near_fingerprints(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, text`` to ``doc_id, fingerprint, component_id, n_in_component``, row for row."""
+    """``doc_id, text`` to ``doc_id, text_hash, fingerprint, component_id, kept``, row for row.
+
+    ``kept`` marks the row that stays of its component: smallest id first, null last, then smallest
+    hash; several equal rows can be marked.
+    """
     marked = cut_lineage(fingerprints(docs, words), "simhash")
-    known = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
-    known = cut_lineage(known, "simhash-distinct")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    known = cut_lineage(marked.groupBy("fp").agg(F.min(key).alias("first")), "simhash-distinct")
     roots = component_roots(near_fingerprints(known.select("fp")))
-    rooted = known.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first_id", "rows", F.coalesce("root", "fp").alias("root")
-    )
-    named = rooted.groupBy("root").agg(
-        F.min("first_id").alias("component_id"), F.sum("rows").alias("n_in_component")
-    )
+    root = F.coalesce("root", "fp").alias("root")
+    rooted = known.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", root)
+    named = rooted.groupBy("root").agg(F.min("first").alias("first"))
     classes = rooted.select("fp", "root").join(named, "root").drop("root")
     return marked.join(classes, "fp").select(
         "doc_id",
+        "text_hash",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        "component_id",
-        "n_in_component",
+        F.col("first.doc_id").alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))).alias("kept"),
     )
+
+
+def keep_one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """One row of each component with all its columns; of equal rows one stays."""
+    judged = cut_lineage(near_duplicates(docs, words).select("doc_id", "text_hash", "kept"), "simhash-judged")
+    dropped = judged.filter(~F.col("kept")).select("doc_id", "text_hash")
+    staying = without_rows(docs, dropped)
+    again = judged.filter("kept").groupBy("doc_id", "text_hash").count().filter("count > 1").drop("count")
+    again = cut_lineage(again, "simhash-equal")
+    once = without_rows(docs, again, "left_semi").dropDuplicates(["doc_id", "text"])
+    return without_rows(staying, again).unionByName(once)
