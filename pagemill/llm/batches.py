@@ -12,12 +12,12 @@ from pyspark.sql.types import StructType
 
 from pagemill.session import cut_lineage, ship_package
 
-ROWS_PER_BATCH = "500"  # texts may be long: a batch holds some MB, not some hundred
+BYTES_PER_BATCH = "4m"  # texts may be long: a batch holds some MB, not some hundred
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship the package to the workers and keep Arrow batches of texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
     return ship_package(spark)
 
 
