@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, language_models, pieces, secret_scan, simhash, suffix_dedup, token_counts, url_rules
+from pagemill.llm import decontaminate, language_models, order_minhash, pieces, secret_scan, simhash, suffix_dedup, token_counts, url_rules
 from pagemill.llm.batches import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,21 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_order_minhash")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = order_minhash.edited_pairs(table(spark, folder, "documents"))
+    own, edited, after = F.col("sketches"), F.col("edited_sketches"), F.col("next_sketches")
+    return pairs.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        order_minhash.fingerprint_text(own).alias("fingerprint"),
+        order_minhash.fingerprint_text(edited).alias("edited_fingerprint"),
+        order_minhash.likeness(own, edited).alias("near_edited"),
+        order_minhash.likeness(own, after).alias("near_next"),
+    )
+
+
 @query("op8_language_models")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
