@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, language_models, order_minhash, pieces, secret_scan, simhash, suffix_dedup, token_counts, url_rules
+from pagemill.llm import decontaminate, language_models, order_minhash, pieces, secret_scan, simhash, suffix_dedup, token_counts, url_rules, warc_revisits
 from pagemill.llm.batches import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,6 +129,50 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", held_out, "lang_pred", "score", "entropy", "rejected")
 
 
+# Captures of the given pages: a full response, and two later checks that found nothing new.  Every third
+# page's first check names another version, every fourth page's second check knows only the date.
+CAPTURES = """
+    SELECT page_id * 4 AS record_id, url, 'response' AS kind, 200 AS status, CAST(page_id * 600 AS BIGINT) AS seconds, md5(html) AS digest,
+      concat('Content-Type: text/html', chr(13), chr(10), 'ETag: "', md5(html), '"', chr(13), chr(10), 'Last-Modified: ', CAST(length(html) % 97 AS STRING),
+        chr(13), chr(10), 'Cache-Control: max-age=60', chr(13), chr(10), 'Content-Length: ', CAST(length(html) AS STRING)) AS block FROM pages
+    UNION ALL SELECT page_id * 4 + 1, url, 'revisit', 304, CAST(page_id * 600 + 7 AS BIGINT), CAST(NULL AS STRING),
+      concat('ETag: W/"', CASE WHEN page_id % 3 = 0 THEN 'old' ELSE md5(html) END, '"', chr(10), 'Cache-Control: max-age=', CAST(page_id % 900 AS STRING),
+        chr(10), 'Content-Length: 0', chr(10), 'Age: 5') FROM pages
+    UNION ALL SELECT page_id * 4 + 2, url, 'revisit', 304, CAST(page_id * 600 + 90000 AS BIGINT), CAST(NULL AS STRING),
+      concat(CASE WHEN page_id % 4 = 0 THEN concat('Last-Modified: ', CAST(length(html) % 97 AS STRING)) ELSE concat('ETag: "', md5(html), '"') END,
+        chr(10), 'Expires: never') FROM pages"""
+
+SQL_WARC = rf"""WITH records AS ({CAPTURES.replace("STRING", "VARCHAR")}),
+  cut AS (SELECT *, regexp_replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '(?s)#.*$', '') AS rest FROM records),
+  known AS (SELECT record_id, kind, seconds, digest, regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_extract(rest, '(?s)^[^/?]*(.*)$', 1), '/+(\?|$)', '\1', 'g') AS canonical,
+      [line FOR line IN str_split(replace(block, chr(13), ''), chr(10))] AS lines FROM cut),
+  named AS (SELECT *, map_from_entries([struct_pack(k := lower(str_split(l, ':')[1]), v := substr(l, length(str_split(l, ':')[1]) + 3)) FOR l IN lines]) AS own FROM known),
+  met AS (SELECT r.*, f.record_id AS f_id, f.own AS f_own, f.digest AS f_digest FROM (SELECT * FROM named WHERE kind = 'revisit') r
+      ASOF LEFT JOIN (SELECT * FROM named WHERE kind = 'response') f ON r.canonical = f.canonical AND r.seconds > f.seconds),
+  judged AS (SELECT *, CASE WHEN f_id IS NULL THEN 'no_response'
+      WHEN own['etag'] IS NOT NULL THEN CASE WHEN ltrim(own['etag'], 'W/') = f_own['etag'] THEN 'resolved' ELSE 'mismatch' END
+      WHEN own['last-modified'] = f_own['last-modified'] THEN 'resolved' ELSE 'mismatch' END AS outcome FROM met),
+  merged AS (SELECT *, CASE WHEN outcome = 'resolved' THEN list_concat(
+        [e FOR e IN map_entries(f_own) IF e.key = 'content-length' OR own[e.key] IS NULL],
+        [e FOR e IN map_entries(own) IF e.key <> 'content-length']) ELSE map_entries(own) END AS entries FROM judged)
+  SELECT record_id, canonical, outcome, CASE WHEN outcome = 'resolved' THEN f_id END AS ref_id,
+    array_to_string([e.key || ': ' || e.value FOR e IN list_sort(entries)], chr(10)) AS headers, CASE WHEN outcome = 'resolved' THEN f_digest END AS digest FROM merged
+  UNION ALL SELECT record_id, canonical, 'full', NULL, array_to_string([e.key || ': ' || e.value FOR e IN list_sort(map_entries(own))], chr(10)), digest
+    FROM named WHERE kind = 'response'"""
+
+
+@query("op9_warc_revisits", SQL_WARC)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    captures = spark.sql(CAPTURES.replace("FROM pages", "FROM {pages}"), pages=pages)
+    records = captures.withColumn("date", F.timestamp_seconds("seconds")).withColumn(
+        "headers", warc_revisits.parse_headers(F.col("block"))
+    )
+    resolved = warc_revisits.resolve_revisits(records)
+    return resolved.withColumn("headers", warc_revisits.header_lines(F.col("headers")))
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
