@@ -34,11 +34,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.batches import map_columns, texts
+from pagemill.session import cut_lineage
 
-ORDER = 5
+ORDER = 4
 MAX_GRAMS = 400_000  # n-grams of all languages and orders in the broadcast model: some 7 MB
 CALIBRATION_DOCS = 4_000
-KEPT_WORDS = 200_000  # a worker's memory of word scores; it is emptied when full
+KEPT_WORDS = 400_000  # a worker's memory of word scores; it is emptied when full
 TASK_WORDS = 200_000  # distinct words that a counting task holds before it hands on n-grams
 DISCOUNT = 0.75
 UNKNOWN = "und"
@@ -129,24 +130,31 @@ def _codes(text: str) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    """One language: sorted hash arrays per order with log2 probabilities and back-off weights."""
+class Models:
+    """All languages: per order the sorted n-gram hashes, and beside them a column per language.
+
+    ``logs`` holds log2 probabilities (nan where a language lacks the n-gram), ``backoffs`` the log2 weight
+    with which the n-gram as a context backs off (0 where it is none).
+    """
 
     hashes: list[np.ndarray] = field(default_factory=list)
     logs: list[np.ndarray] = field(default_factory=list)
     backoffs: list[np.ndarray] = field(default_factory=list)
-    unknown: float = 0.0
+    unknown: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
-    def find(self, size: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, size: int, wanted: np.ndarray) -> np.ndarray:
+        """Places of n-grams, -1 for those that no language has."""
         known = self.hashes[size - 1]
         if not len(known):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+            return np.full(len(wanted), -1)
         at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-        return at, known[at] == wanted
+        return np.where(known[at] == wanted, at, -1)
 
 
-def fit_language(counts: dict[str, int], order: int, alphabet: int, discount: float = DISCOUNT) -> Model:
-    """Interpolated Kneser-Ney probabilities of the given n-grams and the weights to back off with."""
+def fit_language(
+    counts: dict[str, int], order: int, alphabet: int, discount: float = DISCOUNT
+) -> tuple[list[dict[str, float]], list[dict[str, float]], float]:
+    """Interpolated Kneser-Ney probabilities of n-grams, weights of contexts (both by size), and of the unknown."""
     by_size: list[dict[str, int]] = [{} for _ in range(order + 1)]
     for gram, n in counts.items():
         by_size[len(gram)][gram] = n
@@ -154,10 +162,10 @@ def fit_language(counts: dict[str, int], order: int, alphabet: int, discount: fl
         before: Counter = Counter(g[1:] for g in by_size[size + 1])
         for gram, n in by_size[size].items():
             by_size[size][gram] = n if size > 1 and gram[0] == " " else max(1, before[gram])
-    model, lower = Model(), {}
+    lower: dict[str, float] = {}
     total, kinds = sum(by_size[1].values()) or 1, len(by_size[1])
     spread = discount * kinds / total if kinds else 1.0
-    model.unknown = math.log2(spread / alphabet)
+    unknown = math.log2(spread / alphabet)
     for size in range(1, order + 1):
         sums, follow = Counter(), Counter()
         for gram, n in by_size[size].items():
@@ -169,7 +177,7 @@ def fit_language(counts: dict[str, int], order: int, alphabet: int, discount: fl
             context = gram[:-1]
             base = lower.get(gram[1:], 0.0) if size > 1 else 1 / alphabet
             if size > 1 and not base:  # pruned: back off step by step
-                base = _backed_off(gram[1:], probs, weights, model.unknown)
+                base = _backed_off(gram[1:], probs, weights, unknown)
             current[gram] = (n - discount) / sums[context] + weight[context] * base
         if size == 1:
             probs, weights = [current], [weight]
@@ -177,15 +185,28 @@ def fit_language(counts: dict[str, int], order: int, alphabet: int, discount: fl
             probs.append(current)
             weights.append(weight)
         lower = current
+    return probs, weights, unknown
+
+
+def fit(counts: dict[str, dict[str, int]], order: int) -> Models:
+    """Models of the languages, in order of their names."""
+    alphabet = 1 + len({g for c in counts.values() for g in c if len(g) == 1})
+    fitted = [fit_language(counts[lang], order, alphabet) for lang in sorted(counts)]
+    models = Models(unknown=np.array([unknown for _, _, unknown in fitted]))
     for size in range(1, order + 1):
-        grams = list(probs[size - 1])
-        hashes = gram_hashes(_codes("".join(grams)).reshape(-1, size).T, size)[-1][0] if grams else _codes("")
-        after = weights[size] if size < order else {}
+        grams = sorted(set().union(*(probs[size - 1] for probs, _, _ in fitted)))
+        hashes = gram_hashes(_codes("".join(grams)).reshape(-1, size).T, size)[-1][0] if grams else np.zeros(0, np.uint64)
+        logs = np.full((len(grams), len(fitted)), np.nan, np.float32)
+        backoffs = np.zeros((len(grams), len(fitted)), np.float32)
+        for k, (probs, weights, _) in enumerate(fitted):
+            after = weights[size] if size < order else {}
+            logs[:, k] = np.log2([probs[size - 1].get(g, np.nan) for g in grams])
+            backoffs[:, k] = np.log2([after.get(g, 1.0) for g in grams])
         sort = np.argsort(hashes)
-        model.hashes.append(hashes[sort])
-        model.logs.append(np.log2(np.array([probs[size - 1][g] for g in grams], np.float32))[sort])
-        model.backoffs.append(np.log2(np.array([after.get(g, 1.0) for g in grams], np.float32))[sort])
-    return model
+        models.hashes.append(hashes[sort])
+        models.logs.append(logs[sort])
+        models.backoffs.append(backoffs[sort])
+    return models
 
 
 def _backed_off(gram: str, probs: list[dict], weights: list[dict], unknown: float) -> float:
@@ -198,60 +219,71 @@ def _backed_off(gram: str, probs: list[dict], weights: list[dict], unknown: floa
     return 2.0**unknown
 
 
-def score_words(models: list[Model], words: list[str], order: int) -> np.ndarray:
-    """Surprisal in bits of each word (its closing blank included) under each model."""
+def score_words(models: Models, words: list[str], order: int) -> np.ndarray:
+    """Surprisal in bits of each word (its closing blank included) under each language."""
     lengths = np.array([len(w) + 1 for w in words])
     codes = _codes(" " + " ".join(words) + " ")
     grams = gram_hashes(codes, order)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     at = np.arange(1, len(codes))  # the predicted characters
-    inside = at - 1 - np.repeat(starts, lengths)  # characters of the word before it, its blank not counted
-    out = np.empty((len(words), len(models)))
-    for m, model in enumerate(models):
-        bits = np.full(len(at), -model.unknown)
-        for size in range(1, order + 1):  # longer matches overrule; a missing one pays its context's weight
-            fits = np.nonzero(inside >= size - 2)[0]
-            if not len(fits):
-                continue
-            if size > 1:
-                where, known = model.find(size - 1, grams[size - 2][at[fits] - size + 1])
-                bits[fits[known]] -= model.backoffs[size - 2][where[known]]
-            where, known = model.find(size, grams[size - 1][at[fits] - size + 1])
-            bits[fits[known]] = -model.logs[size - 1][where[known]]
-        out[:, m] = np.add.reduceat(bits, starts)
-    return out
+    before = at - np.repeat(starts, lengths)  # characters of the word in front of it, its opening blank included
+    bits = np.repeat(-models.unknown[None], len(at), axis=0)
+    context = models.find(1, grams[0])[:-1]  # by predicted character: the place of what stands in front of it
+    for size in range(1, order + 1):  # a longer match overrules, a missing one pays its context's weight
+        if size > 1:
+            paying = np.nonzero((before >= size - 1) & (context >= 0))[0]
+            bits[paying] -= models.backoffs[size - 2][context[paying]]
+        fits = np.nonzero(before >= size - 1)[0]
+        place = models.find(size, grams[size - 1][at[fits] - size + 1])
+        known, place = fits[place >= 0], place[place >= 0]
+        logs = models.logs[size - 1][place]
+        bits[known] = np.where(np.isnan(logs), bits[known], -logs)
+        if size > 1:
+            context = np.full(len(at), -1)
+            context[known[known < len(at) - 1] + 1] = place[known < len(at) - 1]
+    return np.add.reduceat(bits, starts)
 
 
 @dataclass
 class Classifier:
     langs: list[str]
-    models: list[Model]
+    models: Models
     order: int
     temperature: float = 1.0
     highest: list[float] = field(default_factory=list)  # cross-entropy up to which a language is believed
     noise: list[float] = field(default_factory=list)  # how much more per root of a character
 
     def __post_init__(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.scores, self.lengths = np.zeros((0, len(self.langs))), np.zeros(0)
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "known": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "scores", "lengths")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._forget()
+
+    def _learn(self, words: list[str]) -> None:
+        parts = [score_words(self.models, words[a : a + 20_000], self.order) for a in range(0, len(words), 20_000)]
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.scores = np.concatenate([self.scores, *parts])
+        self.lengths = np.concatenate([self.lengths, [len(w) + 1 for w in words]])
 
     def entropies(self, many: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character of each text under each language, and the characters."""
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        counted = [Counter(words) for words in many]
-        missing = list(set().union(*counted) - self.known.keys())
-        for a in range(0, len(missing), 20_000):
-            part = missing[a : a + 20_000]
-            self.known.update(zip(part, score_words(self.models, part, self.order), strict=True))
+            self._forget()
+        self._learn(list(set().union(*many) - self.known.keys()))
         bits, length = np.zeros((len(many), len(self.langs))), np.zeros(len(many))
-        for i, words in enumerate(counted):
+        for i, words in enumerate(many):
             if words:
-                n = np.fromiter(words.values(), float, len(words))
-                bits[i] = n @ np.array([self.known[w] for w in words])
-                length[i] = sum((len(w) + 1) * k for w, k in words.items())
+                at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+                bits[i] = self.scores[at].sum(0)
+                length[i] = self.lengths[at].sum()
         return bits / np.maximum(length, 1)[:, None], length
 
     def judge(self, entropy: np.ndarray, length: float) -> tuple[str, float, float, bool]:
@@ -312,13 +344,13 @@ def train(
     """A classifier from ``doc_id, text, lang``; a sixteenth of the rows is the calibration fold."""
     rows = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
     calibrating = F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) == 0
-    grams = prune(count_grams(rows.filter(~calibrating), order), max_grams).toArrow().to_pydict()
+    counted = cut_lineage(count_grams(rows.filter(~calibrating), order), "grams")
+    grams = prune(counted, max_grams).toArrow().to_pydict()
     counts: dict[str, dict[str, int]] = defaultdict(dict)
     for lang, gram, n in zip(grams["lang"], grams["gram"], grams["n"], strict=True):
         counts[lang][gram] = n
     langs = sorted(counts)
-    alphabet = 1 + len({g for c in counts.values() for g in c if len(g) == 1})
-    classifier = Classifier(langs, [fit_language(counts[x], order, alphabet) for x in langs], order)
+    classifier = Classifier(langs, fit(counts, order), order)
     if langs:
         sample = rows.filter(calibrating).withColumn("h", F.xxhash64("text"))
         held = sample.filter(F.col("h") <= _hash_limit(sample, calibration_docs))
