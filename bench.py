@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pagemill.plans import Tables, load_all
@@ -28,11 +29,12 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "16g",
             "spark.ui.enabled": "false",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
     registry = load_all()
-    tables = Tables(spark, folder)
+    tables = Tables(spark, folder, splits=int(cpus))
     tables.lineitem.groupBy("l_returnflag").count().collect()  # start the executors
     timings: dict[str, float] = {}
     for name in names:

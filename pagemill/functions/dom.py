@@ -37,12 +37,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "held", "parent", "thinned")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag = tag
         self.attrs = attrs
-        self.children: list[Node | str] = []
+        self.held: list[Node | str] = []
+        self.thinned = False
         self.parent = parent
 
     def walk(self) -> Iterator[Node]:
@@ -74,10 +75,18 @@ class Node:
         return self.attrs.get("class", "").split()
 
     def detach(self) -> None:
+        """Take the node out; its parent's list of children is rebuilt once, when next read."""
         if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
+            self.parent.thinned = True
             self.parent = None
 
+    @property
+    def children(self) -> list[Node | str]:
+        if self.thinned:
+            self.held = [c for c in self.held if isinstance(c, str) or c.parent is self]
+            self.thinned = False
+        return self.held
+
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:

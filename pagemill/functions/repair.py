@@ -67,10 +67,7 @@ def _fix(text: str) -> str:
 
 def _settle(text: str) -> str:
     """Repair and NFKC until nothing changes: compatibility forms may hide entities."""
-    for _ in range(3):
-        repaired = unicodedata.normalize("NFKC", _fix(text))
-        if repaired == text:
-            break
+    while (repaired := unicodedata.normalize("NFKC", _fix(text))) != text:
         text = repaired
     return text
 

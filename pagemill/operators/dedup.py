@@ -37,10 +37,17 @@ def with_first(
     winners = partial.withColumns(
         {"_first": F.min("_first").over(per_key), "_n": F.sum("_n").over(per_key)}
     )
-    join_keys = [*keys, "_salt"]
-    return salted.join(winners, join_keys, "left").select(
-        *df.columns, "_first", "_n"
-    )
+    # a null key is a key like any other
+    named = {k: f"_key_{i}" for i, k in enumerate([*keys, "_salt"])}
+    same = F.lit(True)
+    for k, other in named.items():
+        same = same & F.col(k).eqNullSafe(F.col(other))
+    taken = salted.filter(F.col("_salt").isNotNull()).join(winners.withColumnsRenamed(named), same, "left")
+    out = taken.select(*df.columns, "_first", "_n")
+    if where is None:
+        return out
+    none = {c: F.lit(None).cast(out.schema[c].dataType) for c in ("_first", "_n")}
+    return out.unionByName(salted.filter(F.col("_salt").isNull()).withColumns(none).drop("_salt"))
 
 
 def is_first(order: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from pagemill import fixed_values as fv
 from pagemill.functions.text import strip, text_or_empty
 from pagemill.operators.dedup import is_first, with_first
 from pagemill.operators.embed import VECTOR
+from pagemill.session import delete_paths, scratch_dir
 
 METADATA = T.StructType([T.StructField(f, T.StringType()) for f in fv.METADATA_FIELDS])
 TABLE = T.StructType(
@@ -100,8 +103,9 @@ def resolve_collection(requests: DataFrame, counts: DataFrame, legacy: str = fv.
 class VectorTable:
     """Vectors in parquet under ``collection=/batch=`` folders.
 
-    A write replaces the folder of its own batch only, so replaying a batch changes nothing; reading
-    takes the newest batch of every id.  ``compact`` folds batches into one for faster reads.
+    A write first removes what an earlier try of its batch left, so replaying a batch changes nothing;
+    reading takes the newest batch of every id, within a batch the last document.  ``compact`` folds
+    batches into one for faster reads.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -114,12 +118,8 @@ class VectorTable:
             F.col("metadata.collection").alias("collection"),
             F.lit(batch).cast("long").alias("batch"),
         )
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("collection", "batch")
-            .parquet(self.path)
-        )
+        delete_paths(self.spark, f"{self.path}/collection=*/batch={batch}")
+        rows.write.mode("append").partitionBy("collection", "batch").parquet(self.path)
 
     def _files(self) -> DataFrame:
         try:
@@ -134,7 +134,7 @@ class VectorTable:
         if collection is not None:
             rows = rows.filter(F.col("collection") == collection)
         newest = rows.groupBy("collection", "id").agg(
-            F.max_by(F.struct("embedding", "document", "metadata"), "batch").alias("r")
+            F.max_by(F.struct("embedding", "document", "metadata"), F.struct("batch", "document")).alias("r")
         )
         return newest.select("id", "r.embedding", "r.document", "r.metadata", "collection")
 
@@ -142,18 +142,22 @@ class VectorTable:
         """Vectors per collection; only ids and partition values are read."""
         return self._files().groupBy("collection").agg(F.count_distinct("id").alias("vectors"))
 
+    def collections(self) -> DataFrame:
+        """Names of the collections, from the folders alone."""
+        return self._files().select("collection").distinct()
+
     def drop(self, collection: str) -> "VectorTable":
-        """Rewrite the table without one collection, to a sibling folder that takes its place."""
-        rest = self._files().filter(F.col("collection") != collection)
-        return self._rewrite(rest)
+        """Remove one collection's folder; the same name can be filled anew."""
+        if not re.fullmatch(r"[A-Za-z0-9_-]+", collection):
+            raise ValueError(f"no name of a collection: {collection!r}")
+        delete_paths(self.spark, f"{self.path}/collection={collection}")
+        return self
 
     def compact(self) -> "VectorTable":
         newest = self.read().withColumn("batch", F.lit(-1).cast("long"))
         return self._rewrite(newest.select(TABLE.fieldNames()))
 
     def _rewrite(self, rows: DataFrame) -> "VectorTable":
-        from pagemill.session import scratch_dir
-
         path = scratch_dir(self.spark, "vectors")
         rows.write.partitionBy("collection", "batch").parquet(path)
         return VectorTable(self.spark, path)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.session import ship_package, spread
+from pagemill.session import ship_package
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -15,22 +15,29 @@ TABLES = (
 ).split()
 
 
-# little data, much work per row: these must not run in one task because they sit in one file
+# little data, much work per row: on one machine a caller may split these, as they sit in one file each
 TEXT_TABLES = {"documents", "pages", "conversations", "embeddings"}
 
 
 class Tables:
-    """Attribute access to the given parquet tables of one folder."""
+    """Attribute access to the given parquet tables of one folder.
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
+    ``splits`` deals the text tables out anew, for benches on files of a single row group.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, splits: int | None = None) -> None:
         self.spark = ship_package(spark)
         self.folder = folder
+        self.splits = splits
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(table) if name in TEXT_TABLES else table
+        table = self.plain(name)
+        return table.repartition(self.splits) if self.splits and name in TEXT_TABLES else table
+
+    def plain(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
 @dataclass(frozen=True)

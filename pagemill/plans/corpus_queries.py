@@ -63,7 +63,10 @@ def _(t):
 
 
 def chat_pages(t):
-    """Every turn as a page: description, list, table, and two candidates for the main part."""
+    """Every turn as a page: description, two lists, two tables, and two candidates for the main part.
+
+    The words fill the lists, what is left of them the article.
+    """
     words = F.split(text.collapse_ws(F.col("text")), " ")
     half = F.floor(F.size(words) / 3).cast("int")
     def esc(c):
@@ -75,11 +78,12 @@ def chat_pages(t):
     html = F.concat(
         F.lit('<html><head><meta name="description" content="turn '), F.col("turn"),
         F.lit('"></head><body class="page"><div class="cookie-note">we use cookies</div><article><p>'),
-        esc(F.array_join(F.slice(words, 1, 5), " ")),
+        esc(F.array_join(F.slice(words, 2 * half + 1, F.size(words)), " ")),
         F.lit("</p></article><main role=x><h2>"), F.col("role"), F.lit("</h2><ul>"),
-        items(F.slice(words, 1, half)), F.lit("<li> </li></ul><ol>"), items(F.slice(words, half + 1, 4)),
+        items(F.slice(words, 1, half)), F.lit("<li> </li></ul><ol>"), items(F.slice(words, half + 1, half)),
         F.lit("</ol><table><tr><th>conv</th><td>"), F.col("conv_id"), F.lit("</td></tr><tr><td> </td></tr><tr><td>"),
-        F.col("role"), F.lit("</td><td>"), F.col("turn"), F.lit("</td></tr></table></main></body></html>"),
+        F.col("role"), F.lit("</td><td>"), F.col("turn"), F.lit("</td></tr></table><table><tr><td>words</td><td>"),
+        F.size(words), F.lit("</td></tr></table></main></body></html>"),
     )
     return t.conversations.select("conv_id", "turn", html.alias("html"))
 
@@ -95,7 +99,7 @@ def _(t):
 
 @query(
     "html_lists",
-    f"""WITH {_CHAT}, l AS (SELECT conv_id, turn, ws[1:half] AS xs, 1 AS o FROM chat UNION ALL SELECT conv_id, turn, ws[half + 1:half + 4], 2 FROM chat)
+    f"""WITH {_CHAT}, l AS (SELECT conv_id, turn, ws[1:half] AS xs, 1 AS o FROM chat UNION ALL SELECT conv_id, turn, ws[half + 1:2 * half], 2 FROM chat)
     SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY o) - 1 AS INT) AS pos, array_to_string(xs, '|') AS items FROM l
     WHERE len(list_filter(xs, lambda x: x <> '')) > 0 AND (SELECT 1) = 1""",
 )
@@ -108,22 +112,24 @@ def _(t):
 
 @query(
     "html_tables",
-    """SELECT conv_id, turn, 0 AS pos, 'conv|' || conv_id AS cells FROM conversations
-    UNION ALL SELECT conv_id, turn, 1, role || '|' || turn FROM conversations""",
+    f"""WITH {_CHAT} SELECT conv_id, turn, 0 AS tab, 0 AS pos, 'conv|' || conv_id AS cells FROM chat
+    UNION ALL SELECT conv_id, turn, 0, 1, role || '|' || turn FROM chat UNION ALL SELECT conv_id, turn, 1, 0, 'words|' || len(ws) FROM chat""",
 )
 def _(t):
     chosen = page_ops.parse_pages(chat_pages(t))
-    rows = chosen.select("conv_id", "turn", F.posexplode(F.col("tables")[0]["rows"]).alias("pos", "row"))
-    return rows.select("conv_id", "turn", "pos", F.array_join("row", "|").alias("cells"))
+    each = chosen.select("conv_id", "turn", F.posexplode("tables").alias("tab", "found"))
+    rows = each.select("conv_id", "turn", "tab", F.posexplode("found.rows").alias("pos", "row"))
+    return rows.select("conv_id", "turn", "tab", "pos", F.array_join("row", "|").alias("cells"))
 
 
-_MAIN_TEXT = "array_to_string(list_concat(list_concat(list_concat([role], ws[1:half]), ws[half + 1:half + 4]), ['conv', CAST(conv_id AS VARCHAR), role, CAST(turn AS VARCHAR)]), ' ')"
+_MAIN_TEXT = """array_to_string(list_concat(list_concat(list_concat([role], ws[1:half]), ws[half + 1:2 * half]),
+      ['conv', CAST(conv_id AS VARCHAR), role, CAST(turn AS VARCHAR), 'words', CAST(len(ws) AS VARCHAR)]), ' ')"""
 
 
 @query(
     "html_main_container",
-    f"""WITH {_CHAT} SELECT conv_id, turn, CASE WHEN length({_MAIN_TEXT}) > length(array_to_string(ws[1:5], ' ')) THEN role
-      ELSE array_to_string(ws[1:5], ' ') END AS content FROM chat""",
+    f"""WITH {_CHAT}, r AS (SELECT *, array_to_string(ws[2 * half + 1:], ' ') AS rest FROM chat)
+      SELECT conv_id, turn, CASE WHEN length({_MAIN_TEXT}) > length(rest) THEN role ELSE rest END AS content FROM r""",
 )
 def _(t):
     return page_ops.parse_pages(chat_pages(t)).select("conv_id", "turn", "content")

@@ -13,19 +13,19 @@ from pagemill.streaming.indexer import SiteIndexer
 
 
 def page_files(t, files: int = 2) -> str:
-    """The page table in files that arrive in id order, so that a stream has ordered batches."""
+    """The page table in parts that arrive in id order, so that a stream has ordered batches."""
     path = scratch_dir(t.spark, "page-files")
     write_page_files(t, path, files)
     return path
 
 
-def write_page_files(t, path: str, files: int, between=lambda: None) -> None:
-    staged = scratch_dir(t.spark, "staged")
-    t.pages.repartitionByRange(files, "page_id").write.parquet(staged)
-    parts = t.spark.read.parquet(staged).withColumn("_file", F.input_file_name())
-    names = [r[0] for r in parts.groupBy("_file").agg(F.min("page_id").alias("m")).orderBy("m").collect()]
-    for name in names:
-        t.spark.read.parquet(name).coalesce(1).write.mode("append").parquet(path)
+def write_page_files(t, path: str, parts: int, between=lambda: None) -> None:
+    """Parts are ranges of ids; Spark writes each with as many tasks as it reads."""
+    pages = t.plain("pages")
+    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    part = F.floor((F.col("page_id") - F.lit(low)) * parts / F.lit(high - low + 1))
+    for i in range(parts):
+        pages.filter(part == i).write.mode("append").parquet(path)
         between()
 
 
@@ -59,37 +59,59 @@ def _(t):
 
 @query("stream_force", f"{_GATED} SELECT count(*) FILTER (english) AS english, 1 AS runs FROM gated")
 def _(t):
-    path = page_files(t, 1)
-    again = indexer(t, "force").run(path, force=True)
-    return again.summary().select("english", F.lit(1).alias("runs"))
+    path, job = page_files(t, 1), indexer(t, "force")
+    job.run(path)
+    job.run(path, force=True)  # the same folder, filled anew
+    return job.run(path).summary().select("english", F.col("batches").cast("int").alias("runs"))
 
 
 @query("stream_url_dedup", f"{_GATED} SELECT url_key FROM once")
 def _(t):
     """Pages arrive in two files, the second of which repeats the first."""
     path = scratch_dir(t.spark, "page-files")
-    t.pages.coalesce(1).write.parquet(path)
-    t.pages.coalesce(1).write.mode("append").parquet(path)
+    t.plain("pages").write.parquet(path)
+    t.plain("pages").write.mode("append").parquet(path)
     done = indexer(t, "dedup").run(path, files_per_batch=1)
     return done.processed_urls().select("url_key")
 
 
 @query("stream_embed_flush")
 def _(t):
-    """Encoder calls per batch: chunks that were not cached, 32 to a call."""
-    done = indexer(t, "flush").run(page_files(t, 2), files_per_batch=1)
-    calls = F.ceil((F.col("embeddings") - F.col("cached")) / 32.0)
-    return done.stats().select("batch", "chunks", "embeddings", "cached", calls.alias("encoder_calls"))
+    """Calls of the encoder, counted as they happen, and the texts that it was given."""
+    calls, texts = t.spark.sparkContext.accumulator(0), t.spark.sparkContext.accumulator(0)
+    job = indexer(t, "flush")
+    load = job.load_encoder
+
+    def counting():
+        encoder = load()
+
+        def encode(batch):
+            calls.add(1)
+            texts.add(len(batch))
+            return encoder(batch)
+
+        return encode
 
+    job.load_encoder = counting
+    done = job.run(page_files(t, 2), files_per_batch=1)
+    return done.summary().select(
+        "chunks", "embeddings", "cached", F.lit(calls.value).alias("encoder_calls"), F.lit(texts.value).alias("encoded_texts")
+    )
 
-@query("stream_pause", f"{_GATED} SELECT count(*) AS pages FROM once")
+
+@query("stream_pause", f"{_GATED} SELECT count(*) AS pages, 2 AS batches FROM once")
 def _(t):
-    """A timed trigger instead of draining: the stream stays up until it is told to stop."""
-    job = indexer(t, "pause")
-    running = job.start(page_files(t, 1), pause="1 second")
-    running.processAllAvailable()
-    running.stop()
-    return job.summary().select("pages")
+    """A timed trigger instead of draining: the stream stays up and takes what arrives meanwhile."""
+    path, job, running = scratch_dir(t.spark, "page-files"), indexer(t, "pause"), []
+
+    def go_on():
+        if not running:
+            running.append(job.start(path, pause="1 second"))
+        running[0].processAllAvailable()
+
+    write_page_files(t, path, 2, between=go_on)
+    running[0].stop()
+    return job.summary().select("pages", F.col("batches").cast("int").alias("batches"))
 
 
 @query(

@@ -305,7 +305,7 @@ def _(t):
 def _(t):
     leaves, indexes = sitemap_bodies(t)
     bodies = cut_lineage(leaves.unionByName(indexes), "sitemaps")
-    return sitemap_source.follow_indexes(bodies, indexes.select("url"), levels=2)
+    return sitemap_source.follow_indexes(bodies, indexes.select("url"))
 
 
 @query(
@@ -357,7 +357,7 @@ def _(t):
 
 # --- crawl ------------------------------------------------------------------------------
 
-def fetched_pages(t):
+def fetched_pages(t, *more):
     """The page table seen as a fetch log: every 11th answer is an error, every 13th is no HTML."""
     n = F.col("page_id")
     rules = robots_source.robots_rules(robots_bodies(t))
@@ -367,6 +367,7 @@ def fetched_pages(t):
         F.when(n % 11 == 0, 503).otherwise(200).alias("status_code"),
         F.when(n % 13 == 0, "application/json").otherwise("Text/HTML; charset=utf-8").alias("content_type"),
         declares_english(F.col("html")).alias("english"),
+        *more,
     )
     return crawl.robots_allowed(log, rules)
 
@@ -390,12 +391,9 @@ def _(t):
 
 def fetch_log(t):
     n = F.col("page_id")
-    facts = page_ops.read_pages(t.pages.select("page_id", "html"), ["needs_render"], documents=False)
-    sizes = t.pages.select("page_id", F.length("html").alias("content_length"))
+    pages = fetched_pages(t, F.col("html"), F.length("html").alias("content_length"))
     return (
-        fetched_pages(t)
-        .join(facts.select("page_id", "needs_render"), "page_id")
-        .join(sizes, "page_id")
+        page_ops.read_pages(pages, ["needs_render"], documents=False)
         .withColumns(
             {
                 "fetch_error": F.when(n % 17 == 0, F.lit("timeout")),

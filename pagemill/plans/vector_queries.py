@@ -19,20 +19,27 @@ def _(t):
 
 @query(
     "emb_query_prefix",
-    f"""SELECT conv_id, turn, {sql.lit(fv.QUERY_PREFIX)} || text AS bge, text AS other FROM conversations WHERE role = 'user'""",
+    f"""SELECT conv_id, turn, {sql.lit(fv.QUERY_PREFIX)} || text AS bge, text AS other FROM conversations""",
 )
 def _(t):
-    asked = t.conversations.filter(F.col("role") == "user")
-    return asked.select(
+    return t.conversations.select(
         "conv_id", "turn",
         embed.query_text(F.col("text"), "bge-small-en-v1.5").alias("bge"),
         embed.query_text(F.col("text"), MODEL).alias("other"),
     )
 
 
+def chunk_docs(t):
+    """All documents with their whole texts, and a blank one per region, to meet every state."""
+    blank = t.region.select(
+        (-1 - F.col("r_regionkey")).cast("long").alias("doc_id"), F.lit("  ").alias("text"),
+        F.lit("en").alias("lang"), F.lit("blank").alias("source"),
+    )
+    return t.documents.select("doc_id", "text", "lang", "source").unionByName(blank)
+
+
 def doc_chunks(t):
-    """Documents as chunks; short ones lose their content, to meet every state."""
-    content = F.when(F.length("text") < 300, F.lit("  ")).otherwise(F.col("text"))
+    """Documents as chunks."""
     meta = F.struct(
         F.concat(F.lit("https://docs.example.com/"), F.col("doc_id")).alias("source_url"),
         F.col("source").alias("title"),
@@ -41,10 +48,10 @@ def doc_chunks(t):
         F.when(F.col("lang") == "en", "website").alias("source_type"),
         F.col("source").alias("collection"),
     )
-    return t.documents.select(
+    return chunk_docs(t).select(
         F.concat(F.lit("c"), F.col("doc_id")).alias("chunk_id"),
         F.concat(F.lit("d"), F.col("doc_id")).alias("document_id"),
-        content.alias("content"),
+        F.col("text").alias("content"),
         meta.alias("metadata"),
         F.col("doc_id").alias("pos"),
     )
@@ -62,7 +69,8 @@ def doc_cache(t):
     )
 
 
-STATES = f"""h AS (SELECT doc_id, text, source, lang, length(text) < 300 AS blank, sha256({sql.strip('text')}) AS hash FROM documents),
+STATES = f"""d AS (SELECT doc_id, text, source, lang FROM documents UNION ALL SELECT -1 - r_regionkey, '  ', 'blank', 'en' FROM region),
+    h AS (SELECT doc_id, text, source, lang, {sql.strip('text')} = '' AS blank, sha256({sql.strip('text')}) AS hash FROM d),
     cache AS (SELECT hash, min(doc_id) % 10 = 0 AS broken FROM h WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY hash),
     st AS (SELECT h.*, broken, CASE WHEN blank THEN 'failed' WHEN row_number() OVER (PARTITION BY hash, blank ORDER BY doc_id) > 1 THEN 'duplicate'
       WHEN broken IS NULL THEN 'pending' WHEN broken THEN 'failed' ELSE 'cached' END AS state FROM h LEFT JOIN cache USING (hash))"""
@@ -82,7 +90,7 @@ def _(t):
     f"""WITH {STATES} SELECT doc_id, broken IS NOT NULL AS hit, CASE WHEN broken THEN 3 WHEN NOT broken THEN 64 END AS dims FROM st""",
 )
 def _(t):
-    keyed = t.documents.select("doc_id", embed.content_key(F.col("text")).alias("content_hash"))
+    keyed = chunk_docs(t).select("doc_id", embed.content_key(F.col("text")).alias("content_hash"))
     found = embed.lookup_cache(keyed, doc_cache(t), MODEL)
     return found.select(
         "doc_id",
@@ -251,7 +259,7 @@ def _(t):
 
 @query("vec_list", "SELECT DISTINCT 'col_' || label AS collection FROM embeddings")
 def _(t):
-    return _table(t).counts().select("collection")
+    return _table(t).collections()
 
 
 @query("vec_drop", "SELECT 'col_' || label AS collection, count(*) AS vectors FROM embeddings WHERE label <> 2 GROUP BY 1")

@@ -68,10 +68,12 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for an input of fewer splits than cores; larger inputs stay as they are."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+def delete_paths(spark: SparkSession, pattern: str) -> None:
+    """Remove the files and folders that match, wherever Spark's file systems reach."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in system.globStatus(path) or []:
+        system.delete(found.getPath(), True)
 
 
 def salt_buckets(spark: SparkSession) -> int:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import urls
 from pagemill.functions.text import strip, text_or_empty
+from pagemill.session import cut_lineage
 
 _URLSET = "url array<struct<loc:string,lastmod:string,priority:string>>"
 _INDEX = "sitemap array<struct<loc:string>>"
@@ -48,17 +49,19 @@ def child_sitemaps(sitemaps: DataFrame) -> DataFrame:
     return kept.select(urls.normalize_url(F.col("loc")).alias("url")).distinct()
 
 
-def follow_indexes(bodies: DataFrame, roots: DataFrame, levels: int = 3) -> DataFrame:
-    """Sitemaps reached from ``roots(url)`` through at most ``levels`` nested indexes.
+def follow_indexes(bodies: DataFrame, roots: DataFrame) -> DataFrame:
+    """Sitemaps reached from ``roots(url)`` through nested indexes, until a level names no new one.
 
-    ``bodies(url, body)`` holds the stored sitemaps under normalized URLs; a sitemap is read once.
+    ``bodies(url, body)`` holds the stored sitemaps under normalized URLs; a sitemap is read once.  Each
+    level is written, so it is worked out once.
     """
     reached = roots.select("url").distinct().withColumn("level", F.lit(0))
-    level = reached
-    for depth in range(1, levels + 1):
+    level, depth = reached, 0
+    while True:
+        depth += 1
         children = child_sitemaps(bodies.join(level.select("url"), "url", "left_semi"))
-        level = children.join(reached.select("url"), "url", "left_anti").withColumn(
-            "level", F.lit(depth)
-        )
+        fresh = children.join(reached.select("url"), "url", "left_anti")
+        level = cut_lineage(fresh.withColumn("level", F.lit(depth)), "sitemap-level")
+        if level.isEmpty():
+            return reached
         reached = reached.unionByName(level)
-    return reached

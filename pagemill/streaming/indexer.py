@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pagemill.functions.urls import canonicalize_url, normalize_url
 from pagemill.operators import chunk, clean, embed, metadata, pages as page_ops
 from pagemill.operators.dedup import keep_first_rows
 from pagemill.operators.vectors import VectorTable
-from pagemill.session import cut_lineage
+from pagemill.session import cut_lineage, delete_paths
 
 PAGES = T.StructType().add("page_id", "long").add("url", "string").add("html", "string")
 _URLS = T.StructType().add("url_key", "string").add("batch", "long")
@@ -46,18 +47,17 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def _write(rows: DataFrame, path: str, batch: int) -> None:
-    (
-        rows.withColumn("batch", F.lit(batch).cast("long"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch")
-        .parquet(path)
-    )
+    delete_paths(rows.sparkSession, f"{path}/batch={batch}")  # of an earlier try
+    rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").partitionBy("batch").parquet(path)
 
 
 @dataclass
 class SiteIndexer:
-    """Index of one collection under ``root`` (shared storage)."""
+    """Index of one collection under ``root`` (shared storage).
+
+    ``crawled_at`` is written to every document; pass it on a restart, so that a replay changes nothing.
+    ``gates`` adds the batch path's quality gates; the incremental path has none by default.
+    """
 
     spark: SparkSession
     root: str
@@ -68,6 +68,7 @@ class SiteIndexer:
     chunk_size: int = fv.DEFAULT_CHUNK_SIZE
     overlap: int = fv.DEFAULT_CHUNK_OVERLAP
     load_encoder: Callable[[], embed.Encoder] = field(default=embed.hashing_encoder)
+    crawled_at: str = field(default_factory=lambda: datetime.now(UTC).isoformat(timespec="seconds"))
 
     @property
     def home(self) -> str:
@@ -89,7 +90,7 @@ class SiteIndexer:
     # --- one micro-batch -------------------------------------------------------------------
 
     def fresh_pages(self, pages: DataFrame, batch: int) -> DataFrame:
-        """Pages whose normalized URL no earlier batch has seen, once each."""
+        """Pages whose normalized URL no earlier batch could read, once each."""
         keyed = pages.withColumn("url_key", normalize_url(F.col("url")))
         first = keep_first_rows(keyed, ["url_key"], ["page_id"])
         done = self.processed_urls().filter(F.col("batch") < batch).select("url_key")
@@ -97,7 +98,8 @@ class SiteIndexer:
 
     def index_batch(self, pages: DataFrame, batch: int) -> None:
         fresh = cut_lineage(self.fresh_pages(pages, batch), "fresh")
-        declared = fresh.withColumn("declared", declares_english(F.col("html")))
+        present = F.coalesce(F.length(F.trim("html")), F.lit(0)) > 0
+        declared = fresh.withColumns({"declared": declares_english(F.col("html")), "present": present})
         parsed = page_ops.parse_pages(declared, strip_boilerplate=self.gates)
         judged = parsed.withColumn(
             "english",
@@ -108,7 +110,7 @@ class SiteIndexer:
         cleaned = clean.clean_documents(english, gates=self.gates)
         kept = clean.accepted(cleaned).withColumn("url", canonicalize_url(F.col("url")))
         documents = metadata.add_metadata(
-            kept, F.lit(self.collection), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+            kept, F.lit(self.collection), F.lit(self.crawled_at)
         )
         chunks = chunk.chunk_documents(documents, self.chunk_size, self.overlap, gates=self.gates)
         chunks = chunks.filter(F.col("reason") == "")
@@ -119,7 +121,9 @@ class SiteIndexer:
         self.vectors().write(embed.embedding_records(rows), batch)
         _write(embed.cache_additions(rows, cache, self.model), f"{self.home}/cache", batch)
         _write(self.batch_stats(judged, rows), f"{self.home}/stats", batch)
-        _write(fresh.select("url_key"), f"{self.home}/urls", batch)
+        # pages without HTML or that failed are tried again when they come again
+        done = judged.filter("error is null and present").select("url_key")
+        _write(done, f"{self.home}/urls", batch)
 
     @staticmethod
     def batch_stats(judged: DataFrame, rows: DataFrame) -> DataFrame:
@@ -154,17 +158,11 @@ class SiteIndexer:
         return writer.start()
 
     def run(self, path: str, files_per_batch: int = 100, force: bool = False) -> "SiteIndexer":
-        """Index everything that is new; ``force`` starts over in a folder of its own."""
-        target = self
+        """Index everything that is new; ``force`` removes tables and checkpoint and starts over."""
         if force:
-            from pagemill.session import scratch_dir
-
-            target = SiteIndexer(
-                self.spark, scratch_dir(self.spark, "reindex"), self.collection, self.model, self.dim,
-                self.gates, self.chunk_size, self.overlap, self.load_encoder,
-            )
-        target.start(path, files_per_batch).awaitTermination()
-        return target
+            delete_paths(self.spark, self.home)
+        self.start(path, files_per_batch).awaitTermination()
+        return self
 
     # --- reports ---------------------------------------------------------------------------
 
