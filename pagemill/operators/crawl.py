@@ -60,8 +60,9 @@ def merge_sitemaps(records: DataFrame, order: list[str]) -> DataFrame:
 def robots_allowed(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Add ``allowed``: the first rule of the host whose path starts the URL's path decides.
 
-    ``rules`` has one row per host with its rules as an array, so the join is on equality, has at
-    most one partner per row, and Spark is free to broadcast it when its size allows.
+    ``rules`` has one row per robots file with its rules as an array; they are met as rows.  Each distinct
+    path is expanded into the prefixes whose length some rule has, and these are joined on equality, so
+    no path is compared with all rules of its host.
     """
     request = F.concat(
         urls.path_of(F.col(url)),
@@ -71,16 +72,20 @@ def robots_allowed(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
     )
     path = F.when(request == "", "/").otherwise(request)
     keyed = df.withColumns({"_host": urls.host_of(F.col(url)), "_path": path})
-    joined = keyed.join(rules.select(F.col("host").alias("_host"), "rules"), "_host", "left")
-    match = F.get(
-        F.filter(
-            "rules", lambda r: (r["path"] == "*") | F.startswith(F.col("_path"), r["path"])
-        ),
-        F.lit(0),
-    )
-    return joined.withColumn("allowed", F.coalesce(match["allow"], F.lit(True))).drop(
-        "_host", "_path", "rules"
+    flat = rules.select(F.col("host").alias("_host"), F.posexplode("rules").alias("_pos", "_rule")).select(
+        "_host",
+        F.when(F.col("_rule.path") == "*", "").otherwise(F.col("_rule.path")).alias("_prefix"),
+        "_pos",
+        F.col("_rule.allow").alias("_allow"),
     )
+    lengths = flat.agg(F.collect_set(F.length("_prefix"))).scalar()
+    asked = keyed.select("_host", "_path").distinct().withColumn("_lengths", lengths)
+    fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))
+    prefixes = F.transform(fitting, lambda n: F.substring("_path", F.lit(1), n))
+    met = asked.select("_host", "_path", F.explode(prefixes).alias("_prefix")).join(flat, ["_host", "_prefix"])
+    decided = met.groupBy("_host", "_path").agg(F.min_by("_allow", "_pos").alias("_allow"))
+    joined = keyed.join(decided, ["_host", "_path"], "left")
+    return joined.withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_host", "_path", "_allow")
 
 
 def is_html(status: Column, content_type: Column) -> Column:

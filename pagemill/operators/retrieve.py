@@ -8,6 +8,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,25 +31,32 @@ _HITS = T.StructType(
 )
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dim)
+_Space = tuple[str, int]  # a collection and a width: only vectors of one space are compared
 
 
-def _tiles(asked: pa.Table, dim: int) -> dict[str, list[tuple[np.ndarray, np.ndarray]]]:
-    """Question names and matrices by collection, at most ``TILE_ROWS`` questions each."""
-    out: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    collections = np.array(asked.column("collection").to_pylist(), dtype=object)
-    names = np.array(asked.column("key").to_pylist(), dtype=object)
-    matrix = _matrix(asked.column("embedding").combine_chunks(), dim)
-    for collection in sorted(set(collections)):
-        rows = np.nonzero(collections == collection)[0]
-        out[collection] = [
-            (names[part], matrix[part])
-            for part in (rows[i : i + TILE_ROWS] for i in range(0, len(rows), TILE_ROWS))
-        ]
+def _spaces(batch: pa.RecordBatch | pa.Table) -> dict[_Space, tuple[np.ndarray, np.ndarray]]:
+    """Keys and matrices of a batch by space."""
+    out = {}
+    names = np.array(batch.column("key").to_pylist(), dtype=object)
+    vectors = batch.column("embedding")
+    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    widths = np.array(pc.list_value_length(vectors).to_pylist(), dtype=np.int64)
+    collections = np.array(batch.column("collection").to_pylist(), dtype=object)
+    for space in set(zip(collections.tolist(), widths.tolist(), strict=True)):
+        rows = np.nonzero((collections == space[0]) & (widths == space[1]))[0]
+        flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+        out[space] = names[rows], flat.astype("float64").reshape(-1, space[1])
     return out
 
 
+def _tiles(asked: pa.Table) -> dict[_Space, list[tuple[np.ndarray, np.ndarray]]]:
+    """Question names and matrices by space, at most ``TILE_ROWS`` questions each."""
+    return {
+        space: [(names[i : i + TILE_ROWS], matrix[i : i + TILE_ROWS]) for i in range(0, len(names), TILE_ROWS)]
+        for space, (names, matrix) in _spaces(asked).items()
+    }
+
+
 class _Best:
     """The ``k`` nearest vectors of each question of one tile, over all vectors a task has seen."""
 
@@ -83,22 +91,20 @@ class _Best:
         )
 
 
-def _search(stored: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
+def _search(stored: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """One scan of the vectors against a broadcast set of questions; at most k rows per task each."""
-    tiles = stored.sparkSession.sparkContext.broadcast(_tiles(asked.toArrow(), dim))
+    tiles = stored.sparkSession.sparkContext.broadcast(_tiles(asked.toArrow()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, list[_Best]] = {}
+        best: dict[_Space, list[_Best]] = {}
         for batch in batches:
-            names = np.array(batch.column("collection").to_pylist(), dtype=object)
-            ids = np.array(batch.column("key").to_pylist(), dtype=object)
-            vectors = _matrix(batch.column("embedding"), dim)
-            for collection in set(names) & set(tiles.value):
-                if collection not in best:
-                    best[collection] = [_Best(n, m, k) for n, m in tiles.value[collection]]
-                here = names == collection
-                for tile in best[collection]:
-                    tile.offer(ids[here], vectors[here])
+            for space, (ids, vectors) in _spaces(batch).items():
+                if space not in tiles.value:
+                    continue
+                if space not in best:
+                    best[space] = [_Best(n, m, k) for n, m in tiles.value[space]]
+                for tile in best[space]:
+                    tile.offer(ids, vectors)
         for group in best.values():
             for tile in group:
                 if len(tile.held):
@@ -107,11 +113,38 @@ def _search(stored: DataFrame, asked: DataFrame, k: int, dim: int) -> DataFrame:
     return stored.mapInArrow(run, _HITS)
 
 
+def input_problem() -> Column:
+    """Why a question or vector cannot be compared; empty if it can."""
+    return (
+        F.when(F.col("collection").isNull(), "no collection")
+        .when(F.coalesce(F.size("embedding"), F.lit(0)) <= 0, "no embedding")
+        .when(F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), "incomplete embedding")
+        .otherwise("")
+    )
+
+
+def unanswerable(questions: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``question_id, sub_idx, reason`` of questions that ``nearest_vectors`` gives no hits for.
+
+    Beside unusable ones, those whose collection holds no vector, or none of the question's width.
+    """
+    asked = questions.select("question_id", "sub_idx", "collection", "embedding", input_problem().alias("problem"))
+    held = vectors.filter(input_problem() == "").select("collection", F.size("embedding").alias("width")).distinct()
+    widths = held.groupBy("collection").agg(F.collect_set("width").alias("widths"))
+    reason = (
+        F.when(F.col("problem") != "", F.col("problem"))
+        .when(F.col("widths").isNull(), "empty collection")
+        .when(~F.array_contains("widths", F.size("embedding")), "other width than the collection")
+        .otherwise("")
+    )
+    marked = asked.join(widths, "collection", "left").withColumn("reason", reason)
+    return marked.filter("reason <> ''").select("question_id", "sub_idx", "reason")
+
+
 def nearest_vectors(
     questions: DataFrame,
     vectors: DataFrame,
     k: int = fv.VECTOR_TOP_K,
-    dim: int = 64,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Exact ``k`` nearest vectors (squared L2) of every sub-question in its collection.
@@ -121,25 +154,23 @@ def nearest_vectors(
     big for one task; each batch meets the questions as one matrix product, and a task hands on at
     most ``k`` rows per question.  Questions are broadcast up to a measured ``broadcast_bytes``;
     more of them are split by hash into as many scans as that takes.  Ties are broken by id.
+    Collections may hold vectors of any width; ``unanswerable`` names the questions that meet none.
     """
     if k <= 0:
         none = "question_id string, sub_idx int, id string, distance double, rank int"
         return questions.sparkSession.createDataFrame([], none)
     key = F.concat_ws("\x1f", F.col("question_id").cast("string"), F.col("sub_idx").cast("string"))
-    usable = (
-        (F.size("embedding") == dim)
-        & F.col("collection").isNotNull()
-        & F.forall("embedding", lambda x: x.isNotNull())
-    )
+    usable = input_problem() == ""
     asked = questions.filter(usable).select("collection", key.alias("key"), "embedding")
     stored = vectors.filter(usable).select("collection", F.col("id").alias("key"), "embedding")
-    scans = max(1, -(-asked.count() * (dim * 8 + 128) // broadcast_bytes))
+    size = F.sum(F.size("embedding") * 8 + F.length("key") + F.length("collection") + 64)
+    scans = max(1, -(-(asked.agg(size).first()[0] or 0) // broadcast_bytes))
     if scans == 1:
-        hits = _search(stored, asked, k, dim)
+        hits = _search(stored, asked, k)
     else:
         parts = [
             cut_lineage(
-                _search(stored, asked.filter(F.pmod(F.xxhash64("key"), F.lit(scans)) == i), k, dim), "hits"
+                _search(stored, asked.filter(F.pmod(F.xxhash64("key"), F.lit(scans)) == i), k), "hits"
             )
             for i in range(scans)
         ]

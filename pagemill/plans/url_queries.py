@@ -201,7 +201,9 @@ def robots_bodies(t):
         F.concat(F.lit("Allow: "), folder)
     )
     lines = t.pages.select(urls.host_of(url_col()).alias("host"), "page_id", rule.alias("rule"))
-    listed = lines.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("page_id", "rule"))).alias("r"))
+    # a rule counts where it stands first, so a host's file has at most two lines per folder
+    once = lines.groupBy("host", "rule").agg(F.min("page_id").alias("page_id"))
+    listed = once.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("page_id", "rule"))).alias("r"))
     return listed.select(
         "host",
         F.concat(
@@ -214,8 +216,8 @@ def robots_bodies(t):
     )
 
 
-_RULES = rf"""rules AS (SELECT {_HOST} AS host, page_id, page_id % 3 <> 0 AS allow,
-    regexp_extract({_PATH}, '^(/[^/]+/\d)', 1) AS rule FROM pages)"""
+_RULES = rf"""rules AS (SELECT {_HOST} AS host, min(page_id) AS page_id, page_id % 3 <> 0 AS allow,
+    regexp_extract({_PATH}, '^(/[^/]+/\d)', 1) AS rule FROM pages GROUP BY ALL)"""
 
 
 @query(
@@ -243,13 +245,20 @@ def _(t):
 
 # --- sitemaps ------------------------------------------------------------------------
 
+SITEMAP_ENTRIES = 50_000  # of one file, by the sitemap protocol
+
+
 def sitemap_bodies(t):
-    """One urlset per host and language folder, one index per host, all from the page table."""
+    """Urlsets per host and language folder, one index per host, all from the page table.
+
+    A urlset takes one range of ids, so it has no more entries than the protocol allows.
+    """
     pages = t.pages.select(
         "page_id",
         "url",
         urls.host_of(url_col()).alias("host"),
         F.regexp_extract(urls.path_of(url_col()), "^/([^/]+)/", 1).alias("folder"),
+        F.floor(F.col("page_id") / SITEMAP_ENTRIES).alias("part"),
     )
     entry = F.concat(
         F.lit("<url><loc>"),
@@ -258,10 +267,11 @@ def sitemap_bodies(t):
         (F.col("page_id") % 4) / 2.0,
         F.lit("</priority></url>"),
     )
-    sets = pages.groupBy("host", "folder").agg(
+    sets = pages.groupBy("host", "folder", "part").agg(
         F.sort_array(F.collect_list(F.struct("page_id", entry.alias("e")))).alias("es")
     )
-    leaf_url = F.concat(F.lit("https://"), F.col("host"), F.lit("/"), F.col("folder"), F.lit("/sitemap.xml"))
+    part = F.when(F.col("part") == 0, "").otherwise(F.concat(F.lit("-"), F.col("part")))
+    leaf_url = F.concat(F.lit("https://"), F.col("host"), F.lit("/"), F.col("folder"), F.lit("/sitemap"), part, F.lit(".xml"))
     leaves = sets.select(
         leaf_url.alias("url"),
         F.concat(
@@ -285,12 +295,13 @@ def sitemap_bodies(t):
 
 
 _FOLDER = f"regexp_extract({_PATH}, '^/([^/]+)/', 1)"
+_LEAF = f"""'https://' || {_HOST} || '/' || {_FOLDER} || '/sitemap' || CASE WHEN page_id < {SITEMAP_ENTRIES} THEN '' ELSE '-' || (page_id // {SITEMAP_ENTRIES}) END || '.xml'"""
 
 
 @query(
     "src_sitemap_xml",
     f"""SELECT {NORMAL} AS url, '2024-01-01' AS last_modified, least(1.0, (page_id % 4) / 2.0) AS priority,
-      'https://' || {_HOST} || '/' || {_FOLDER} || '/sitemap.xml' AS source_sitemap FROM pages""",
+      {_LEAF} AS source_sitemap FROM pages""",
 )
 def _(t):
     leaves, _ = sitemap_bodies(t)
@@ -300,7 +311,7 @@ def _(t):
 @query(
     "src_sitemap_index",
     f"""SELECT DISTINCT 'https://' || {_HOST} || '/sitemap_index.xml' AS url, 0 AS level FROM pages
-    UNION ALL SELECT DISTINCT 'https://' || {_HOST} || '/' || {_FOLDER} || '/sitemap.xml', 1 FROM pages""",
+    UNION ALL SELECT DISTINCT {_LEAF}, 1 FROM pages""",
 )
 def _(t):
     leaves, indexes = sitemap_bodies(t)
@@ -561,7 +572,7 @@ def _(t):
 
 @query(
     "sink_sitemap_sets",
-    f"""SELECT 'discovered' AS kind, 'https://' || {_HOST} || '/' || {_FOLDER} || '/sitemap.xml' AS url FROM pages GROUP BY 2
+    f"""SELECT 'discovered' AS kind, {_LEAF} AS url FROM pages GROUP BY 2
     UNION ALL SELECT 'extracted', {NORMAL} FROM pages
     UNION ALL SELECT 'filtered', url FROM (SELECT DISTINCT {NORMAL} AS url FROM pages) WHERE NOT {_BLOCKED}""",
 )

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions.text import text_or_empty
+from pagemill.session import delete_paths, salt_buckets, scratch_dir
 
 
 def read_stage_json(
@@ -61,24 +61,27 @@ def write_stage(df: DataFrame, path: str) -> None:
 def write_split(df: DataFrame, reason: str, accepted_path: str, rejected_path: str) -> None:
     """Accepted and rejected rows of one stage, told apart by ``reason``.
 
-    The stage is computed once and spilled to disk where memory is short.
+    The stage is computed once, into the shared folder, and removed from there afterwards.
     """
+    spark, staged = df.sparkSession, scratch_dir(df.sparkSession, "split")
+    df.write.parquet(staged)
+    rows = spark.read.schema(df.schema).parquet(staged)
     is_accepted = text_or_empty(F.col(reason)) == ""
-    df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        df.filter(is_accepted).drop(reason).write.mode("overwrite").parquet(accepted_path)
-        df.filter(~is_accepted).write.mode("overwrite").parquet(rejected_path)
-    finally:
-        df.unpersist()
+    rows.filter(is_accepted).drop(reason).write.mode("overwrite").parquet(accepted_path)
+    rows.filter(~is_accepted).write.mode("overwrite").parquet(rejected_path)
+    delete_paths(spark, staged)
 
 
 def write_by_key(df: DataFrame, key: Column, path: str, buckets: int = 256) -> None:
-    """Rows filed under the sha256 of their key; ``bucket`` folders replace one file per row."""
+    """Rows filed under the sha256 of their key; ``bucket`` folders replace one file per row.
+
+    A bucket is written by as many tasks as a shuffle has, told apart by further digits of the digest.
+    """
     filed = df.withColumn("file_stem", F.sha2(key, 256))
     bucket = F.conv(F.substring("file_stem", 1, 8), 16, 10).cast("long") % buckets
-    filed.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy(
-        "bucket"
-    ).parquet(path)
+    salt = F.conv(F.substring("file_stem", 9, 8), 16, 10).cast("long") % salt_buckets(df.sparkSession)
+    spread = filed.withColumn("bucket", bucket).repartition(F.col("bucket"), salt)
+    spread.write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def write_sets(sets: dict[str, DataFrame], path: str) -> None:

@@ -24,6 +24,24 @@ PAGE = """<!doctype html><html lang="en"><head><title> My <b>Page</b> &amp; more
 
 # --- duplicates ------------------------------------------------------------------------------
 
+def test_first_wins_with_null_keys(spark):
+    rows = [(0, None, "a"), (1, None, "a"), (2, "k", "a"), (3, None, "b")]
+    df = spark.createDataFrame(rows, "pos long, k string, w string")
+    marked = with_first(df, ["k"], ["pos"], where=F.col("w") == "a").withColumn("f", is_first(["pos"]))
+    got = {r["pos"]: (r["_first"] and r["_first"]["pos"], r["_n"]) for r in marked.collect()}
+    assert got == {0: (0, 2), 1: (0, 2), 2: (2, 1), 3: (None, None)}
+    urls = spark.createDataFrame([(0, None), (1, None)], "pos long, url string")
+    assert sorted(r["outcome"] for r in crawl.filter_urls(urls, ["pos"]).collect())[-1] == "duplicate"
+    assert crawl.filter_urls(urls, ["pos"]).filter("outcome = 'duplicate'").count() == 1
+
+
+def test_wide_pages_lose_boilerplate_in_one_pass():
+    html = "<html><body><main>" + "<nav>x</nav>" * 50_000 + "<p>kept</p></main></body></html>"
+    root = dom.build(html)
+    dom.drop_boilerplate(root)
+    assert dom.body_of(root).text() == "kept"
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_first_wins_with_a_hot_key(spark, partitions):
     rows = [(i, "hot" if i % 3 else f"k{i % 50}", f"u{i}") for i in range(3000)]
@@ -245,13 +263,24 @@ def test_nearest_is_exact_with_ties_and_a_hot_vector(spark, broadcast_bytes):
     q = {(i, 0, "c%d" % (i % 3)): (hot if i == 4 else rng.normal(size=8).astype("float32")) for i in range(12)}
     qs = spark.createDataFrame([(a, b, c, [float(z) for z in x]) for (a, b, c), x in q.items()], "question_id int, sub_idx int, collection string, embedding array<float>")
     vs = spark.createDataFrame([(c, i, [float(z) for z in x]) for (c, i), x in v.items()], "collection string, id string, embedding array<float>")
-    hits = retrieve.nearest_vectors(qs, vs.repartition(6), k=7, dim=8, broadcast_bytes=broadcast_bytes).collect()
+    hits = retrieve.nearest_vectors(qs, vs.repartition(6), k=7, broadcast_bytes=broadcast_bytes).collect()
     got = {}
     for r in sorted(hits, key=lambda r: r["rank"]):
         got.setdefault((r["question_id"], r["sub_idx"]), []).append((r["id"], r["distance"]))
     want = {k: x for k, x in brute_nearest(q, v, 7).items() if x}
     assert {k: [i for i, _ in x] for k, x in got.items()} == {k: [i for i, _ in x] for k, x in want.items()}
-    assert retrieve.nearest_vectors(qs, vs, k=0, dim=8).count() == 0
+    assert retrieve.nearest_vectors(qs, vs, k=0).count() == 0
+
+
+def test_vectors_of_two_widths_and_unusable_questions(spark):
+    wide, narrow = [1.0, 2.0, 3.0], [1.0, 2.0]
+    vs = spark.createDataFrame([("a", "w", wide), ("a", "n", narrow), ("b", "n2", narrow), ("b", "z", [1.0, None])], "collection string, id string, embedding array<float>")
+    rows = [(1, 0, "a", wide), (2, 0, "a", narrow), (3, 0, "b", wide), (4, 0, "c", narrow), (5, 0, None, narrow), (6, 0, "b", None), (7, 0, "b", [None, 1.0])]
+    qs = spark.createDataFrame(rows, "question_id int, sub_idx int, collection string, embedding array<float>")
+    got = {(r["question_id"], r["id"]) for r in retrieve.nearest_vectors(qs, vs).collect()}
+    assert got == {("1", "w"), ("2", "n")}
+    reasons = {r["question_id"]: r["reason"] for r in retrieve.unanswerable(qs, vs).collect()}
+    assert reasons == {3: "other width than the collection", 4: "empty collection", 5: "no collection", 6: "no embedding", 7: "incomplete embedding"}
 
 
 def test_rerank_and_confidence_edges(spark):
@@ -284,7 +313,11 @@ def test_vector_table_replays_and_upserts(spark):
     state = {(r["id"], r["document"]) for r in table.read("c").collect()}
     assert state == {("a", "1"), ("b", "2"), ("d", "2")}
     assert {(r["id"], r["document"]) for r in table.compact().read().collect()} == state
-    assert table.drop("c").counts().count() == 0
+    table.write(batch([]), 1)  # a replay without rows leaves none behind
+    assert {(r["id"], r["document"]) for r in table.read("c").collect()} == {("a", "1"), ("b", "1")}
+    assert [r[0] for r in table.collections().collect()] == ["c"]
+    table.drop("c")
+    assert table.counts().count() == 0  # in place: the same table, not a copy
 
 
 # --- streaming ----------------------------------------------------------------------------------------
@@ -315,6 +348,23 @@ def test_stream_restart_and_replay_add_nothing(spark):
     assert split_run.progress().first()["status"] == "done"
 
 
+def test_stream_retries_pages_that_failed_and_forces_in_place(spark):
+    words = "This is a page about the number that it has, with words for the gate and a body of text to index"
+    names = "page_id long, url string, html string"
+    path = scratch_dir(spark, "pages")
+    first = [page(0, words), (1, "https://h/en/1", None)]
+    spark.createDataFrame(first, names).write.parquet(path)
+    job = SiteIndexer(spark, scratch_dir(spark, "retry"), "site", crawled_at="2024-01-01T00:00:00+00:00").run(path)
+    assert [r["url_key"] for r in job.processed_urls().collect()] == ["https://h/en/0"]
+    spark.createDataFrame([page(1, words)], names).write.mode("append").parquet(path)
+    assert job.run(path).processed_urls().count() == 2
+    other = scratch_dir(spark, "pages")
+    spark.createDataFrame([page(5, words)], names).write.parquet(other)
+    job.run(other, force=True)
+    assert [r["url_key"] for r in job.run(other).processed_urls().collect()] == ["https://h/en/5"]
+    assert {r["document"].split()[0] for r in job.vectors().read().collect()} and job.stats().count() == 1
+
+
 # --- sources ---------------------------------------------------------------------------------------------
 
 def test_lenient_and_strict_json(spark, tmp_path):
