@@ -9,6 +9,7 @@ from pagemill import fixed_values as fv
 from pagemill.functions import urls
 from pagemill.functions.text import text_or_empty
 from pagemill.operators.dedup import is_first, keep_first_rows, with_first
+from pagemill.session import cut_lineage
 
 
 def filter_urls(df: DataFrame, order: list[str], url: str = "url", keys: list[str] | None = None) -> DataFrame:
@@ -181,7 +182,8 @@ def reachable_pages(
     ``seeds(seed_id, target)``, ``pages(url, usable)`` with normalized URLs, ``links(url, pos,
     link)``.  Every visited URL counts towards ``max_pages`` of its seed; only usable pages in the
     seed's scope are discovered and, above ``max_depth``, expanded.  At most ``max_pages`` rows per
-    seed are ever kept between levels; the loop runs ``max_depth + 1`` times.
+    seed are ever kept between levels; the loop runs ``max_depth + 1`` times and writes each level once.
+    Depth and number of pages are features of a crawl: what lies beyond them is left out.
     """
     seed = ["seed_id", "target"]
     page_flags = pages.select("url", "usable")
@@ -217,6 +219,7 @@ def reachable_pages(
                 ).alias("discovered"),
             )
         )
+        level = cut_lineage(level, "reached")
         visited = level if visited is None else visited.unionByName(level)
         if depth < max_depth:
             frontier = (

@@ -6,9 +6,13 @@ from pyspark.sql import functions as F
 
 from pagemill import fixed_values as fv
 from pagemill.functions import text, urls
-from pagemill.operators import clean, metadata, pages as page_ops
+from pagemill.functions.language import reads_english
+from pagemill.operators import clean, crawl, metadata, pages as page_ops
 from pagemill.plans import query, sql
-from pagemill.plans.url_queries import CANON
+from pagemill.plans.url_queries import CANON, NORMAL, fetched_pages
+from pagemill.plans.url_queries import _FETCHED as FETCHED
+from pagemill.plans.url_queries import _HOST as HOST
+from pagemill.session import cut_lineage
 
 # --- parse ----------------------------------------------------------------------------
 
@@ -309,3 +313,51 @@ def _(t):
 )
 def _(t):
     return metadata.metadata_summary(enriched(t))
+
+
+# --- links: every host has a home page that names its pages --------------------------------------
+
+_CAP = fv.CRAWL_PAGES
+
+
+@query(
+    "link_reachability",
+    f"""{FETCHED}, {PARSED}, probed AS (SELECT page_id, array_to_string(list_filter([title, heading, content], lambda x: x <> ''), chr(10)) AS probe FROM parsed),
+    p AS (SELECT page_id, {HOST} AS host, {NORMAL} AS url, html, url AS raw, allowed AND status_code = 200 AND contains(lower(content_type), 'text/html') AND
+      (english OR {sql.reads_english('probe')}) AS usable FROM f JOIN probed USING (page_id)),
+    u AS (SELECT url, bool_or(usable) AS usable FROM p GROUP BY url),
+    c1 AS (SELECT host, url, min(page_id) AS pos FROM p GROUP BY ALL),
+    l1 AS (SELECT * FROM (SELECT c1.*, usable, row_number() OVER (PARTITION BY host ORDER BY pos) AS r FROM c1 JOIN u USING (url)) WHERE r < {_CAP}),
+    h AS (SELECT page_id, url, regexp_extract(raw, '^(https?://[^/?#]+)', 1) AS origin, unnest(hs) AS href, generate_subscripts(hs, 1) AS i
+      FROM (SELECT *, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS hs FROM p)),
+    e AS (SELECT url, rtrim(lower(CASE WHEN starts_with(href, '/') THEN origin || href ELSE href END), '/') AS link, i FROM h),
+    c2 AS (SELECT host, link, min(struct_pack(r := r, i := i)) AS place FROM l1 JOIN e USING (url) WHERE usable AND
+      NOT EXISTS (FROM l1 x WHERE x.host = l1.host AND x.url = e.link) AND link <> 'https://' || host GROUP BY ALL),
+    l2 AS (SELECT * FROM (SELECT c2.*, row_number() OVER (PARTITION BY host ORDER BY place) AS r FROM c2)
+      JOIN (SELECT host, count(*) + 1 AS spent FROM l1 GROUP BY host) USING (host) WHERE r + spent <= {_CAP})
+    SELECT host AS seed, 0 AS depth, 1 AS urls, 1 AS discovered FROM l1 GROUP BY host
+    UNION ALL SELECT host, 1, count(*), count(*) FILTER (usable) FROM l1 GROUP BY host
+    UNION ALL SELECT host, 2, count(*), 0 FROM l2 GROUP BY host""",
+)
+def _(t):
+    """From each host's home page over its pages to their own links, with all gates of a crawl."""
+    fetched = fetched_pages(t, F.col("html")).withColumn("url", urls.normalize_url(F.col("url")))
+    read = page_ops.parse_pages(fetched).withColumn(
+        "english", F.col("english") | reads_english(page_ops.language_probe())
+    )
+    judged = crawl.validate_targets(read).select("url", (F.col("reason") == "").alias("usable"))
+    known = t.pages.select("page_id", urls.host_of(F.col("url")).alias("seed_id"), urls.normalize_url(F.col("url")).alias("link"))
+    home = F.concat(F.lit("https://"), F.col("seed_id"))
+    homes = known.select("seed_id", home.alias("url")).distinct()
+    usable = judged.groupBy("url").agg(F.bool_or("usable").alias("usable")).unionByName(
+        homes.select("url", F.lit(True).alias("usable"))
+    )
+    named = page_ops.extract_links(t.pages.select("url", "html")).select(
+        urls.normalize_url(F.col("url")).alias("url"), F.col("pos").cast("long").alias("pos"), "link"
+    )
+    links = known.select(home.alias("url"), F.col("page_id").alias("pos"), "link").unionByName(named)
+    seeds = homes.select("seed_id", F.col("url").alias("target"))
+    found = crawl.reachable_pages(seeds, cut_lineage(usable, "usable"), cut_lineage(links, "links"))
+    return found.groupBy(F.col("seed_id").alias("seed"), "depth").agg(
+        F.count("*").alias("urls"), F.count_if("discovered").alias("discovered")
+    )

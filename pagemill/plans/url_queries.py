@@ -466,37 +466,6 @@ def _(t):
     )
 
 
-@query(
-    "link_reachability",
-    f"""WITH p AS (SELECT page_id, {NORMAL} AS url, starts_with(regexp_extract(html, '<html[^>]* lang="([^"]*)"', 1), 'en') AS usable FROM pages),
-    u AS (SELECT url, bool_or(usable) AS usable FROM p GROUP BY url),
-    l0 AS (SELECT url AS seed, url, 0 AS depth, usable AS discovered FROM u),
-    e AS (SELECT DISTINCT p.url, q.url AS link FROM p JOIN p q ON q.page_id BETWEEN p.page_id + 1 AND p.page_id + 2),
-    l1 AS (SELECT DISTINCT seed, e.link AS url, 1 AS depth, false AS discovered FROM l0 JOIN e ON l0.url = e.url WHERE discovered AND e.link <> seed)
-    SELECT seed, url, depth, discovered FROM l0 UNION ALL SELECT l1.seed, l1.url, 1, u.usable AND
-      (regexp_extract(l1.url, '^https?://([^/?#]+)', 1) = regexp_extract(l1.seed, '^https?://([^/?#]+)', 1)) AND
-      (regexp_extract(l1.url, '^https?://[^/?#]+([^?#]*)', 1) = rtrim(regexp_extract(l1.seed, '^https?://[^/?#]+([^?#]*)', 1), '/') OR
-       starts_with(regexp_extract(l1.url, '^https?://[^/?#]+([^?#]*)', 1), rtrim(regexp_extract(l1.seed, '^https?://[^/?#]+([^?#]*)', 1), '/') || '/'))
-      FROM l1 JOIN u ON u.url = l1.url""",
-)
-def _(t):
-    """Every page is a seed; each page links to the two pages that follow it in the table."""
-    pages = t.pages.select(
-        "page_id", urls.normalize_url(url_col()).alias("url"), declares_english(F.col("html")).alias("usable")
-    )
-    step = pages.select("page_id", "url", F.explode(F.array(F.lit(1), F.lit(2))).alias("pos"))
-    named = pages.select(F.col("page_id").alias("to_id"), F.col("url").alias("link"))
-    links = (
-        step.withColumn("to_id", F.col("page_id") + F.col("pos"))
-        .join(named, "to_id")
-        .select("url", "pos", "link")
-    )
-    unique = pages.groupBy("url").agg(F.bool_or("usable").alias("usable"))
-    seeds = unique.select(F.col("url").alias("seed_id"), F.col("url").alias("target"))
-    found = crawl.reachable_pages(seeds, unique, cut_lineage(links, "links"), max_depth=1)
-    return found.select(F.col("seed_id").alias("seed"), "url", "depth", "discovered")
-
-
 @query(
     "sitemap_fallback",
     f"""WITH s AS (SELECT {_HOST} AS host, {NORMAL} AS url, page_id FROM pages),
@@ -526,12 +495,18 @@ def _(t):
     )
 
 
-@query("src_stage_json", "SELECT conv_id, turn, role, text FROM conversations")
+@query("src_stage_json", "SELECT conv_id, turn, role, text, kind FROM conversations, (SELECT unnest(['lines', 'arrays']) AS kind)")
 def _(t):
-    path = scratch_dir(t.spark, "stage-json")
-    t.conversations.write.json(path)
+    """The turns as JSON lines and as files that hold one JSON array each, of a range of conversations."""
+    lines, arrays = scratch_dir(t.spark, "stage-json"), scratch_dir(t.spark, "stage-arrays")
+    t.conversations.write.json(lines)
+    row = F.struct("conv_id", "turn", "role", "text")
+    part = F.concat_ws("-", F.floor(F.col("conv_id") / 1000), F.floor(F.col("turn") / 100))
+    grouped = t.conversations.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(row)).alias("value"))
+    grouped.write.partitionBy("part").text(arrays)
     schema = T.StructType().add("conv_id", "long").add("turn", "long").add("role", "string").add("text", "string")
-    return stage.read_stage_json(t.spark, path, schema, lines=True)
+    read = stage.read_stage_json(t.spark, lines, schema, lines=True).withColumn("kind", F.lit("lines"))
+    return read.unionByName(stage.read_stage_json(t.spark, arrays, schema).drop("part").withColumn("kind", F.lit("arrays")))
 
 
 @query("src_lenient_table", "SELECT c_custkey, c_name FROM customer")
