@@ -180,39 +180,45 @@ def dashboard(
     as_of: Column,
     recent: int = 2,
 ) -> DataFrame:
-    """One row per user: owned sites, totals, today's figures, active widgets, latest widgets."""
-    base = users.select(F.col("id").alias("user_id"))
-    sites = owners.groupBy(F.col("owner_id").alias("user_id")).agg(F.count("*").alias("total_websites"))
-    healed = healed_stats(stats, daily)
-    today = daily.filter(F.col("date") == as_of).select(
-        "user_id", F.col("queries").alias("queries_today"), F.col("tokens").alias("tokens_today")
-    )
-    active = (
-        widgets.filter(F.col("status") == "active")
-        .groupBy(F.col("owner_id").alias("user_id"))
-        .agg(F.count("*").alias("active_widgets"))
-    )
+    """One row per user: owned sites, totals, today's figures, active widgets, latest widgets.
+
+    The sources are laid under each other and meet in one aggregate by user, combined on the map side.
+    """
     touched = F.coalesce("updated_at", "created_at")
     latest = Window.partitionBy("owner_id").orderBy(touched.desc_nulls_last(), "widget_id")
-    top = widgets.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= recent)
-    activity = top.groupBy(F.col("owner_id").alias("user_id")).agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("_rn", "display_name"))),
-                lambda w: w["display_name"],
-            ),
-            "|",
-        ).alias("recent_activity")
-    )
-    out = base
-    for part in (sites, healed, today, active, activity):
-        out = out.join(part, "user_id", "left")
-    counters = [
-        "total_websites", "total_queries", "total_tokens", "queries_today", "tokens_today",
-        "active_widgets",
+    rank = F.row_number().over(latest)
+    today = F.col("date") == as_of
+    parts = [
+        users.select(F.col("id").alias("user_id"), F.lit(1).alias("known")),
+        owners.select(F.col("owner_id").alias("user_id"), F.lit(1).alias("site")),
+        widgets.filter(F.col("status") == "active").select(F.col("owner_id").alias("user_id"), F.lit(1).alias("active")),
+        widgets.withColumn("rank", rank).filter(F.col("rank") <= recent).select(
+            F.col("owner_id").alias("user_id"), F.struct("rank", "display_name").alias("widget")
+        ),
+        stats.select("user_id", "total_queries", "total_tokens"),
+        daily.select(
+            "user_id",
+            "queries",
+            "tokens",
+            F.when(today, F.col("queries")).alias("queries_now"),
+            F.when(today, F.col("tokens")).alias("tokens_now"),
+        ),
     ]
-    return out.select(
-        "user_id",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in counters],
-        F.coalesce("recent_activity", F.lit("")).alias("recent_activity"),
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    healed = lambda kept, c: F.greatest(F.coalesce(F.max(kept), F.lit(0)), total(c))
+    met = rows.groupBy("user_id").agg(
+        F.max("known").alias("known"),
+        F.count("site").alias("total_websites"),
+        healed("total_queries", "queries").alias("total_queries"),
+        healed("total_tokens", "tokens").alias("total_tokens"),
+        total("queries_now").alias("queries_today"),
+        total("tokens_now").alias("tokens_today"),
+        F.count("active").alias("active_widgets"),
+        F.array_join(
+            F.transform(F.sort_array(F.collect_list("widget")), lambda w: w["display_name"]), "|"
+        ).alias("recent_activity"),
     )
+    return met.filter("known = 1").drop("known")
