@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.batches import texts
 
 MARK = "▁"
-KEPT_WORDS, KEPT_PAIRS = 400_000, 1_000_000  # a worker's memories; each is emptied when full
+KEPT_WORDS, KEPT_PAIRS = 1_000_000, 1_000_000  # a worker's memories; each is emptied when full
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
@@ -60,12 +60,13 @@ class PieceModel:
         self.marked = [n.startswith(MARK) and n in self.ids for n in names]
         self.reach: dict[str, int] = {}  # length of the longest piece by its last three characters
         for name in self.ids:
-            self.reach[name[-3:]] = max(self.reach.get(name[-3:], 0), len(name))
+            self.reach[name[-3:]] = max(self.reach.get(name[-3:], 2), len(name))
         self.unknown = source.unk_id()
         self.kind = np.dtype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
         self.splitter = self._splitter()
         self.words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
+        self.codes: dict[str, bytes] = {}
 
     def _splitter(self) -> re.Pattern:
         """Words end where no piece crosses; worked out from the whole vocabulary.
@@ -111,23 +112,29 @@ class PieceModel:
         fits = self.pairs[left, right] = self.merged(left + right) == [left, right]
         return fits
 
-    def _bytes_of(self, piece: str) -> list[int]:
+    def _code(self, piece: str) -> bytes:
+        """The ids of a piece or of a character outside the vocabulary, as raw numbers."""
         known = self.ids.get(piece)
         if known is not None:
-            return [known]
-        return [self.bytes_id.get(b, self.unknown) for b in piece.encode()] if self.bytes_id else [self.unknown]
+            ids = [known]
+        elif self.bytes_id:
+            ids = [self.bytes_id[b] for b in piece.encode()]
+        else:
+            ids = [self.unknown]
+        return np.array(ids, self.kind).tobytes()
 
     def learn(self, words: list[str]) -> None:
         """Encode distinct words in depth-first order of their trie."""
-        last: list[str] = []  # the last piece of each prefix of the current path
-        path, known, pairs, reach = "", self.ids, self.pairs, self.reach
+        last: list[str] = []  # of each prefix of the current path: its last piece,
+        coded: list[bytes] = []  # and the ids of all its pieces
+        path, known, pairs, reach, codes = "", self.ids, self.pairs, self.reach, self.codes
         for word in sorted(words):
             shared, most = 0, min(len(path), len(word))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
-            del last[shared:]
+            del last[shared:], coded[shared:]
             for end in range(shared + 1, len(word) + 1):
-                size = max(reach.get(word[max(0, end - 3) : end], 2), 2)  # shorter ones are tried anyhow
+                size = reach.get(word[end - 3 if end > 3 else 0 : end], 2)  # shorter ones are tried anyhow
                 for begin in range(end - size if end > size else 0, end):
                     piece = word[begin:end]
                     if piece in known or end - begin == 1:
@@ -137,14 +144,13 @@ class PieceModel:
                         fits = pairs.get((left, piece))
                         if fits or (fits is None and self.valid(left, piece)):
                             break
+                code = codes.get(piece)
+                if code is None:
+                    code = codes[piece] = self._code(piece)
                 last.append(piece)
-            path, at, found = word, len(word), []
-            while at:
-                piece = last[at - 1]
-                found.append(piece)
-                at -= len(piece)
-            ids = [i for piece in reversed(found) for i in self._bytes_of(piece)]
-            self.words[word] = np.array(ids, self.kind).tobytes()
+                coded.append(coded[begin - 1] + code if begin else code)
+            path = word
+            self.words[word] = coded[-1]
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
         if len(self.words) > KEPT_WORDS:
@@ -185,7 +191,9 @@ def decode_pieces(ids: Column | str, model_path: str) -> Column:
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        model = load_model(model_path)
-        return pa.array([None if x is None else model.decode(x) for x in column.to_pylist()], pa.string())
+        model, values, ends = load_model(model_path), column.values.to_numpy(), column.offsets.to_numpy().tolist()
+        missing = column.is_null().to_pylist()
+        rows = zip(missing, ends[:-1], ends[1:], strict=True)
+        return pa.array([None if gone else model.decode(values[a:b].tolist()) for gone, a, b in rows], pa.string())
 
     return decode(ids)
