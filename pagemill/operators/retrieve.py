@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -19,6 +19,7 @@ from pagemill.functions import scores, text
 from pagemill.functions.text import compact, content_body, let, strip, text_or_empty
 from pagemill.session import cut_lineage
 
+PairScorer = Callable[[list[tuple[str, str]]], Sequence[float]]
 BROADCAST_BYTES = 32 * 1024 * 1024
 TILE_ROWS = 1024
 
@@ -234,6 +235,25 @@ def keyword_scorer(question: Column, chunk: Column) -> Column:
     return text.overlap(text.keywords(question), text.keywords(chunk))
 
 
+def pair_scorer(load: Callable[[], PairScorer]) -> Callable[[Column, Column], Column]:
+    """A column of scores from a loader of a model that scores a batch of (question, chunk) pairs.
+
+    The loader runs once per Python task.  A batch whose model fails gets the constant score.
+    """
+
+    @F.pandas_udf(T.DoubleType())
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        model = load()
+        for questions, chunks in batches:
+            pairs = list(zip(questions.fillna(""), chunks.fillna(""), strict=True))
+            try:
+                yield pd.Series(list(model(pairs)), dtype="float64")
+            except Exception:  # noqa: BLE001 - ranking goes on without the model
+                yield pd.Series([fv.CONSTANT_RERANK] * len(pairs), dtype="float64")
+
+    return score
+
+
 def smooth_scores(raw: Column) -> Column:
     """Min-max within the question, 0.5 when all are equal, pulled in from the extremes."""
     per_question = Window.partitionBy("question_id")

@@ -197,6 +197,30 @@ def _(t):
     return scored(t).select("question_id", "chunk_id", _r("raw_score").alias("raw_score"))
 
 
+def _shared_words():
+    """A stand-in for a model: the share of the question's distinct words that the chunk has."""
+
+    def score(pairs):
+        split = [(set(q.split(" ")) - {""}, set(c.split(" ")) - {""}) for q, c in pairs]
+        return [len(q & c) / max(1, len(q)) for q, c in split]
+
+    return score
+
+
+@query(
+    "rank_pair_model",
+    """WITH w AS (SELECT conv_id, turn, list_filter(list_distinct(string_split(text, ' ')), lambda x: x <> '') AS ws FROM conversations),
+    p AS (SELECT a.conv_id, a.turn, a.ws AS q, b.ws AS c FROM w a JOIN w b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
+    SELECT conv_id, turn, round(len(list_intersect(q, c)) / greatest(1, len(q)), 6) AS score FROM p""",
+)
+def _(t):
+    """Every turn against the next one, scored in batches by a model that is loaded on the workers."""
+    after = t.conversations.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("chunk"))
+    pairs = t.conversations.select("conv_id", "turn", "text").join(after, ["conv_id", "turn"])
+    score = retrieve.pair_scorer(_shared_words)(F.col("text"), F.col("chunk"))
+    return pairs.select("conv_id", "turn", F.round(score, 6).alias("score"))
+
+
 @query("rank_minmax_smooth", f"WITH {RANKED} SELECT question_id, chunk_id, round(rerank_score, 6) AS rerank_score FROM sm")
 def _(t):
     return ranked(t).select("question_id", "chunk_id", _r("rerank_score").alias("rerank_score"))

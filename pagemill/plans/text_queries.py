@@ -464,3 +464,25 @@ def _(t):
         F.col("v.category").alias("category"), F.col("v.message").alias("message")
     )
     return by_kind.agg(F.count("*").alias("n"))
+
+
+# --- token counts by a tokenizer that is loaded on the workers -----------------------------------
+
+def _load_words():
+    """A stand-in for a tokenizer: runs of letters and digits, and each other character that is no space."""
+    import re
+
+    pieces = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9 \n]")
+    return lambda texts: [pieces.findall(x) for x in texts]
+
+
+@query(
+    "chunk_token_budget",
+    """WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \n]')) AS tokens FROM documents)
+    SELECT doc_id, tokens, CAST(ceil(greatest(tokens - 100, 1) / 400.0) AS BIGINT) AS windows FROM n""",
+)
+def _(t):
+    """Tokens of whole texts and the windows of 500 with an overlap of 100 that they fill."""
+    count = tokens.token_count(F.col("text"), tokens.bpe_counter(_load_words)).cast("long")
+    windows = F.ceil(F.greatest(F.col("tokens") - 100, F.lit(1)) / 400.0)
+    return t.documents.select("doc_id", count.alias("tokens")).select("doc_id", "tokens", windows.alias("windows"))

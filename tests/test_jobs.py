@@ -283,6 +283,21 @@ def test_vectors_of_two_widths_and_unusable_questions(spark):
     assert reasons == {3: "other width than the collection", 4: "empty collection", 5: "no collection", 6: "no embedding", 7: "incomplete embedding"}
 
 
+def test_a_failing_pair_model_gives_the_constant_score(spark):
+    def load():
+        def score(pairs):
+            if any(q == "bad" for q, _ in pairs):
+                raise RuntimeError("no model")
+            return [float(len(q) + len(c)) for q, c in pairs]
+
+        return score
+
+    scorer = retrieve.pair_scorer(load)
+    for rows, want in (([("a", "bc"), (None, "x")], [3.0, 1.0]), ([("bad", "x"), ("a", "b")], [0.65, 0.65])):
+        df = spark.createDataFrame(rows, "q string, c string").coalesce(1)
+        assert [r[0] for r in df.select(scorer(F.col("q"), F.col("c"))).collect()] == want
+
+
 def test_rerank_and_confidence_edges(spark):
     rows = [(1, 1, 0.5, 0.2), (1, 2, 0.4, 0.2), (2, 1, 0.9, None), (2, 2, 0.3, None), (3, 1, 0.1, 0.5), (3, 2, 0.1, 0.1)]
     df = spark.createDataFrame(rows, "question_id int, cand_pos int, semantic_score double, raw_score double").withColumns(
