@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 
 from pagemill.session import cut_lineage, ship_package
 
-BYTES_PER_BATCH = "4m"  # texts may be long: a batch holds some MB, not some hundred
+BYTES_PER_BATCH = "2m"  # texts may be long, and a worker holds a batch many times over while it works
 
 
 def prepare(spark: SparkSession) -> SparkSession:

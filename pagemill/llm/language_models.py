@@ -39,8 +39,8 @@ from pagemill.session import cut_lineage
 ORDER = 4
 MAX_GRAMS = 400_000  # n-grams of all languages and orders in the broadcast model: some 7 MB
 CALIBRATION_DOCS = 4_000
-KEPT_WORDS = 400_000  # a worker's memory of word scores; it is emptied when full
-TASK_WORDS = 200_000  # distinct words that a counting task holds before it hands on n-grams
+KEPT_WORDS = 100_000  # a worker's memory of word scores; it is emptied when full
+TASK_WORDS = 100_000  # distinct words that a counting task holds before it hands on n-grams
 DISCOUNT = 0.75
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
