@@ -36,20 +36,21 @@ from pagemill.llm.batches import map_columns, raw_texts
 from pagemill.llm.suffix_array import common_prefixes, suffix_array
 from pagemill.session import cut_lineage
 
-LENGTH, ANCHOR = 100, 32
+LENGTH, ANCHOR = 100, 24
 SHARD_BYTES = 1_000_000  # of regions that are sorted together
 MOST_REGIONS = 20_000  # contents of one anchor in one shard, some 3 MB
 _PLACE_BITS = 31  # a text has less than 2 GB
 
 
 def _hash_runs(text: bytes, width: int) -> np.ndarray:
-    """Hashes of all runs of ``width`` bytes, a power of two."""
+    """Hashes of all runs of ``width`` bytes."""
     out = (np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     size = 1
     while size < width:
-        mixed = out[:-size] * np.uint64(0xBF58476D1CE4E5B9)
-        out = (mixed ^ (mixed >> np.uint64(29))) + out[size:]
-        size *= 2
+        step = min(size, width - size)  # the last step may overlap
+        mixed = out[:-step] * np.uint64(0xBF58476D1CE4E5B9)
+        out = (mixed ^ (mixed >> np.uint64(29))) + out[step:]
+        size += step
     return out
 
 
@@ -73,13 +74,14 @@ def regions(text: bytes, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[np
     return hashes[place[first]].view(np.int64), first, last, place[first]
 
 
-REGION = "shard long, anchor long, content long, doc long, row long, place long, gone boolean"
+REGION = "anchor long, content long, doc long, row long, place long, gone boolean"
 
 
 def text_regions(docs: DataFrame, length: int, anchor: int) -> DataFrame:
     """``doc, row, text`` to rows of ``REGION``; ``place`` is 128 x first window + number of others.
 
-    ``gone`` rows have an earlier equal region in the same batch; they go to any shard.
+    ``gone`` rows have an earlier equal region in the same batch; a number of their own takes the place of
+    the anchor, so they go to any shard.
     """
 
     def work(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
@@ -105,9 +107,8 @@ def text_regions(docs: DataFrame, length: int, anchor: int) -> DataFrame:
             same = np.zeros(len(found), bool)
             same[order[1:]] = (found[order[1:]] == found[order[:-1]]) & (content[order[1:]] == content[order[:-1]])
             yield {
-                "shard": np.where(same, content ^ place, found),
-                "anchor": pa.array(found, mask=same),
-                "content": pa.array(content, mask=same),
+                "anchor": np.where(same, content ^ place, found),
+                "content": np.where(same, 0, content),
                 "doc": [ordered[i][0] for i in n.tolist()],
                 "row": [ordered[i][1] for i in n.tolist()],
                 "place": place,
@@ -129,10 +130,9 @@ def judge_regions(found: DataFrame) -> DataFrame:
     def work(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
         held, last = None, (None, None)  # the anchor's first row while it may still be alone; the previous row
         for batch in batches:
-            known = batch["anchor"].is_valid().to_numpy(zero_copy_only=False)
-            anchor = batch["anchor"].fill_null(0).to_numpy()
-            content = batch["content"].fill_null(0).to_numpy()
+            anchor, content = batch["anchor"].to_numpy(), batch["content"].to_numpy()
             gone = batch["gone"].to_numpy(zero_copy_only=False).copy()
+            known = ~gone
             if not len(anchor):
                 continue
             same_anchor = known & np.concatenate([[anchor[0] == last[0]], anchor[1:] == anchor[:-1]])
@@ -161,17 +161,26 @@ def judge_regions(found: DataFrame) -> DataFrame:
                     held = None
             last = (anchor[-1], content[-1]) if known[-1] else (None, None)
 
-    placed = found.repartition("shard").sortWithinPartitions(
-        "anchor", "content", F.asc_nulls_last("doc"), "row", "place"
+    placed = found.repartition("anchor").sortWithinPartitions(
+        "gone", "anchor", "content", F.asc_nulls_last("doc"), "row", "place"
     )
     return map_columns(placed, JUDGED, work)
 
 
+def _with_texts(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+    """``doc, row, text`` with what is listed for a document.
+
+    Both uses shuffle the texts in the same way, so Spark does it once and reuses the exchange.
+    """
+    named = listed.withColumnsRenamed({"doc": "l_doc", "row": "l_row"})
+    same = F.col("doc").eqNullSafe(F.col("l_doc")) & F.col("row").eqNullSafe(F.col("l_row"))
+    return docs.select("doc", "row", "text").join(named, same, how).drop("l_doc", "l_row")
+
+
 def cut_out(docs: DataFrame, checks: DataFrame, length: int) -> DataFrame:
     """``anchor, doc, row, first, piece``: the bytes of the regions to be compared."""
     wanted = checks.groupBy("doc", "row").agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
-    same = docs["row"].eqNullSafe(wanted["row"]) & docs["doc"].eqNullSafe(wanted["doc"])
-    met = docs.join(wanted, same).select(docs["doc"], docs["row"], "text", "wanted")
+    met = _with_texts(docs, wanted, "inner")
 
     def work(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
         for batch in batches:
@@ -190,6 +199,7 @@ def cut_out(docs: DataFrame, checks: DataFrame, length: int) -> DataFrame:
 
 def _repeats(rows: list[tuple], length: int) -> Iterator[tuple]:
     """``doc, row, start, end`` of repeated windows in regions ``doc, row, first, piece``, joined to runs."""
+    rows = list({r[:3]: r for r in rows}.values())  # a document given twice counts once
     rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     joined = b"\x00".join(r[3] for r in rows)
     starts = np.cumsum([0, *(len(r[3]) + 1 for r in rows[:-1])])
@@ -259,7 +269,7 @@ def compare_windows(pieces: DataFrame, length: int) -> DataFrame:
                         column.append(value)
             yield out
 
-    windows = map_columns(pieces.drop("anchor"), "doc long, row long, start long, window binary", work)
+    windows = map_columns(pieces.drop("anchor"), "doc long, row long, start long, window binary", work).distinct()
     order = F.struct(F.col("doc").isNull().alias("no_id"), "doc", "row", "start")
     first = windows.groupBy("window").agg(F.min(order).alias("first"), F.count("*").alias("n")).filter("n > 1")
     later = windows.withColumn("own", order).join(first, "window").filter(F.col("own") > F.col("first"))
@@ -267,9 +277,12 @@ def compare_windows(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(
-    keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, most: int = MOST_REGIONS
+    keyed: DataFrame, rows: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, shard_bytes: int = SHARD_BYTES, most: int = MOST_REGIONS
 ) -> DataFrame:
-    """``doc, row, text`` (distinct in doc and row) to ``doc, row, start, end`` of repeated bytes; spans overlap."""
+    """``doc, row, text`` to ``doc, row, start, end`` of repeated bytes; spans overlap.
+
+    ``rows`` may hold a document more than once, ``keyed`` has each once.
+    """
     judged = cut_lineage(judge_regions(text_regions(keyed, length, anchor)), "suffix-judged")
     first = F.floor(F.col("place") / 128)
     gone = judged.filter("gone").select(
@@ -278,7 +291,7 @@ def repeated_spans(
     checks = judged.filter(~F.col("gone"))
     crowded = checks.groupBy("anchor").count().filter(F.col("count") > most).select("anchor")
     crowded = cut_lineage(crowded, "suffix-crowded")
-    pieces = cut_out(keyed, checks, length)
+    pieces = cut_out(rows, checks, length)
     spans = gone.unionByName(compare_regions(pieces.join(crowded, "anchor", "left_anti"), length, shard_bytes))
     if crowded.isEmpty():
         return spans
@@ -299,12 +312,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
         "text",
     )
     one = rows.filter("row = 0").unionByName(rows.filter("row <> 0").dropDuplicates(["doc", "row"]))
-    spans = repeated_spans(one, length, anchor, **limits)
+    spans = repeated_spans(one, rows, length, anchor, **limits)
     found = spans.groupBy("doc", "row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    found = found.withColumnsRenamed({"doc": "s_doc", "row": "s_row"})
-    same = F.col("doc").eqNullSafe(F.col("s_doc")) & (F.col("row") == F.col("s_row"))
     cut = F.arrow_udf(_cut, "n_bytes long, n_removed long, n_spans long, kept binary")("text", "spans").alias("cut")
-    return rows.join(found, same, "left").select("doc", cut).select(F.col("doc").alias("doc_id"), "cut.*")
+    return _with_texts(rows, found, "left").select("doc", cut).select(F.col("doc").alias("doc_id"), "cut.*")
 
 
 def _cut(text: pa.Array, spans: pa.Array) -> pa.Array:
