@@ -20,6 +20,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,8 +128,10 @@ def _bucket_width(ids: DataFrame) -> tuple[int, int, int]:
     return low, width, buckets
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``doc_id`` and ``columns`` (the first is the text) with the next document's as ``next_<column>``.
+def with_next(docs: DataFrame, text: str, derive: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """``doc_id``, ``text`` and what ``derive`` adds, with the next document's as ``next_<column>``.
+
+    ``derive`` works on rows; it runs once per document, and once more for each guest.
 
     Documents are dealt into buckets of neighbouring ids.  The largest of a bucket is also sent, as a
     guest, to the bucket above, and the largest of all to the lowest, so each bucket is a window of its
@@ -137,9 +140,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """
     low, width, buckets = _bucket_width(docs.select("doc_id"))
     known = F.floor((F.col("doc_id").cast("decimal(38,0)") - F.lit(low).cast("decimal(38,0)")) / F.lit(width)).cast("long")
-    order_hash = F.xxhash64(F.col(columns[0]))
+    order_hash = F.xxhash64(F.col(text))
     unnamed = -1 - F.pmod(order_hash, F.lit(buckets))
-    rows = docs.select("doc_id", *columns, order_hash.alias("_tie"), F.coalesce(known, unnamed).alias("_bucket"))
+    rows = docs.select("doc_id", text, order_hash.alias("_tie"), F.coalesce(known, unnamed).alias("_bucket"))
     key = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_tie")
     last = docs.select("doc_id", order_hash.alias("_tie"), F.coalesce(known, unnamed).alias("_bucket"))
     last = last.groupBy("_bucket").agg(F.max(key).alias("last"))
@@ -151,7 +154,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     guests = cut_lineage(guests, "neighbours")
     same = F.col("doc_id").eqNullSafe(F.col("_guest")) & (F.col("_tie") == F.col("_guest_tie"))
     sent = rows.join(guests, same).drop("_bucket", "_guest", "_guest_tie").withColumnRenamed("_to", "_bucket")
-    both = rows.withColumn("_sent", F.lit(0)).unionByName(sent.withColumn("_sent", F.lit(1)))
+    both = derive(rows.withColumn("_sent", F.lit(0)).unionByName(sent.withColumn("_sent", F.lit(1))))
     order = Window.partitionBy("_bucket").orderBy(F.desc("_sent"), "doc_id", "_tie")
     met = both.select("*", *[F.lag(c).over(order).alias(f"next_{c}") for c in columns])
     return met.filter("_sent = 0").drop("_sent", "_bucket", "_tie")
@@ -163,7 +166,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     The edited text has its last third replaced by the first as many characters of the next text.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    met = with_next(with_fingerprint(plain, "text", "sketches"), ["text", "sketches"])
+    met = with_next(plain, "text", lambda df: with_fingerprint(df, "text", "sketches"), ["text", "sketches"])
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third))
