@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.batches import texts
 
 MARK = "▁"
-KEPT_WORDS, KEPT_PAIRS = 400_000, 400_000  # a worker's memories; each is emptied when full
+KEPT_WORDS, KEPT_PAIRS = 600_000, 400_000  # a worker's memories; each is emptied when full
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
