@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.llm import near_texts
 from pagemill.llm.batches import raw_texts, without_rows
 from pagemill.llm.components import component_roots
 from pagemill.session import cut_lineage
@@ -137,9 +138,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     )
 
 
-def keep_one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One row of each component with all its columns; of equal rows one stays."""
-    judged = cut_lineage(near_duplicates(docs, words).select("doc_id", "text_hash", "kept"), "simhash-judged")
+def keep_one_of_each(docs: DataFrame, words: int = near_texts.WORDS, similarity: float = near_texts.SIMILARITY) -> DataFrame:
+    """One row of each component of texts that are alike (``near_texts``) with all its columns; of equal rows one stays."""
+    judged = cut_lineage(near_texts.near_texts(docs, words, similarity), "simhash-judged")
     dropped = judged.filter(~F.col("kept")).select("doc_id", "text_hash")
     staying = without_rows(docs, dropped)
     again = judged.filter("kept").groupBy("doc_id", "text_hash").count().filter("count > 1").drop("count")
