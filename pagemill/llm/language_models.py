@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pagemill.llm.batches import map_columns, texts
 from pagemill.session import cut_lineage
 
-ORDER = 4
+ORDER = 5
 MAX_GRAMS = 400_000  # n-grams of all languages and orders in the broadcast model: some 7 MB
 CALIBRATION_DOCS = 4_000
 KEPT_WORDS = 100_000  # a worker's memory of word scores; it is emptied when full

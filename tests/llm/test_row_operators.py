@@ -188,6 +188,13 @@ def test_languages(spark, docs, nothing):
     assert language_models.identify(nothing, classifier).count() == 0
 
 
+def test_fifth_characters_tell_languages_apart(spark):
+    rows = [(i, "abcde fbcdg" if i % 2 else "abcdg fbcde", "xx" if i % 2 else "yy") for i in range(80)]
+    df = prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string")
+    judged = {r["doc_id"]: r["lang_pred"] for r in language_models.identify(df, language_models.train(df)).collect()}
+    assert judged == {i: lang for i, _, lang in rows}
+
+
 def test_pruning_keeps_what_fits(spark):
     rows = [("x", f"g{i}", i) for i in range(1, 200)]
     kept = language_models.prune(spark.createDataFrame(rows, "lang string, gram string, n long"), 50).collect()
