@@ -2,11 +2,12 @@
 
 Every labelled training text is counted: each task counts the words of its texts, turns them into
 character n-grams (a word stands between blanks, ``" word "``) and hands on one row per n-gram and
-language; Spark adds them up.  A model keeps the n-grams of each language and order from a count on that
-is the smallest at which all of them fit ``max_grams``, the bound on what is broadcast; the counts behind
-it are always those of the whole table.  Lower orders use continuation counts (how many characters stand
-before an n-gram), except at the head of a word.  A model is held as sorted arrays of 64-bit n-gram
-hashes beside their log-probabilities and back-off weights, and words are scored by binary search.
+language; Spark adds them up and works out the probabilities over the whole table.  Lower orders use
+continuation counts (how many characters stand before an n-gram), except at the head of a word.  The model
+holds every n-gram that was counted, so it grows with the input as the distinct n-grams do; only where a
+caller sets ``max_grams`` does it keep, of all languages, the n-grams from a count on at which they fit, with
+the probabilities of the whole table.  It is held as sorted arrays of 64-bit n-gram hashes beside their
+log-probabilities and back-off weights, and words are scored by binary search.
 
 The language with the lowest cross-entropy per character wins, ties by name.  Each worker remembers
 scores of words, so equal words are looked up once.
@@ -37,7 +38,6 @@ from pagemill.llm.batches import map_columns, texts
 from pagemill.session import cut_lineage
 
 ORDER = 5
-MAX_GRAMS = 400_000  # n-grams of all languages and orders in the broadcast model: some 7 MB
 CALIBRATION_DOCS = 4_000
 KEPT_WORDS = 100_000  # a worker's memory of word scores; it is emptied when full
 TASK_WORDS = 100_000  # distinct words that a counting task holds before it hands on n-grams
@@ -97,7 +97,7 @@ def count_grams(train: DataFrame, order: int = ORDER) -> DataFrame:
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def prune(grams: DataFrame, max_grams: int = MAX_GRAMS) -> DataFrame:
+def prune(grams: DataFrame, max_grams: int) -> DataFrame:
     """The n-grams from the smallest count on at which they fit; counts are compared in quarter octaves."""
     level = F.floor(F.log2("n") * 4)
     levels = grams.groupBy(level.alias("level")).agg(F.count("*").alias("k")).orderBy(F.desc("level")).collect()
@@ -335,22 +335,79 @@ def _measure(docs: DataFrame, classifier: Classifier) -> DataFrame:
     return map_columns(narrow, "lang string, entropies array<double>, length double", work)
 
 
+def weigh(grams: DataFrame, order: int, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
+    """What ``fit_language`` works out, of a table ``lang, gram, n`` of any size.
+
+    ``lang, gram, n, log, backoff`` (log2 of the probability and of the weight as a context), and the weights of
+    the empty context, ``lang, weight``.
+    """
+    size = F.length("gram")
+    before = grams.filter(size > 1).groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("before"))
+    own = (size == order) | ((size > 1) & F.col("gram").startswith(" "))
+    met = F.when(own, F.col("n")).otherwise(F.greatest(F.lit(1), F.coalesce("before", F.lit(0))))
+    adjusted = grams.join(before, ["lang", "gram"], "left").select(
+        "lang", "gram", "n", size.alias("size"), met.alias("met"), F.expr("left(gram, length(gram) - 1)").alias("context")
+    )
+    adjusted = cut_lineage(adjusted, "grams-met")
+    spread = discount * F.count("*") / F.sum("met")
+    contexts = adjusted.groupBy("lang", "context").agg(F.sum("met").alias("total"), spread.alias("weight"))
+    contexts = cut_lineage(contexts, "grams-contexts")
+    rest = F.expr("substring(gram, 2)").alias("rest")
+    parts = adjusted.join(contexts, ["lang", "context"])
+    parts = parts.select("lang", "gram", "n", "size", "weight", ((F.col("met") - discount) / F.col("total")).alias("p"), rest)
+    back = contexts.filter("context <> ''").select("lang", F.col("context").alias("gram"), F.log2("weight").alias("backoff"))
+    parts = cut_lineage(parts.join(back, ["lang", "gram"], "left"), "grams-parts")
+    alphabet = 1 + grams.filter(size == 1).select("gram").distinct().count()
+    levels, lower = [], None
+    for k in range(1, order + 1):
+        level = parts.filter(F.col("size") == k)
+        base = F.lit(1 / alphabet)
+        if lower is not None:
+            shorter = lower.select("lang", F.col("gram").alias("rest"), F.col("probability").alias("shorter"))
+            level, base = level.join(shorter, ["lang", "rest"]), F.col("shorter")
+        level = level.select("lang", "gram", "n", (F.col("p") + F.col("weight") * base).alias("probability"), "backoff")
+        lower = cut_lineage(level, "grams-level")
+        levels.append(lower)
+    whole = levels[0]
+    for level in levels[1:]:
+        whole = whole.unionByName(level)
+    weighed = whole.select("lang", "gram", "n", F.log2("probability").alias("log"), F.coalesce("backoff", F.lit(0.0)).alias("backoff"))
+    return weighed, contexts.filter("context = ''").select("lang", (F.col("weight") / alphabet).alias("unknown"))
+
+
+def load(weighed: DataFrame, unknown: DataFrame, order: int) -> tuple[list[str], Models]:
+    """The languages in order of their names, and their models."""
+    least = {r["lang"]: r["unknown"] for r in unknown.collect()}  # a row per language
+    langs = sorted(least)
+    models = Models(unknown=np.log2([least[lang] for lang in langs]))
+    place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1 if langs else F.lit(0)
+    narrow = weighed.select("gram", place.cast("int").alias("k"), F.col("log").cast("float"), F.col("backoff").cast("float"))
+    for size in range(1, order + 1):
+        rows = narrow.filter(F.length("gram") == size).toArrow()
+        codes = _codes("".join(rows.column("gram").to_pylist())).reshape(-1, size).T
+        hashes, at = np.unique(gram_hashes(codes, size)[-1][0], return_inverse=True) if len(rows) else (np.zeros(0, np.uint64), [])
+        logs, backoffs = np.full((len(hashes), len(langs)), np.nan, np.float32), np.zeros((len(hashes), len(langs)), np.float32)
+        column = rows.column("k").to_numpy()
+        logs[at, column], backoffs[at, column] = rows.column("log").to_numpy(), rows.column("backoff").to_numpy()
+        models.hashes.append(hashes)
+        models.logs.append(logs)
+        models.backoffs.append(backoffs)
+    return langs, models
+
+
 def train(
     labelled: DataFrame,
     order: int = ORDER,
-    max_grams: int = MAX_GRAMS,
+    max_grams: int | None = None,
     calibration_docs: int = CALIBRATION_DOCS,
 ) -> Classifier:
     """A classifier from ``doc_id, text, lang``; a sixteenth of the rows is the calibration fold."""
     rows = labelled.filter("text is not null and lang is not null").select("doc_id", "text", "lang")
     calibrating = F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)) == 0
     counted = cut_lineage(count_grams(rows.filter(~calibrating), order), "grams")
-    grams = prune(counted, max_grams).toArrow().to_pydict()
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, gram, n in zip(grams["lang"], grams["gram"], grams["n"], strict=True):
-        counts[lang][gram] = n
-    langs = sorted(counts)
-    classifier = Classifier(langs, fit(counts, order), order)
+    weighed, unknown = weigh(counted, order)
+    langs, models = load(prune(weighed, max_grams) if max_grams else weighed, unknown, order)
+    classifier = Classifier(langs, models, order)
     if langs:
         sample = rows.filter(calibrating).withColumn("h", F.xxhash64("text"))
         held = sample.filter(F.col("h") <= _hash_limit(sample, calibration_docs))

@@ -195,6 +195,30 @@ def test_fifth_characters_tell_languages_apart(spark):
     assert judged == {i: lang for i, _, lang in rows}
 
 
+def test_weights_of_the_table_match_a_plain_fit(spark):
+    counts = {"x": dict(language_models._grams(Counter("hello help held yellow a 𠀀é".split()), 5)), "y": dict(language_models._grams(Counter(["jello"]), 5))}
+    rows = [(lang, gram, n) for lang, grams in counts.items() for gram, n in grams.items()]
+    table = spark.createDataFrame(rows, "lang string, gram string, n long")
+    langs, got = language_models.load(*language_models.weigh(table, 5), 5)
+    want = language_models.fit(counts, 5)
+    assert langs == ["x", "y"]
+    assert got.unknown == pytest.approx(want.unknown)
+    for k in range(5):
+        assert (got.hashes[k] == want.hashes[k]).all()
+        np.testing.assert_allclose(got.logs[k], want.logs[k], atol=1e-5)
+        np.testing.assert_allclose(got.backoffs[k], want.backoffs[k], atol=1e-5)
+
+
+def test_a_rare_language_keeps_its_words_beside_a_large_one(spark):
+    rnd = random.Random(7)
+    large = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxy", k=6)) for _ in range(80_000))
+    rows = [(i, large, "xx") for i in range(6)] + [(900 + i, "zqz zqqz", "yy") for i in range(3)]
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    classifier = language_models.train(docs)
+    assert classifier.langs == ["xx", "yy"] and sum(map(len, classifier.models.hashes)) > 500_000
+    assert language_models.identify(docs.filter("lang = 'yy'"), classifier).first()["lang_pred"] == "yy"
+
+
 def test_pruning_keeps_what_fits(spark):
     rows = [("x", f"g{i}", i) for i in range(1, 200)]
     kept = language_models.prune(spark.createDataFrame(rows, "lang string, gram string, n long"), 50).collect()
