@@ -12,8 +12,8 @@ log-probabilities and back-off weights, and words are scored by binary search.
 The language with the lowest cross-entropy per character wins, ties by name.  Each worker remembers
 scores of words, so equal words are looked up once.
 
-Calibration uses at most ``calibration_docs`` labelled texts, those with the smallest hash, of a fold
-that is kept out of the counts.  From them come the temperature of ``score`` and, per language, how high
+Calibration uses at most ``calibration_docs`` labelled texts, each once and those with the smallest hash, of
+a fold that is kept out of the counts.  From them come the temperature of ``score`` and, per language, how high
 the cross-entropy of a text in that language may be: a text above it is ``rejected``.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and rejected; without any
@@ -409,17 +409,18 @@ def train(
     langs, models = load(prune(weighed, max_grams) if max_grams else weighed, unknown, order)
     classifier = Classifier(langs, models, order)
     if langs:
-        sample = rows.filter(calibrating).withColumn("h", F.xxhash64("text"))
-        held = sample.filter(F.col("h") <= _hash_limit(sample, calibration_docs))
+        held = calibration_texts(rows.filter(calibrating), calibration_docs)
         measured = _measure(held, classifier).collect()  # numbers only, of a bounded sample
         calibrate(classifier, [(r["lang"], r["entropies"], r["length"]) for r in measured])
     return classifier
 
 
-def _hash_limit(sample: DataFrame, rows: int) -> int:
-    """The hash below which about ``rows`` rows lie: hashes spread evenly."""
-    n = sample.count()
-    return (1 << 63) - 1 if n <= rows else int(-(1 << 63) + (1 << 64) * rows / n)
+def calibration_texts(rows: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows, each text of a language once: those with the smallest hash."""
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    least = hashed.select("h", "lang").distinct().orderBy("h", "lang").limit(most).agg(F.max("h")).first()[0]
+    held = hashed.filter(F.col("h") <= least) if least is not None else hashed.limit(0)
+    return held.dropDuplicates(["lang", "h"]).limit(most)
 
 
 def language_of(text: Column | str, classifier: Classifier, spark: SparkSession) -> Column:

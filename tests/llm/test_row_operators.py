@@ -219,6 +219,15 @@ def test_a_rare_language_keeps_its_words_beside_a_large_one(spark):
     assert language_models.identify(docs.filter("lang = 'yy'"), classifier).first()["lang_pred"] == "yy"
 
 
+def test_copies_calibrate_once(spark):
+    rows = [(i, "copy" if i % 3 else f"own {i}", "xx") for i in range(300)] + [(400, "copy", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts = [(r["text"], r["lang"]) for r in language_models.calibration_texts(docs, 1000).collect()]
+    assert len(texts) == len(set(texts)) == 102
+    assert language_models.calibration_texts(docs, 50).count() == 50
+    assert language_models.calibration_texts(docs.limit(0), 50).count() == 0
+
+
 def test_pruning_keeps_what_fits(spark):
     rows = [("x", f"g{i}", i) for i in range(1, 200)]
     kept = language_models.prune(spark.createDataFrame(rows, "lang string, gram string, n long"), 50).collect()
