@@ -9,8 +9,8 @@ and an accidental mix of values is not.
 
 An item of fewer than ``window`` tokens has one window as long as itself; with fewer than ``SHORTEST``
 tokens it is found only as a document of its own.  A window needs at least half of its tokens to be words,
-else it says nothing.  A document holds an item if the windows that match on consistent alignments are
-at least ``min_share`` of the item's windows.
+else it says nothing.  A document holds an item if the windows that match on consistent alignments, each
+counted once however often the document repeats it, are at least ``min_share`` of the item's windows.
 
 The benchmark's window hashes are broadcast as a screen while they are at most ``SCREEN_ROWS`` (counted
 first); beyond that all windows of the documents go to the shuffle.  Either way the join decides.
@@ -163,7 +163,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     found = document_windows(docs, items, window).join(items, ["size", "hash"])
     line = ["doc_id", "text_hash", "item_id", F.col("position") - F.col("at")]
     aligned = found.groupBy(*[c if isinstance(c, str) else c.alias("shift") for c in line]).agg(
-        F.count_distinct("at").alias("matched"),
+        F.collect_set("at").alias("matched"),
         F.first("n_windows").alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_values", "values")))).alias("pairs"),
     )
@@ -172,7 +172,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
         F.size(F.array_distinct("pairs.values")) == pairs
     )
     held = aligned.filter(one_to_one).groupBy("doc_id", "text_hash", "item_id")
-    share = F.least(F.lit(1.0), F.sum("matched") / F.first("n_windows"))
+    share = F.size(F.array_distinct(F.flatten(F.collect_set("matched")))) / F.first("n_windows")
     return held.agg(share.alias("share")).filter(F.col("share") >= min_share)
 
 

@@ -99,6 +99,15 @@ def test_decontamination(spark):
         assert decontaminate.decontaminate(a, b).filter("contaminated").count() == 0
 
 
+def test_a_repeated_window_counts_once(spark):
+    part = " ".join(ITEM.split()[9:17])
+    rows = [(1, " so it goes ".join([part] * 40)), (2, part + " or else " + ITEM)]
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(100, ITEM)], "item_id long, text string")
+    got = {r["doc_id"]: (r["items"], r["share"]) for r in decontaminate.decontaminate(docs, benchmark).collect()}
+    assert got[1] == ([], 0.0) and got[2][0] == [100]
+
+
 def test_decontamination_matches_all_windows(spark, monkeypatch):
     rnd = random.Random(12)
     words = [f"w{chr(97 + i)}" for i in range(20)]
