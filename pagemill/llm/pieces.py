@@ -3,7 +3,9 @@
 Marked text (every space a ``▁``, one in front) is cut where no piece of the vocabulary crosses: before a
 run of ``▁`` and before punctuation that no piece has behind a letter.  Distinct words are sorted, which
 lays them out as a trie in depth-first order; going from one word to the next keeps the forward states of
-the common prefix and computes only the rest.  Each worker remembers the words it has met.
+the common prefix and computes only the rest.  Words over ``SHARED`` characters go by themselves, with one number
+kept for each prefix, so memory is linear in a word.  Each worker remembers the words it has met, up to a bound
+in bytes.
 
 The forward state is what the named method's best score is for a unigram model.  The given model is a
 byte-pair model, whose result is not the best sum of scores, so a plain Viterbi search would be wrong.
@@ -24,6 +26,7 @@ from __future__ import annotations
 import codecs
 import re
 import string
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 from pagemill.llm.batches import texts
 
 MARK = "▁"
-KEPT_WORDS, KEPT_PAIRS = 600_000, 400_000  # a worker's memories; each is emptied when full
+KEPT_BYTES, KEPT_PAIRS = 150_000_000, 400_000  # a worker's memories (some 600,000 words); each is emptied when full
+SHARED = 64  # characters up to which words share encodings along the trie
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
@@ -65,6 +69,7 @@ class PieceModel:
         self.kind = np.dtype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
         self.splitter = self._splitter()
         self.words: dict[str, bytes] = {}
+        self.held = 0  # bytes of these
         self.pairs: dict[tuple[str, str], bool] = {}
         self.codes: dict[str, bytes] = {}
 
@@ -124,11 +129,14 @@ class PieceModel:
         return np.array(ids, self.kind).tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Encode distinct words in depth-first order of their trie."""
+        """Encode distinct words: the long ones each by itself, the others in depth-first order of their trie."""
+        for word in words:
+            if len(word) > SHARED:
+                self.words[word] = self.encode_long(word)
         last: list[str] = []  # of each prefix of the current path: its last piece,
         coded: list[bytes] = []  # and the ids of all its pieces
         path, known, pairs, reach, codes = "", self.ids, self.pairs, self.reach, self.codes
-        for word in sorted(words):
+        for word in sorted(w for w in words if len(w) <= SHARED):
             shared, most = 0, min(len(path), len(word))
             while shared < most and path[shared] == word[shared]:
                 shared += 1
@@ -151,10 +159,37 @@ class PieceModel:
                 coded.append(coded[begin - 1] + code if begin else code)
             path = word
             self.words[word] = coded[-1]
+        self.held += sum(200 + 4 * len(w) + len(self.words[w]) for w in words)
+
+    def encode_long(self, word: str) -> bytes:
+        """The ids of a word of any length: a number for each prefix, the size of its last piece, traced back."""
+        sizes, known, pairs, reach = array("I"), self.ids, self.pairs, self.reach
+        for end in range(1, len(word) + 1):
+            size = reach.get(word[end - 3 if end > 3 else 0 : end], 2)
+            for begin in range(end - size if end > size else 0, end):
+                piece = word[begin:end]
+                if piece in known or end - begin == 1:
+                    if not begin:
+                        break
+                    left = word[begin - sizes[begin - 1] : begin]
+                    fits = pairs.get((left, piece))
+                    if fits or (fits is None and self.valid(left, piece)):
+                        break
+            sizes.append(end - begin)
+        found, at = [], len(word)
+        while at:
+            piece = word[at - sizes[at - 1] : at]
+            code = self.codes.get(piece)
+            if code is None:
+                code = self.codes[piece] = self._code(piece)
+            found.append(code)
+            at -= len(piece)
+        return b"".join(reversed(found))
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
-        if len(self.words) > KEPT_WORDS:
+        if self.held > KEPT_BYTES:
             self.words.clear()
+            self.held = 0
         split = [self.split(t) for t in many]
         self.learn(list(set().union(*split) - self.words.keys()))
         return [np.frombuffer(b"".join(map(self.words.__getitem__, s)), self.kind) for s in split]

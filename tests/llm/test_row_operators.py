@@ -117,6 +117,20 @@ def test_pieces_match_the_library():
         assert model.decode(ids) == library.decode(ids)
 
 
+def test_very_long_words():
+    from sentencepiece import SentencePieceProcessor
+
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    model, library = pieces.PieceModel(path), SentencePieceProcessor(model_file=path)
+    rnd = random.Random(10)
+    for letters in ("abcdeinrst", "日本語の文字𠀀", "aZ09+/"):
+        word = "".join(rnd.choices(letters, k=3000))
+        assert model.encode([word])[0].tolist() == library.encode(word)
+    word = "".join(rnd.choices("ab日𠀀", k=1_000_000))
+    assert model.decode(model.encode([word])[0].tolist()) == word
+    assert model.held > 4_000_000
+
+
 def test_piece_rows(docs, nothing):
     path = queries.tokenizer_file("piece_bpe_32k.model")
     ids = docs.withColumn("ids", pieces.encode_pieces("text", path))
