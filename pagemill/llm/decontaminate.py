@@ -8,9 +8,10 @@ must map to the values of the document one to one, so a question with other name
 and an accidental mix of values is not.
 
 An item of fewer than ``window`` tokens has one window as long as itself; with fewer than ``SHORTEST``
-tokens it is found only as a document of its own.  A window needs at least half of its tokens to be words,
-else it says nothing.  A document holds an item if the windows that match on consistent alignments, each
-counted once however often the document repeats it, are at least ``min_share`` of the item's windows.
+tokens it is found only as a document of its own.  A window of more placeholders than words is matched
+exactly, with its values, and needs no mapping.  The first word of a sentence is met as a word and, behind
+other text, as a name.  A document holds an item if the windows that match on consistent alignments, each
+counted once however often the document repeats it, are at least ``min_share`` of the item's windows, or of those that are templates.
 
 The benchmark's window hashes are broadcast as a screen while they are at most ``SCREEN_ROWS`` (counted
 first); beyond that all windows of the documents go to the shuffle.  Either way the join decides.
@@ -46,6 +47,7 @@ UNITS = frozenset(
 )
 _LITERAL, _END, _NUMBER, _CAPITAL, _UNIT = range(5)
 _SLOTS = np.array([0, 0, 11, 22, 33], np.uint64)  # what placeholders hash as, by kind
+_EXACT = np.uint64(0xA5A5A5A5A5A5A5A5)  # sets hashes of exact windows apart
 
 
 class Tokens(dict):
@@ -66,27 +68,33 @@ class Tokens(dict):
         return code
 
 
-def template(text: str, known: Tokens) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Codes of the template's tokens, which of them are placeholders, and the tokens themselves."""
+def template(text: str, known: Tokens) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """Codes of the template's tokens, which of them are placeholders, and the tokens themselves.
+
+    Then the codes of the tokens as words, and which tokens begin a sentence with a capital.
+    """
     if len(known) > KEPT_SURFACES:
         known.clear()
     found = _TOKEN.findall(text)
     codes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     kinds = (codes & np.uint64(7)).astype(np.int8)
     begins = np.concatenate([[True], kinds[:-1] == _END])[: len(kinds)]
-    kinds[(kinds == _CAPITAL) & begins] = _LITERAL
+    opening = (kinds == _CAPITAL) & begins
+    kinds[opening] = _LITERAL
     kept = np.nonzero(kinds != _END)[0]
-    codes, kinds = codes[kept], kinds[kept]
+    codes, kinds, opening = codes[kept], kinds[kept], opening[kept]
     kinds[1:][(kinds[1:] == _UNIT) & (kinds[:-1] != _NUMBER)] = _LITERAL
     if len(kinds) and kinds[0] == _UNIT:
         kinds[0] = _LITERAL
     slots = kinds != _LITERAL
     words = codes | np.uint64(7)
-    return np.where(slots, _SLOTS[kinds], words), slots, [found[i] for i in kept] if slots.any() else []
+    surfaces = [found[i] for i in kept] if slots.any() or opening.any() else []
+    return np.where(slots, _SLOTS[kinds], words), slots, surfaces, words, opening
 
 
-def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    out = codes[: max(0, len(codes) - size + 1)]
+def window_hashes(codes: np.ndarray, size: int, first: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the windows; ``first`` has other codes for their first tokens."""
+    out = (codes if first is None else first)[: max(0, len(codes) - size + 1)]
     for k in range(1, size):
         mixed = out * np.uint64(0x9E3779B97F4A7C15)
         out = (mixed ^ (mixed >> np.uint64(31))) + codes[k : k + len(out)]
@@ -94,20 +102,32 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 def windows(text: str, known: Tokens, sizes: list[int], screen: np.ndarray | None) -> Iterator[tuple]:
-    """``size, hash, position, slot values, whole`` of the windows that could match."""
-    codes, slots, found = template(text, known)
+    """``size, hash, position, slot values, exact`` of the windows that could match.
+
+    A window of more placeholders than words is ``exact``: its hash is that of its tokens with their values.  One that
+    begins a sentence with a capital comes as a word and as a name, since inside a sentence it would be a name.
+    """
+    codes, slots, found, words, opening = template(text, known)
     before = np.concatenate([[0], np.cumsum(slots)])
     for size in sizes:
-        whole = len(codes) == size
-        if len(codes) < size or (size < SHORTEST and not whole):
+        if len(codes) < size or (size < SHORTEST and len(codes) != size):
             continue
+        n_slots = before[size:] - before[:-size]
+        heavy = n_slots * 2 > size
+        plain = window_hashes(words, size) ^ _EXACT if heavy.any() or opening.any() else None
         hashes = window_hashes(codes, size)
-        fits = (before[size:] - before[:-size]) * 2 <= size
-        if screen is not None:
-            fits &= _in_sorted(hashes, screen)
-        for i in np.nonzero(fits)[0].tolist():
-            values = [found[j].lower() for j in range(i, i + size) if slots[j]] if found else []
-            yield size, int(hashes[i].astype(np.int64)), i, values, whole
+        kinds = [(hashes if plain is None else np.where(heavy, plain, hashes), heavy, np.ones(len(hashes), bool), False)]
+        starts = opening[: len(hashes)] & ~heavy
+        if starts.any():
+            crowded = (n_slots + 1) * 2 > size
+            named = window_hashes(codes, size, np.where(opening, _SLOTS[_CAPITAL], codes))
+            kinds.append((np.where(crowded, plain, named), crowded, starts, True))
+        for hashes, exact, fits, as_name in kinds:
+            if screen is not None:
+                fits = fits & _in_sorted(hashes, screen)
+            for i in np.nonzero(fits)[0].tolist():
+                values = [found[j].lower() for j in range(i, i + size) if slots[j] or (as_name and j == i)] if found else []
+                yield size, int(hashes[i].astype(np.int64)), i, values, bool(exact[i])
 
 
 def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -117,7 +137,7 @@ def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``item_id, text`` to ``item_id, n_windows, size, hash, at, item_values``."""
+    """``item_id, text`` to ``item_id, n_windows, n_templates, size, hash, at, item_values, exact``."""
 
     def work(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
         known = Tokens()
@@ -127,11 +147,12 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 n = len(template(text, known)[0])
                 if n:
                     found = list(windows(text, known, [min(n, window)], None))
-                    rows += [(item, len(found), *w[:4]) for w in found]
-            names = ("item_id", "n_windows", "size", "hash", "at", "item_values")
+                    n_windows, n_templates = (len({w[2] for w in found if all or not w[4]}) for all in (True, False))
+                    rows += [(item, n_windows, n_templates, *w) for w in found]
+            names = ("item_id", "n_windows", "n_templates", "size", "hash", "at", "item_values", "exact")
             yield {name: [r[i] for r in rows] for i, name in enumerate(names)}
 
-    schema = "item_id long, n_windows int, size int, hash long, at int, item_values array<string>"
+    schema = "item_id long, n_windows int, n_templates int, size int, hash long, at int, item_values array<string>, exact boolean"
     return map_columns(benchmark.selectExpr("cast(item_id as long) item_id", "text"), schema, work)
 
 
@@ -163,16 +184,22 @@ def find_items(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_
     found = document_windows(docs, items, window).join(items, ["size", "hash"])
     line = ["doc_id", "text_hash", "item_id", F.col("position") - F.col("at")]
     aligned = found.groupBy(*[c if isinstance(c, str) else c.alias("shift") for c in line]).agg(
-        F.collect_set("at").alias("matched"),
+        F.collect_set(F.when(F.col("exact"), F.col("at"))).alias("exact"),
+        F.collect_set(F.when(~F.col("exact"), F.col("at"))).alias("alike"),
         F.first("n_windows").alias("n_windows"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_values", "values")))).alias("pairs"),
+        F.first("n_templates").alias("n_templates"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("exact"), F.arrays_zip("item_values", "values"))))).alias("pairs"),
     )
     pairs = F.size("pairs")
     one_to_one = (F.size(F.array_distinct("pairs.item_values")) == pairs) & (
         F.size(F.array_distinct("pairs.values")) == pairs
     )
-    held = aligned.filter(one_to_one).groupBy("doc_id", "text_hash", "item_id")
-    share = F.size(F.array_distinct(F.flatten(F.collect_set("matched")))) / F.first("n_windows")
+    alike = F.when(one_to_one, F.col("alike")).otherwise(F.array().cast("array<int>"))  # exact windows need no mapping
+    held = aligned.withColumn("alike", alike).groupBy("doc_id", "text_hash", "item_id")
+    distinct = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    share = F.size(F.array_union(distinct("alike"), distinct("exact"))) / F.first("n_windows")
+    of_templates = F.size(distinct("alike")) / F.nullif(F.first("n_templates"), F.lit(0))
+    share = F.greatest(share, F.least(F.lit(1.0), of_templates))  # values of other windows may be new
     return held.agg(share.alias("share")).filter(F.col("share") >= min_share)
 
 

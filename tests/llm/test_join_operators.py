@@ -108,6 +108,15 @@ def test_a_repeated_window_counts_once(spark):
     assert got[1] == ([], 0.0) and got[2][0] == [100]
 
 
+def test_items_of_values_and_first_words(spark):
+    sums, short = "12 + 30 = 42 and 17 + 25 = 42 and 3 + 4 = 7", "Name three rivers that cross Europe"
+    rows = [(1, f"see {sums} here"), (2, sums.replace("17 + 25", "18 + 24")), (3, f"they asked: {short}, and left"), (4, "1 + 2 = 3 and 4 + 5 = 9 and 6 + 7 = 13")]
+    docs = prepare(spark).createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(100, sums), (101, short)], "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(docs, benchmark).collect()}
+    assert got == {1: [100], 2: [], 3: [101], 4: []}
+
+
 def test_decontamination_matches_all_windows(spark, monkeypatch):
     rnd = random.Random(12)
     words = [f"w{chr(97 + i)}" for i in range(20)]
