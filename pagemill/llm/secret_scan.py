@@ -6,8 +6,8 @@ bound on the fit alone) a probabilistic automaton is inferred by state merging:
 strings, character by character in classes, is folded from the root outwards, and two states are merged
 when a Hoeffding test finds their ends and next classes compatible, recursively.
 
-Then every candidate of every text (a run of credential characters with both letters and digits that no
-base span touches) is scored by its log-likelihood per character under each automaton, less that under
+Then every candidate of every text is scored: runs of ``LEAST`` or more credential characters, and their parts
+between ``=``, between these and ``/``, and between these and ``.``, unless a base span holds them whole.  It is scored by its log-likelihood per character under each automaton, less that under
 a model in which all classes are equally likely to follow.  It is reported as ``format`` when the best
 score reaches what all but a hundredth of the sample of that kind reach, and is at least ``LEAST_GAIN``.
 The automata are what is broadcast: a few states each.
@@ -40,7 +40,10 @@ BASE = (("assign", ASSIGN, 2, 12), ("access", ACCESS, 0, 18), ("hex", HEX, 0, 16
 KINDS = {"assign": 0, "access": 1, "hex": 2, "format": 3}
 _HINT = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}", re.ASCII)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}", re.ASCII)
+LEAST = 12  # characters of a candidate, as of the shortest credential
+_CANDIDATE = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}", re.ASCII)
+_PLAIN = frozenset("=/.")
+_PARTS = [re.compile(rf"[A-Za-z0-9{c}_-]{{{LEAST},}}", re.ASCII) for c in ("+/.", "+.", "+")]
 
 SAMPLE = 500
 ALPHA = 0.05  # of the Hoeffding test
@@ -64,12 +67,15 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int]]:
+    """Runs and their parts, the longest of a run first."""
     out = []
     for m in _CANDIDATE.finditer(text):
-        s = m[0]
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s):
-            if not any(a < m.end() and m.start() < b for a, b, _, _ in base):
-                out.append(m.span())
+        spans = {m.span()}
+        if not _PLAIN.isdisjoint(m[0]):
+            spans.update(p.span() for part in _PARTS for p in part.finditer(text, *m.span()))
+        for a, b in sorted(spans, key=lambda s: (s[0] - s[1], s)):
+            if not any(c <= a and b <= d for c, d, _, _ in base):
+                out.append((a, b))
     return out
 
 
@@ -194,13 +200,15 @@ def fit(values: dict[str, list[str]]) -> list[tuple[Automaton, float]]:
 def format_spans(
     text: str, base: list[tuple[int, int, str, str]], formats: list[tuple[Automaton, float]]
 ) -> list[tuple[int, int, str, str]]:
-    """The candidates that one of the formats explains."""
-    out = []
+    """The candidates that one of the formats explains; none inside another."""
+    out: list[tuple[int, int, str, str]] = []
     for a, b in candidates(text, base):
+        if any(c <= a and b <= d for c, d, _, _ in out):
+            continue
         value = classes_of(text[a:b])
         if any(automaton.gain(value) >= least for automaton, least in formats):
             out.append((a, b, "format", text[a:b]))
-    return out
+    return sorted(out)
 
 
 # --- Spark ----------------------------------------------------------------------------------------------

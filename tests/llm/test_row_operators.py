@@ -286,3 +286,19 @@ def test_learned_format_finds_its_like_only(spark, docs, nothing):
     odd = secret_scan.scan(docs, formats).collect()
     assert len(odd) == docs.count() and secret_scan.redact(docs, formats).columns == docs.columns
     assert secret_scan.learn_formats(nothing) == [] and secret_scan.scan(nothing, []).count() == 0
+
+
+def test_parts_short_ones_and_tails_are_candidates(spark):
+    rnd = random.Random(11)
+    key = lambda n: "sk-" + "".join(rnd.choices("0123456789abcdefghijklmnopqrstuvwxyz", k=n))
+    rows = [(i, f"see token={key(rnd.randint(10, 40))} here") for i in range(300)]
+    short, hidden, letters = key(10), key(24), "sk-" + "qwjkzpvmxgthyr"
+    long = "sk-" + "zk9x8wptrv" + "a3f9ac0be8dfc4ed" + "q7wzmn"
+    planted = {900: ("a ", short, " b"), 901: ("AUTH=", hidden, ""), 902: ("http://x.org/v1/get/", hidden, "/more"), 903: ("q=1.", hidden, " ."), 904: ("a ", long, " b")}
+    rows += [(i, "".join(t)) for i, t in planted.items()] + [(905, "Supercalifragilistic internationally-known words/and/paths.html")]
+    df = prepare(spark).createDataFrame(rows, "doc_id long, text string")
+    formats = secret_scan.learn_formats(df.filter("doc_id < 300"))
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(df, formats).collect()}
+    assert {i: clean[i] for i in planted} == {i: f"{a}[secret]{b}" for i, (a, _, b) in planted.items()}
+    assert clean[905] == rows[-1][1]
+    assert (2, 2 + len(letters)) in secret_scan.candidates(f"a {letters}", [])
