@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import decontaminate, language_models, order_minhash, pieces, secret_scan, simhash, suffix_dedup, token_counts, url_rules, warc_revisits
+from pagemill.llm import (
+    decontaminate,
+    language_models,
+    order_minhash,
+    pieces,
+    secret_scan,
+    simhash,
+    source_divergence,
+    spelling_variants,
+    suffix_dedup,
+    token_counts,
+    url_rules,
+    vector_tiles,
+    warc_revisits,
+)
 from pagemill.llm.batches import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +190,53 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_token_counts")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+SLIPS = 97  # one of so many different words of a document loses a character
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, folder, "documents"), drop_every=SLIPS)
+
+
+SQL_VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+  usable AS (SELECT * FROM v WHERE label IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([x FOR x IN e IF x <> 0]) > 0),
+  links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+  reached(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+  least AS (SELECT a, min(b) AS b FROM reached GROUP BY a),
+  counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+  SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
+    vec_id <= coalesce(least.b, vec_id) AS kept
+  FROM v LEFT JOIN counted ON counted.a = vec_id LEFT JOIN least ON least.a = vec_id"""
+
+
+@query("op12_vector_tiles", SQL_VECTORS)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_tiles.near_vectors(table(spark, folder, "embeddings"))
+
+
+SQL_DIVERGENCE = r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+  found AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+  kept AS (SELECT lang, term, count(*) AS n FROM found GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+  langs AS (SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY lang),
+  uses AS (SELECT lang, source, term, count(*) AS n FROM found SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+  totals AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN uses USING (lang, source) GROUP BY lang, source),
+  shares AS (SELECT t.lang, t.source, k.term, coalesce(u.n, 0) AS n,
+      1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 2)) // (t.total + 2 * l.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 2)) // (l.total + 2 * l.v) AS q
+    FROM totals t JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN uses u ON u.lang = t.lang AND u.source = t.source AND u.term = k.term),
+  pairs AS (SELECT a.lang, a.source, b.source AS item FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source),
+  sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+  items AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pairs LEFT JOIN sums USING (lang, source, item)
+    UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM shares WHERE n > 0 AND p > q),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM items)
+  SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
+@query("op13_source_divergence", SQL_DIVERGENCE)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, folder, "documents"))
