@@ -3,115 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagemill import fixed_values as fv
 from pagemill.functions import scores, text
 from pagemill.functions.text import compact, content_body, let, strip, text_or_empty
-from pagemill.session import cut_lineage
+from pagemill.operators import vector_cells
 
 PairScorer = Callable[[list[tuple[str, str]]], Sequence[float]]
-BROADCAST_BYTES = 32 * 1024 * 1024
-TILE_ROWS = 1024
-
-_HITS = T.StructType(
-    [
-        T.StructField("question", T.StringType()),
-        T.StructField("id", T.StringType()),
-        T.StructField("distance", T.DoubleType()),
-    ]
-)
-
-
-_Space = tuple[str, int]  # a collection and a width: only vectors of one space are compared
-
-
-def _spaces(batch: pa.RecordBatch | pa.Table) -> dict[_Space, tuple[np.ndarray, np.ndarray]]:
-    """Keys and matrices of a batch by space."""
-    out = {}
-    names = np.array(batch.column("key").to_pylist(), dtype=object)
-    vectors = batch.column("embedding")
-    vectors = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
-    widths = np.array(pc.list_value_length(vectors).to_pylist(), dtype=np.int64)
-    collections = np.array(batch.column("collection").to_pylist(), dtype=object)
-    for space in set(zip(collections.tolist(), widths.tolist(), strict=True)):
-        rows = np.nonzero((collections == space[0]) & (widths == space[1]))[0]
-        flat = vectors.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-        out[space] = names[rows], flat.astype("float64").reshape(-1, space[1])
-    return out
-
-
-def _tiles(asked: pa.Table) -> dict[_Space, list[tuple[np.ndarray, np.ndarray]]]:
-    """Question names and matrices by space, at most ``TILE_ROWS`` questions each."""
-    return {
-        space: [(names[i : i + TILE_ROWS], matrix[i : i + TILE_ROWS]) for i in range(0, len(names), TILE_ROWS)]
-        for space, (names, matrix) in _spaces(asked).items()
-    }
-
-
-class _Best:
-    """The ``k`` nearest vectors of each question of one tile, over all vectors a task has seen."""
-
-    def __init__(self, names: np.ndarray, matrix: np.ndarray, k: int) -> None:
-        self.names, self.matrix, self.k = names, matrix, k
-        self.norms = (matrix * matrix).sum(1)[:, None]
-        self.limit = np.full(len(names), np.inf)
-        self.held = pd.DataFrame({"q": [], "id": [], "distance": []})
-
-    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        squares = (vectors * vectors).sum(1)[None, :]
-        # equal vectors must tie whatever their place in a batch, hence the rounding
-        d = np.round(self.norms + squares - 2.0 * (self.matrix @ vectors.T), 9)
-        limit = self.limit
-        if len(ids) > self.k:
-            limit = np.minimum(limit, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
-        q, v = np.nonzero(d <= limit[:, None])
-        if not len(q):
-            return
-        found = pd.DataFrame({"q": q, "id": ids[v], "distance": d[q, v]})
-        frame = pd.concat([self.held, found]) if len(self.held) else found
-        frame = frame.sort_values(["q", "distance", "id"], kind="stable")
-        self.held = frame[frame.groupby("q").cumcount() < self.k]
-        sizes = self.held.groupby("q")["distance"].agg(["size", "max"])
-        full = sizes["max"].where(sizes["size"] >= self.k, np.inf)
-        self.limit = full.reindex(range(len(self.names)), fill_value=np.inf).to_numpy()
-
-    def rows(self) -> pa.RecordBatch:
-        named = self.held.assign(question=self.names[self.held["q"].to_numpy(dtype=int)])
-        return pa.RecordBatch.from_pandas(
-            named[["question", "id", "distance"]], schema=to_arrow_schema(_HITS), preserve_index=False
-        )
-
-
-def _search(stored: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """One scan of the vectors against a broadcast set of questions; at most k rows per task each."""
-    tiles = stored.sparkSession.sparkContext.broadcast(_tiles(asked.toArrow()))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[_Space, list[_Best]] = {}
-        for batch in batches:
-            for space, (ids, vectors) in _spaces(batch).items():
-                if space not in tiles.value:
-                    continue
-                if space not in best:
-                    best[space] = [_Best(n, m, k) for n, m in tiles.value[space]]
-                for tile in best[space]:
-                    tile.offer(ids, vectors)
-        for group in best.values():
-            for tile in group:
-                if len(tile.held):
-                    yield tile.rows()
-
-    return stored.mapInArrow(run, _HITS)
 
 
 def input_problem() -> Column:
@@ -120,6 +23,7 @@ def input_problem() -> Column:
         F.when(F.col("collection").isNull(), "no collection")
         .when(F.coalesce(F.size("embedding"), F.lit(0)) <= 0, "no embedding")
         .when(F.exists("embedding", lambda x: x.isNull() | F.isnan(x)), "incomplete embedding")
+        .when(F.exists("embedding", lambda x: F.abs(x) == float("inf")), "infinite embedding")
         .otherwise("")
     )
 
@@ -143,39 +47,24 @@ def unanswerable(questions: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def nearest_vectors(
-    questions: DataFrame,
-    vectors: DataFrame,
-    k: int = fv.VECTOR_TOP_K,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    questions: DataFrame, vectors: DataFrame, k: int = fv.VECTOR_TOP_K, cell_rows: int = vector_cells.CELL_ROWS
 ) -> DataFrame:
     """Exact ``k`` nearest vectors (squared L2) of every sub-question in its collection.
 
-    ``questions(question_id, sub_idx, collection, embedding)``, ``vectors(collection, id,
-    embedding)``.  The vectors are scanned where they lie and never shuffled, so no collection is too
-    big for one task; each batch meets the questions as one matrix product, and a task hands on at
-    most ``k`` rows per question.  Questions are broadcast up to a measured ``broadcast_bytes``;
-    more of them are split by hash into as many scans as that takes.  Ties are broken by id.
-    Collections may hold vectors of any width; ``unanswerable`` names the questions that meet none.
+    ``questions(question_id, sub_idx, collection, embedding)``, ``vectors(collection, id, embedding)``.  Questions
+    visit only the cells that can hold one of their nearest (``vector_cells``); what they find is cut to ``k`` in each
+    cell, again in each task before the last shuffle, and once more behind it.  One plan, whatever the number of
+    questions.  Ties are broken by id.  Collections may hold vectors of any width; ``unanswerable`` names the
+    questions that meet none.
     """
     if k <= 0:
         none = "question_id string, sub_idx int, id string, distance double, rank int"
         return questions.sparkSession.createDataFrame([], none)
     key = F.concat_ws("\x1f", F.col("question_id").cast("string"), F.col("sub_idx").cast("string"))
     usable = input_problem() == ""
-    asked = questions.filter(usable).select("collection", key.alias("key"), "embedding")
-    stored = vectors.filter(usable).select("collection", F.col("id").alias("key"), "embedding")
-    size = F.sum(F.size("embedding") * 8 + F.length("key") + F.length("collection") + 64)
-    scans = max(1, -(-(asked.agg(size).first()[0] or 0) // broadcast_bytes))
-    if scans == 1:
-        hits = _search(stored, asked, k)
-    else:
-        parts = [
-            cut_lineage(
-                _search(stored, asked.filter(F.pmod(F.xxhash64("key"), F.lit(scans)) == i), k), "hits"
-            )
-            for i in range(scans)
-        ]
-        hits = reduce(DataFrame.unionByName, parts)
+    asked = questions.filter(usable).select(F.col("collection").cast("string"), key.alias("key"), "embedding")
+    stored = vectors.filter(usable).select(F.col("collection").cast("string"), F.col("id").cast("string"), "embedding")
+    hits = vector_cells.nearest(asked, stored, k, cell_rows)
     nearest = Window.partitionBy("question").orderBy("distance", "id")
     ranked = hits.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
     parts = F.split("question", "\x1f")
@@ -238,7 +127,8 @@ def keyword_scorer(question: Column, chunk: Column) -> Column:
 def pair_scorer(load: Callable[[], PairScorer]) -> Callable[[Column, Column], Column]:
     """A column of scores from a loader of a model that scores a batch of (question, chunk) pairs.
 
-    The loader runs once per Python task.  A batch whose model fails gets the constant score.
+    The loader runs once per Python task.  A batch whose model fails gets nulls, which ``rerank`` reads as no score
+    for the whole question.
     """
 
     @F.pandas_udf(T.DoubleType())
@@ -249,7 +139,7 @@ def pair_scorer(load: Callable[[], PairScorer]) -> Callable[[Column, Column], Co
             try:
                 yield pd.Series(list(model(pairs)), dtype="float64")
             except Exception:  # noqa: BLE001 - ranking goes on without the model
-                yield pd.Series([fv.CONSTANT_RERANK] * len(pairs), dtype="float64")
+                yield pd.Series([None] * len(pairs), dtype="float64")
 
     return score
 
@@ -267,9 +157,13 @@ def rerank(cands: DataFrame, raw: str | None = "raw_score") -> DataFrame:
     """Add rerank and final scores and the final ``rank``.
 
     ``cands`` holds ``skip`` and, unless there is no scorer, the ``raw`` pair score.  A skipped
-    question keeps its order, with rerank score 0 and the semantic score as final score.
+    question keeps its order, with rerank score 0 and the semantic score as final score.  Where a pair of
+    a question has no score, its model failed: all its pairs get the constant score as it is.
     """
-    score = smooth_scores(F.col(raw)) if raw else F.lit(fv.CONSTANT_RERANK)
+    score = F.lit(fv.CONSTANT_RERANK)
+    if raw:
+        missing = F.bool_or(F.col(raw).isNull() | F.isnan(raw)).over(Window.partitionBy("question_id"))
+        score = F.when(missing, score).otherwise(smooth_scores(F.col(raw)))
     scored = cands.withColumn("rerank_score", F.when(F.col("skip"), F.lit(0.0)).otherwise(score))
     final = F.when(F.col("skip"), F.col("semantic_score")).otherwise(
         F.lit(0.75) * F.col("rerank_score") + F.lit(0.25) * F.col("semantic_score")
@@ -282,10 +176,10 @@ def rerank(cands: DataFrame, raw: str | None = "raw_score") -> DataFrame:
 
 
 def accept(ranked: DataFrame, top_k: Column | int = fv.FINAL_TOP_K) -> DataFrame:
-    """Chunks over both floors, or all when none is; the first ``top_k`` of them."""
+    """Chunks over both floors, or all when none is; the first ``top_k`` of them, with how many were ``retrieved_chunks``."""
     good = (F.col("semantic_score") >= fv.MIN_SEMANTIC_SCORE) & (F.col("rerank_score") >= fv.MIN_RERANK_SCORE)
     per_question = Window.partitionBy("question_id")
-    kept = ranked.withColumn("_good", good)
+    kept = ranked.withColumns({"_good": good, "retrieved_chunks": F.count("*").over(per_question)})
     kept = kept.withColumn("_any", F.max("_good").over(per_question)).filter(F.col("_good") | ~F.col("_any"))
     place = F.row_number().over(per_question.orderBy("rank"))
     limit = top_k if isinstance(top_k, Column) else F.lit(top_k)
@@ -296,8 +190,8 @@ def has_refusal(document: Column) -> Column:
     return F.lower(text_or_empty(document)).rlike("|".join(fv.REFUSAL_PHRASES))
 
 
-def confidence(accepted: DataFrame) -> DataFrame:
-    """One row per question: confidence, its label and the five factors as percentages."""
+def confidence(accepted: DataFrame, *also: Column) -> DataFrame:
+    """One row per question: confidence, its label and the five factors as percentages; ``also`` adds named aggregates."""
     top = F.reverse(F.sort_array(F.collect_list("rerank_score")))
     grouped = accepted.groupBy("question_id").agg(
         F.avg("semantic_score").alias("s"),
@@ -305,7 +199,9 @@ def confidence(accepted: DataFrame) -> DataFrame:
         F.min_by("final_score", "place").alias("t"),
         F.count("*").alias("n"),
         F.avg(F.when(has_refusal(F.col("document")), 1.0).otherwise(0.0)).alias("g"),
+        *also,
     )
+    own = [c for c in grouped.columns if c not in ("question_id", "s", "r", "t", "n", "g")]
     gap = F.get("r", F.lit(0)) - F.coalesce(F.get("r", F.lit(1)), F.lit(0.0))
     factors = grouped.withColumns(
         {
@@ -334,6 +230,7 @@ def confidence(accepted: DataFrame) -> DataFrame:
         F.col("n").alias("accepted_chunks"),
         F.col("s").alias("avg_semantic_score"),
         (F.aggregate("r", F.lit(0.0), lambda a, x: a + x) / F.col("n")).alias("avg_rerank_score"),
+        *own,
     )
 
 
@@ -433,16 +330,14 @@ def ranked_chunks() -> Column:
     )
 
 
-def query_results(questions: DataFrame, cands: DataFrame, accepted: DataFrame) -> DataFrame:
+def query_results(questions: DataFrame, accepted: DataFrame) -> DataFrame:
     """One row per question: answer, confidence, factors, metrics and its chunks.
 
     A question with no accepted chunk gets the fixed answer with confidence 0.
     """
-    nested = accepted.groupBy("question_id").agg(ranked_chunks().alias("chunks"))
-    seen = cands.groupBy("question_id").agg(F.count("*").alias("retrieved_chunks"))
+    judged = confidence(accepted, ranked_chunks().alias("chunks"), F.first("retrieved_chunks").alias("retrieved_chunks"))
     base = questions.select("question_id", strip(F.col("text")).alias("question"))
-    joined = base.join(nested, "question_id", "left").join(confidence(accepted), "question_id", "left")
-    joined = joined.join(seen, "question_id", "left")
+    joined = base.join(judged, "question_id", "left")
     answered = F.col("chunks").isNotNull()
     answer = F.when(answered, extractive_answer(F.col("chunks"))).otherwise(F.lit(fv.EMPTY_RESULT_ANSWER))
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("accepted_chunks", "retrieved_chunks")}

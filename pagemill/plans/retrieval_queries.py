@@ -14,7 +14,6 @@ from pagemill.functions import scores
 from pagemill.operators import retrieve
 from pagemill.plans import query, sql
 from pagemill.plans.text_queries import _CHUNKED, chunked_text
-from pagemill.session import cut_lineage
 
 # --- Spark side ----------------------------------------------------------------------------
 
@@ -56,24 +55,31 @@ def chunk_rows(t):
     )
 
 
+def sub_counts(t):
+    """How many sub-questions each question has, as ``asked`` makes them."""
+    label = F.col("label")
+    subs = F.when((label >= 3) & (label < 5), F.lit(2)).otherwise(F.lit(1)).cast("long")
+    return t.embeddings.select(F.col("vec_id").cast("string").alias("question_id"), subs.alias("subs"))
+
+
 def question_rows(t):
     texts = t.documents.select(F.col("doc_id").cast("string").alias("question_id"), "text")
-    subs = asked(t).groupBy(F.col("question_id").cast("string").alias("question_id")).agg(F.count("*").alias("subs"))
-    return subs.join(texts, "question_id")
+    return sub_counts(t).join(texts, "question_id")
+
+
+def flagged(t):
+    return cands(t).join(sub_counts(t), "question_id").withColumn("skip", retrieve.skip_rerank(F.col("subs")))
 
 
 def scored(t):
-    """Candidates with chunk, skip flag and pair score; keywords are taken once per text."""
+    """Candidates with skip flag and pair score; only keywords are met, texts stay where they are until ``accepted``."""
     from pagemill.functions import text
 
     questions = question_rows(t).select("question_id", text.keywords(F.col("text")).alias("qk"))
-    chunks = chunk_rows(t)
-    chunks = chunks.withColumn("ck", text.keywords(retrieve.rank_text()))
-    counted = asked(t).groupBy(F.col("question_id").cast("string").alias("question_id")).agg(F.count("*").alias("subs"))
-    found = cands(t).join(counted, "question_id").withColumn("skip", retrieve.skip_rerank(F.col("subs")))
-    flagged = found.join(chunks, "chunk_id").join(questions, "question_id")
+    chunks = chunk_rows(t).select("chunk_id", text.keywords(retrieve.rank_text()).alias("ck"))
+    found = flagged(t).join(chunks, "chunk_id").join(questions, "question_id")
     raw = F.when(~F.col("skip"), text.overlap(F.col("qk"), F.col("ck")))
-    return flagged.withColumn("raw_score", raw).drop("qk", "ck")
+    return found.withColumn("raw_score", raw).drop("qk", "ck")
 
 
 def ranked(t):
@@ -81,7 +87,7 @@ def ranked(t):
 
 
 def accepted(t):
-    return retrieve.accept(ranked(t))
+    return retrieve.accept(ranked(t)).join(chunk_rows(t), "chunk_id")
 
 
 # --- SQL side --------------------------------------------------------------------------------
@@ -182,9 +188,7 @@ def _(t):
 
 @query("rank_skip_rule", f"WITH {SCORED} SELECT question_id, bool_or(skip) AS skip, count(*) AS candidates FROM flagged GROUP BY 1")
 def _(t):
-    counted = asked(t).groupBy(F.col("question_id").cast("string").alias("question_id")).agg(F.count("*").alias("subs"))
-    flagged = cands(t).join(counted, "question_id").withColumn("skip", retrieve.skip_rerank(F.col("subs")))
-    return flagged.groupBy("question_id").agg(F.bool_or("skip").alias("skip"), F.count("*").alias("candidates"))
+    return flagged(t).groupBy("question_id").agg(F.bool_or("skip").alias("skip"), F.count("*").alias("candidates"))
 
 
 @query("rank_text", f"WITH {DOCS} SELECT 'v' || doc_id AS chunk_id, rank_text FROM rtexts")
@@ -273,9 +277,7 @@ _ANSWER = f"array_to_string(list_filter(list(CASE WHEN place <= 3 THEN {sql.comp
 
 
 def results(t):
-    questions = cut_lineage(question_rows(t), "questions")
-    found = cut_lineage(scored(t), "candidates")
-    return retrieve.query_results(questions, found, retrieve.accept(retrieve.rerank(found)))
+    return retrieve.query_results(question_rows(t), accepted(t))
 
 
 RESULTS = f"""{CONF}, answers AS (SELECT question_id, {_ANSWER} AS answer, string_agg(chunk_id, ',' ORDER BY place) AS chunk_ids FROM accepted GROUP BY 1),
