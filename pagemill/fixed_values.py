@@ -40,7 +40,7 @@ COLLECTION_PREFIX = "website_"
 TENANT_SEPARATOR = "_u_"
 TENANT_SLUG_CHARS = 20
 LEGACY_COLLECTION = "rag_documents"
-ROBOTS_AGENT = "WebsiteRAGIngestionBot"
+ROBOTS_AGENT = "*"
 SKIPPED_SITEMAP_PREFIXES = [
     "/ar/", "/ar-kw/", "/ar-sa/", "/ar-qa/", "/ar-om/", "/ar-bh/",
     "/en-kw/", "/en-sa/", "/en-qa/", "/en-om/", "/en-bh/",

@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from pagemill import fixed_values as fv
 from pagemill.functions import urls
 from pagemill.functions.text import text_or_empty
-from pagemill.operators.dedup import is_first, keep_first_rows, with_first
+from pagemill.operators.dedup import keep_first_rows, mark_first
 from pagemill.session import cut_lineage
 
 
 def filter_urls(df: DataFrame, order: list[str], url: str = "url", keys: list[str] | None = None) -> DataFrame:
     """Add ``outcome``: ``duplicate`` before ``blocked`` before ``accepted``, in ``order``."""
-    keyed = with_first(df, [*(keys or []), url], order)
+    keyed = mark_first(df, [*(keys or []), url], order)
     outcome = (
-        F.when(~is_first(order), "duplicate")
+        F.when(~F.col("_is_first"), "duplicate")
         .when(urls.is_blocked_url(F.col(url)), "blocked")
         .otherwise("accepted")
     )
-    return keyed.withColumn("outcome", outcome).drop("_first", "_n")
+    return keyed.withColumn("outcome", outcome).drop("_is_first")
 
 
 def apply_filters(extracted: DataFrame, target: Column, order: str = "pos") -> DataFrame:
@@ -61,7 +61,7 @@ def merge_sitemaps(records: DataFrame, order: list[str]) -> DataFrame:
 def robots_allowed(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Add ``allowed``: the first rule of the host whose path starts the URL's path decides.
 
-    ``rules`` has one row per robots file with its rules as an array; they are met as rows.  Each distinct
+    ``rules`` has ``host, pos, path, allow``, or one row per host with its ``rules`` as an array.  Each distinct
     path is expanded into the prefixes whose length some rule has, and these are joined on equality, so
     no path is compared with all rules of its host.
     """
@@ -73,12 +73,10 @@ def robots_allowed(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFra
     )
     path = F.when(request == "", "/").otherwise(request)
     keyed = df.withColumns({"_host": urls.host_of(F.col(url)), "_path": path})
-    flat = rules.select(F.col("host").alias("_host"), F.posexplode("rules").alias("_pos", "_rule")).select(
-        "_host",
-        F.when(F.col("_rule.path") == "*", "").otherwise(F.col("_rule.path")).alias("_prefix"),
-        "_pos",
-        F.col("_rule.allow").alias("_allow"),
-    )
+    if "rules" in rules.columns:
+        rules = rules.select("host", F.posexplode("rules").alias("pos", "r")).select("host", "pos", "r.*")
+    prefix = F.when(F.col("path") == "*", "").otherwise(F.col("path"))
+    flat = rules.select(F.col("host").alias("_host"), prefix.alias("_prefix"), F.col("pos").alias("_pos"), F.col("allow").alias("_allow"))
     lengths = flat.agg(F.collect_set(F.length("_prefix"))).scalar()
     asked = keyed.select("_host", "_path").distinct().withColumn("_lengths", lengths)
     fitting = F.filter("_lengths", lambda n: n <= F.length("_path"))

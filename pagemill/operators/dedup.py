@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pagemill.session import salt_buckets
 
+SKETCH_BITS = 1 << 22  # of each of the two sketches of `mark_first`, half a megabyte
+
 
 def with_first(
     df: DataFrame,
@@ -82,3 +84,42 @@ def keep_first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFra
     fields = order + [c for c in rest if c not in order]
     best = df.groupBy(*keys).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("_best"))
     return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
+
+
+def _bit(slots: Column, words: Column) -> Column:
+    """Whether a sketch, an array of longs, has the bit of a slot."""
+    return F.getbit(F.get(words, F.shiftright(slots, 6).cast("int")), F.pmod(slots, F.lit(64)).cast("int")) == 1
+
+
+def mark_first(
+    df: DataFrame, keys: list[str], order: list[str], where: Column | None = None, bits: int = SKETCH_BITS
+) -> DataFrame:
+    """Add ``_is_first``: whether the row is the first of its key in ``order``; null outside ``where``.
+
+    ``order`` must identify a row.  A first pass over keys and order alone finds the keys that come more than once and
+    all first rows, combined on the map side.  Two sketches of fixed size travel with the plan: one of those keys,
+    one of all first rows.  A row whose key is not in the one is first, a row that is not in the other is a repeat;
+    only rows in both, the first rows of repeated keys and a few taken for such, are shuffled and looked up, by their
+    ``order``, which no two rows share.  Full sketches send more rows to the look-up and change no result.
+    """
+    slot = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(bits))
+    narrow = (df if where is None else df.filter(where)).select(*dict.fromkeys([*keys, *order]))
+    firsts = narrow.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_n"))
+    place = slot([F.col("_first")[c] for c in order]) + F.lit(bits)
+    taken = F.explode(F.when(F.col("_n") > 1, F.array(slot(keys), place)).otherwise(F.array(place)))
+    held = firsts.select(taken.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    held = held.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))).alias("bits"))
+    every = df.sparkSession.range(2 * bits // 64).withColumnRenamed("id", "word").join(held, "word", "left")
+    words = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("s"))
+    words = words.select(F.col("s")["bits"]).scalar()
+    repeated, leading = _bit(slot(keys), words), _bit(slot(order) + F.lit(bits), words)
+    sure = F.when(~repeated, True).when(~leading, False)
+    marked = df.withColumn("_is_first", sure if where is None else F.when(F.coalesce(where, F.lit(False)), sure))
+    doubtful = F.coalesce(F.lit(True) if where is None else where, F.lit(False)) & repeated & leading
+    same = F.lit(True)
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"_f.{c}"))
+    asked = firsts.filter(repeated).select(F.col("_first").alias("_f"))
+    looked_up = df.filter(doubtful).join(asked, same, "left")
+    looked_up = looked_up.select(*df.columns, F.col("_f").isNotNull().alias("_is_first"))
+    return marked.filter(~doubtful).unionByName(looked_up)

@@ -226,9 +226,9 @@ _RULES = rf"""rules AS (SELECT {_HOST} AS host, min(page_id) AS page_id, page_id
       rule AS path, allow, 'https://' || host || '/sitemap.xml' AS sitemap FROM rules""",
 )
 def _(t):
-    rules = robots_source.robots_rules(robots_bodies(t))
-    flat = rules.select("host", F.posexplode("rules").alias("pos", "r"), F.col("sitemaps")[0].alias("sitemap"))
-    return flat.select("host", "pos", F.col("r.path").alias("path"), F.col("r.allow").alias("allow"), "sitemap")
+    lines = robots_source.body_lines(robots_bodies(t))
+    first = robots_source.sitemaps_of(lines).filter("pos = 0").select("host", "sitemap")
+    return robots_source.rules_of(lines).join(first, "host", "left")
 
 
 @query(
@@ -239,7 +239,7 @@ def _(t):
     SELECT page_id, coalesce(allow, true) AS allowed FROM pages LEFT JOIN m USING (page_id)""",
 )
 def _(t):
-    rules = robots_source.robots_rules(robots_bodies(t))
+    rules = robots_source.rules_of(robots_source.body_lines(robots_bodies(t)))
     return crawl.robots_allowed(t.pages.select("page_id", "url"), rules).select("page_id", "allowed")
 
 
@@ -304,8 +304,12 @@ _LEAF = f"""'https://' || {_HOST} || '/' || {_FOLDER} || '/sitemap' || CASE WHEN
       {_LEAF} AS source_sitemap FROM pages""",
 )
 def _(t):
+    """Written as files and read again by entries, whatever the files' sizes."""
+    path = scratch_dir(t.spark, "sitemap-files")
     leaves, _ = sitemap_bodies(t)
-    return sitemap_source.sitemap_urls(leaves).select("url", "last_modified", "priority", "source_sitemap")
+    leaves.select(F.col("url").alias("source_sitemap"), "body").write.partitionBy("source_sitemap").text(path)
+    entries = sitemap_source.read_entries(t.spark, path)
+    return sitemap_source.entry_urls(entries).select("url", "last_modified", "priority", "source_sitemap")
 
 
 @query(
@@ -314,9 +318,11 @@ def _(t):
     UNION ALL SELECT DISTINCT {_LEAF}, 1 FROM pages""",
 )
 def _(t):
+    path = scratch_dir(t.spark, "sitemap-files")
     leaves, indexes = sitemap_bodies(t)
-    bodies = cut_lineage(leaves.unionByName(indexes), "sitemaps")
-    return sitemap_source.follow_indexes(bodies, indexes.select("url"))
+    leaves.unionByName(indexes).select(F.col("url").alias("source_sitemap"), "body").write.partitionBy("source_sitemap").text(path)
+    named = sitemap_source.read_children(t.spark, path)
+    return sitemap_source.follow_children(named, indexes.select("url"))
 
 
 @query(
@@ -371,7 +377,7 @@ def _(t):
 def fetched_pages(t, *more):
     """The page table seen as a fetch log: every 11th answer is an error, every 13th is no HTML."""
     n = F.col("page_id")
-    rules = robots_source.robots_rules(robots_bodies(t))
+    rules = robots_source.rules_of(robots_source.body_lines(robots_bodies(t)))
     log = t.pages.select(
         "page_id",
         "url",

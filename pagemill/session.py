@@ -76,6 +76,26 @@ def delete_paths(spark: SparkSession, pattern: str) -> None:
         system.delete(found.getPath(), True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder where it is missing, wherever Spark's file systems reach."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> bool:
+    """Put a folder in the place of another; False where there is none to move."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    old, new = hadoop.Path(source), hadoop.Path(target)
+    system = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(old):
+        return False
+    system.delete(new, True)
+    system.mkdirs(new.getParent())
+    if not system.rename(old, new):
+        raise OSError(f"cannot move {source} to {target}")
+    return True
+
+
 def salt_buckets(spark: SparkSession) -> int:
     """How many ways a hot group is spread: as wide as a shuffle."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions.text import text_or_empty
-from pagemill.session import delete_paths, salt_buckets, scratch_dir
+from pagemill.session import delete_paths, move_folder, salt_buckets
 
 
 def read_stage_json(
@@ -61,15 +63,20 @@ def write_stage(df: DataFrame, path: str) -> None:
 def write_split(df: DataFrame, reason: str, accepted_path: str, rejected_path: str) -> None:
     """Accepted and rejected rows of one stage, told apart by ``reason``.
 
-    The stage is computed once, into the shared folder, and removed from there afterwards.
+    The stage runs once: one write deals the rows into a folder a side, beside the accepted path, and the folders take
+    their places when all tasks are done.  A failed stage shows nothing new, and what was there before stays.  Both
+    sides have the stage's columns; ``reason`` is null in accepted rows.
     """
-    spark, staged = df.sparkSession, scratch_dir(df.sparkSession, "split")
-    df.write.parquet(staged)
-    rows = spark.read.schema(df.schema).parquet(staged)
+    spark, staged = df.sparkSession, f"{accepted_path.rstrip('/')}-staged-{uuid.uuid4().hex}"
     is_accepted = text_or_empty(F.col(reason)) == ""
-    rows.filter(is_accepted).drop(reason).write.mode("overwrite").parquet(accepted_path)
-    rows.filter(~is_accepted).write.mode("overwrite").parquet(rejected_path)
-    delete_paths(spark, staged)
+    sides = {"_side": F.when(is_accepted, "accepted").otherwise("rejected"), reason: F.when(~is_accepted, F.col(reason))}
+    try:
+        df.withColumns(sides).write.partitionBy("_side").parquet(staged)
+        for name, path in (("accepted", accepted_path), ("rejected", rejected_path)):
+            if not move_folder(spark, f"{staged}/_side={name}", path):  # no row of this side
+                df.limit(0).write.mode("overwrite").parquet(path)
+    finally:
+        delete_paths(spark, staged)
 
 
 def write_by_key(df: DataFrame, key: Column, path: str, buckets: int = 256) -> None:
