@@ -63,6 +63,25 @@ def _token_windows(piece: str, size: int, overlap: int, tokenizer) -> list[str]:
     return [c for c in cut if c]
 
 
+def split_by_tokens(
+    df: DataFrame, text: str, size: int, overlap: int, load_tokenizer: Callable[[], object], into: str = "pieces"
+) -> DataFrame:
+    """Add ``into``: the text itself if it has at most ``size`` tokens, else its sliding windows of so many, decoded.
+
+    The tokenizer, with ``encode`` and ``decode``, is loaded once per task.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = load_tokenizer()
+        for batch in batches:
+            rows = [_token_windows(t or "", size, overlap, tokenizer) for t in batch.column(text).to_pylist()]
+            columns = [*batch.columns, pa.array(rows, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, into])
+
+    return df.mapInArrow(run, schema)
+
+
 def split_texts(
     df: DataFrame,
     texts: str,

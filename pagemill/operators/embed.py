@@ -16,8 +16,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from pagemill import fixed_values as fv
 from pagemill.functions.text import sha256, strip, text_or_empty
-from pagemill.operators.dedup import is_first, with_first
-from pagemill.session import cut_lineage
+from pagemill.operators.dedup import mark_first
+from pagemill.sources.bucketed import BucketedTable
 
 Encoder = Callable[[list[str]], list]
 VECTOR = T.ArrayType(T.FloatType())
@@ -58,24 +58,25 @@ def encode_texts(
     text: str = "content",
     load: Callable[[], Encoder] = hashing_encoder,
     batch: int = fv.EMBED_BATCH,
+    where: Column | None = None,
 ) -> DataFrame:
-    """Add ``embedding`` and ``error``.
+    """Add ``embedding`` and ``error``; rows outside ``where`` pass by with nulls.
 
     The model is loaded once per task and called on ``batch`` texts; an exception or a wrong number
     of vectors fails the texts of that call and no others.
     """
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("embedding", VECTOR), T.StructField("error", T.StringType())]
-    )
-    vector_type = to_arrow_type(VECTOR)
+    asked = df.withColumn("_asked", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", VECTOR), T.StructField("error", T.StringType())])
+    vector_type, kept = to_arrow_type(VECTOR), df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load()
         for records in batches:
-            texts = records.column(text).to_pylist()
-            vectors: list = []
-            errors: list = []
-            for at in range(0, len(texts), batch):
+            rows = [i for i, yes in enumerate(records.column("_asked").to_pylist()) if yes]
+            texts = records.column(text).take(pa.array(rows, pa.int64())).to_pylist()
+            vectors: list = [None] * len(records)
+            errors: list = [None] * len(records)
+            for at in range(0, len(rows), batch):
                 part = [t or "" for t in texts[at : at + batch]]
                 try:
                     found, error = list(encode(part)), None
@@ -83,14 +84,14 @@ def encode_texts(
                         error = f"embedding count mismatch: expected {len(part)}, got {len(found)}"
                 except Exception as exc:  # noqa: BLE001 - reported per row
                     found, error = [], str(exc)
-                vectors += [None] * len(part) if error else found
-                errors += [error] * len(part)
+                for k, i in enumerate(rows[at : at + batch]):
+                    vectors[i], errors[i] = (None, error) if error else (found[k], None)
             yield pa.RecordBatch.from_arrays(
-                [*records.columns, pa.array(vectors, vector_type), pa.array(errors, pa.string())],
-                names=[*records.schema.names, "embedding", "error"],
+                [*(records.column(c) for c in kept), pa.array(vectors, vector_type), pa.array(errors, pa.string())],
+                names=[*kept, "embedding", "error"],
             )
 
-    return df.mapInArrow(run, schema)
+    return asked.mapInArrow(run, schema)
 
 
 def valid_vector(vector: Column, dim: Column) -> Column:
@@ -100,14 +101,24 @@ def valid_vector(vector: Column, dim: Column) -> Column:
     )
 
 
-def lookup_cache(keyed: DataFrame, cache: DataFrame, model: str) -> DataFrame:
-    """Add ``cached`` (null on a miss) by ``content_hash``."""
-    held = cache.filter(F.col("model") == model).select("content_hash", F.col("embedding").alias("cached"))
-    return keyed.join(held, "content_hash", "left")
+Cache = DataFrame | BucketedTable  # stored by ``content_hash`` it is read where it lies
+
+
+def _held(keyed: DataFrame, cache: Cache, key: str) -> tuple[DataFrame, DataFrame]:
+    if isinstance(cache, BucketedTable):
+        return cache.aligned(keyed, key), cache.read()
+    return keyed, cache
+
+
+def lookup_cache(keyed: DataFrame, cache: Cache, model: str, key: str = "content_hash") -> DataFrame:
+    """Add ``cached`` (null on a miss) by the content hash in ``key``."""
+    keyed, cache = _held(keyed, cache, key)
+    held = cache.filter(F.col("model") == model).select(F.col("content_hash").alias(key), F.col("embedding").alias("cached"))
+    return keyed.join(held, key, "left")
 
 
 def partition_inputs(
-    chunks: DataFrame, cache: DataFrame, model: str, dim: int, order: list[str]
+    chunks: DataFrame, cache: Cache, model: str, dim: int, order: list[str]
 ) -> DataFrame:
     """Add ``content_hash``, ``cached`` and ``state``.
 
@@ -116,17 +127,19 @@ def partition_inputs(
     """
     present = strip(text_or_empty(F.col("content"))) != ""
     keyed = chunks.withColumn("content_hash", content_key(F.col("content")))
-    marked = with_first(keyed, ["content_hash"], order, where=present)
-    looked_up = lookup_cache(marked, cache, model)
+    marked = mark_first(keyed, ["content_hash"], order, where=present)
+    # only first rows are looked up: other keys match nothing and spread over all tasks
+    lookup = F.when(F.col("_is_first"), F.col("content_hash")).otherwise(F.concat_ws("-", F.lit(""), *order))
+    looked_up = lookup_cache(marked.withColumn("_lookup", lookup), cache, model, "_lookup")
     state = (
         F.when(~present, "failed")
-        .when(~is_first(order), "duplicate")
+        .when(~F.col("_is_first"), "duplicate")
         .when(F.col("cached").isNull(), "pending")
         .when(valid_vector(F.col("cached"), F.lit(dim)), "cached")
         .otherwise("failed")
     )
     reason = F.when(~present, "empty content").when(state == "failed", "invalid cached embedding")
-    return looked_up.withColumns({"state": state, "reason": reason}).drop("_first", "_n")
+    return looked_up.withColumns({"state": state, "reason": reason}).drop("_is_first", "_lookup")
 
 
 def embedding_metadata() -> Column:
@@ -151,7 +164,7 @@ def embedding_metadata() -> Column:
 
 def embed_chunks(
     chunks: DataFrame,
-    cache: DataFrame,
+    cache: Cache,
     model: str = "hashing-64",
     dim: int = 64,
     order: list[str] | None = None,
@@ -159,22 +172,20 @@ def embed_chunks(
 ) -> DataFrame:
     """All chunks with ``state`` (embedded, cached, duplicate, failed), record columns and ``error``.
 
-    Only pending rows reach the encoder.
+    Only pending rows reach the encoder; the others pass by.
     """
     order = order or ["pos", "index"]
-    inputs = cut_lineage(partition_inputs(chunks, cache, model, dim, order), "embed-inputs")
-    encoded = encode_texts(inputs.filter(F.col("state") == "pending"), "content", load)
+    pending, state = F.col("state") == "pending", F.col("state")
+    inputs = partition_inputs(chunks, cache, model, dim, order)
+    encoded = encode_texts(inputs, "content", load, where=pending)
     ok = valid_vector(F.col("embedding"), F.lit(dim))
-    encoded = encoded.withColumns(
+    rows = encoded.withColumns(
         {
-            "state": F.when(F.col("error").isNull() & ok, "embedded").otherwise("failed"),
-            "error": F.coalesce("error", F.when(~ok, F.lit("invalid embedding vector"))),
+            "state": F.when(~pending, state).when(F.col("error").isNull() & ok, "embedded").otherwise("failed"),
+            "error": F.when(~pending, F.col("reason")).otherwise(F.coalesce("error", F.when(~ok, F.lit("invalid embedding vector")))),
+            "embedding": F.when(pending, F.col("embedding")).when(state == "cached", F.col("cached")),
         }
     )
-    settled = inputs.filter(F.col("state") != "pending").withColumns(
-        {"embedding": F.when(F.col("state") == "cached", F.col("cached")), "error": F.col("reason")}
-    )
-    rows = settled.unionByName(encoded)
     return rows.select(
         F.coalesce(F.nullif(text_or_empty(F.col("chunk_id")), F.lit("")), "content_hash").alias("id"),
         "embedding",
@@ -197,7 +208,7 @@ def embedding_failures(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("state") == "failed").select("id", "document", "metadata", "error")
 
 
-def cache_additions(rows: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+def cache_additions(rows: DataFrame, cache: Cache, model: str) -> DataFrame:
     """Rows to append to the cache: vectors it does not hold yet, one per content hash."""
     fresh = rows.filter(F.col("state") == "embedded").select(
         F.lit(model).alias("model"),
@@ -205,6 +216,7 @@ def cache_additions(rows: DataFrame, cache: DataFrame, model: str) -> DataFrame:
         "embedding",
         F.struct(F.col("metadata.chunk_id").alias("chunk_id")).alias("metadata"),
     )
+    fresh, cache = _held(fresh, cache, "content_hash")
     return fresh.join(cache.select("model", "content_hash"), ["model", "content_hash"], "left_anti")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill import fixed_values as fv
+from pagemill.sources.bucketed import BUCKETS, BucketedTable
 
 COUNTERS = ["queries", "chats", "tokens"]
 
@@ -46,6 +48,45 @@ def monthly_usage(events: DataFrame) -> DataFrame:
     ).drop("_month")
 
 
+TOTALS = T.StructType(
+    [T.StructField("user_id", T.LongType()), T.StructField("date", T.DateType()), *[T.StructField(c, T.LongType()) for c in COUNTERS]]
+)
+
+
+class UsageTotals:
+    """Stored counters by user and day that events are added to, batch by batch.
+
+    A batch adds one row for each user and day that it has events of, however late they come, and replaces what an
+    earlier try of it added.  Rows are bucketed by user, so days, months and periods are summed where they lie, and no
+    event is read again.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.stored = BucketedTable(spark, path, TOTALS, "user_id", buckets)
+
+    def add(self, events: DataFrame, batch: int) -> None:
+        """``events(user_id, ts, tokens)`` of one batch."""
+        self.stored.write(daily_usage(events), batch)
+
+    def daily(self) -> DataFrame:
+        """As ``daily_usage`` of all events."""
+        summed = self.stored.read().groupBy("user_id", "date").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+        return summed.withColumn("label", day_label(F.col("date")))
+
+    def monthly(self) -> DataFrame:
+        """As ``monthly_usage`` of all events."""
+        rows = self.stored.read().withColumn("_month", F.trunc("date", "month"))
+        summed = rows.groupBy("user_id", "_month").agg(*[F.sum(c).alias(c) for c in COUNTERS])
+        names = {"month": F.date_format("_month", "yyyy-MM"), "label": month_label(F.col("_month"))}
+        return summed.withColumns(names).drop("_month")
+
+    def fold(self, path: str) -> UsageTotals:
+        """The same counters with one row a user and day, at another path."""
+        folded = UsageTotals(self.stored.spark, path, self.stored.buckets)
+        folded.stored.write(self.daily(), 0)
+        return folded
+
+
 def last_rows(rollup: DataFrame, period: str, n: int) -> DataFrame:
     """Latest ``n`` rollup rows of every user; ``recency`` 1 is the newest."""
     newest = Window.partitionBy("user_id").orderBy(F.col(period).desc())

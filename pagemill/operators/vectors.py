@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from pagemill import fixed_values as fv
 from pagemill.functions.text import strip, text_or_empty
-from pagemill.operators.dedup import is_first, with_first
+from pagemill.operators.dedup import mark_first
 from pagemill.operators.embed import VECTOR
-from pagemill.session import delete_paths, scratch_dir
+from pagemill.session import scratch_dir
+from pagemill.sources.bucketed import BUCKETS, BucketedTable
 
 METADATA = T.StructType([T.StructField(f, T.StringType()) for f in fv.METADATA_FIELDS])
 TABLE = T.StructType(
@@ -56,15 +57,15 @@ def existing_ids(table: DataFrame, ids: DataFrame) -> DataFrame:
 def plan_insert(records: DataFrame, table: DataFrame, order: list[str]) -> DataFrame:
     """Records with ``outcome``: insert, duplicate (stored already or seen earlier), or failure."""
     judged = records.withColumn("problem", record_problem())
-    marked = with_first(judged, ["id"], order, where=F.col("problem") == "")
+    marked = mark_first(judged, ["id"], order, where=F.col("problem") == "")
     stored = table.select("id").distinct().withColumn("_stored", F.lit(True))
     joined = marked.join(stored, "id", "left")
     outcome = (
         F.when(F.col("problem") != "", "failure")
-        .when(F.col("_stored").isNotNull() | ~is_first(order), "duplicate")
+        .when(F.col("_stored").isNotNull() | ~F.col("_is_first"), "duplicate")
         .otherwise("insert")
     )
-    return joined.withColumn("outcome", outcome).drop("_first", "_n", "_stored")
+    return joined.withColumn("outcome", outcome).drop("_is_first", "_stored")
 
 
 def rows_to_insert(planned: DataFrame) -> DataFrame:
@@ -101,36 +102,24 @@ def resolve_collection(requests: DataFrame, counts: DataFrame, legacy: str = fv.
 
 
 class VectorTable:
-    """Vectors in parquet under ``collection=/batch=`` folders.
+    """Vectors in parquet, bucketed by the hash of their id, in folders by batch and collection.
 
-    A write first removes what an earlier try of its batch left, so replaying a batch changes nothing;
-    reading takes the newest batch of every id, within a batch the last document.  ``compact`` folds
-    batches into one for faster reads.
+    Writing a batch replaces what an earlier try of it left, so replaying a batch changes nothing; reading takes
+    the newest batch of every id, within a batch the last document.  Files are stored by id, so neither reading nor
+    an upsert moves what is stored.  ``compact`` folds batches into one, bucket by bucket.
     """
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
         self.spark = spark
         self.path = path
+        self.stored = BucketedTable(spark, path, T.StructType(TABLE.fields[:-1]), "id", buckets, ("collection",))
 
     def write(self, records: DataFrame, batch: int) -> None:
-        rows = records.select(
-            "id", "embedding", "document", "metadata",
-            F.col("metadata.collection").alias("collection"),
-            F.lit(batch).cast("long").alias("batch"),
-        )
-        delete_paths(self.spark, f"{self.path}/collection=*/batch={batch}")
-        rows.write.mode("append").partitionBy("collection", "batch").parquet(self.path)
-
-    def _files(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(TABLE).parquet(self.path)
-        except Exception as exc:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-            return self.spark.createDataFrame([], TABLE)
+        rows = records.select("id", "embedding", "document", "metadata", F.col("metadata.collection").alias("collection"))
+        self.stored.write(rows, batch)
 
     def read(self, collection: str | None = None) -> DataFrame:
-        rows = self._files()
+        rows = self.stored.read()
         if collection is not None:
             rows = rows.filter(F.col("collection") == collection)
         newest = rows.groupBy("collection", "id").agg(
@@ -140,24 +129,21 @@ class VectorTable:
 
     def counts(self) -> DataFrame:
         """Vectors per collection; only ids and partition values are read."""
-        return self._files().groupBy("collection").agg(F.count_distinct("id").alias("vectors"))
+        ids = self.stored.read().groupBy("collection", "id").agg(F.count("*").alias("n"))
+        return ids.groupBy("collection").agg(F.count("*").alias("vectors"))
 
     def collections(self) -> DataFrame:
         """Names of the collections, from the folders alone."""
-        return self._files().select("collection").distinct()
+        return self.stored.read().select("collection").distinct()
 
     def drop(self, collection: str) -> "VectorTable":
-        """Remove one collection's folder; the same name can be filled anew."""
+        """Remove one collection's folders; the same name can be filled anew."""
         if not re.fullmatch(r"[A-Za-z0-9_-]+", collection):
             raise ValueError(f"no name of a collection: {collection!r}")
-        delete_paths(self.spark, f"{self.path}/collection={collection}")
+        self.stored.drop("collection", collection)
         return self
 
     def compact(self) -> "VectorTable":
-        newest = self.read().withColumn("batch", F.lit(-1).cast("long"))
-        return self._rewrite(newest.select(TABLE.fieldNames()))
-
-    def _rewrite(self, rows: DataFrame) -> "VectorTable":
-        path = scratch_dir(self.spark, "vectors")
-        rows.write.partitionBy("collection", "batch").parquet(path)
-        return VectorTable(self.spark, path)
+        folded = VectorTable(self.spark, scratch_dir(self.spark, "vectors"), self.stored.buckets)
+        folded.stored.write(self.read(), 0)
+        return folded

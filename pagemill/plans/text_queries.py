@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill import fixed_values as fv
-from pagemill.functions import language, policy, repair, text, tokens
+from pagemill.functions import language, policy, repair, split, text, tokens
 from pagemill.plans import query, sql
 
 
@@ -466,23 +466,40 @@ def _(t):
     return by_kind.agg(F.count("*").alias("n"))
 
 
-# --- token counts by a tokenizer that is loaded on the workers -----------------------------------
+# --- token windows by a tokenizer that is loaded on the workers ----------------------------------
 
-def _load_words():
+class _Words:
     """A stand-in for a tokenizer: runs of letters and digits, and each other character that is no space."""
-    import re
 
-    pieces = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9 \n]")
-    return lambda texts: [pieces.findall(x) for x in texts]
+    def encode(self, text):
+        import re
+
+        return re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9 \n]", text)
+
+    def decode(self, ids):
+        return " ".join(ids)
+
+
+def _load_words():
+    return lambda texts: [_Words().encode(x) for x in texts]
+
+
+_PIECE = r"[A-Za-z0-9]+|[^A-Za-z0-9 \n]"
 
 
 @query(
     "chunk_token_budget",
-    """WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9 \n]')) AS tokens FROM documents)
-    SELECT doc_id, tokens, CAST(ceil(greatest(tokens - 100, 1) / 400.0) AS BIGINT) AS windows FROM n""",
+    f"""WITH n AS (SELECT doc_id, text, regexp_extract_all(text, '{_PIECE}') AS t FROM documents),
+    w AS (SELECT doc_id, len(t) AS tokens, CASE WHEN len(t) <= 500 THEN [text]
+      ELSE [array_to_string(t[i + 1:i + 500], ' ') FOR i IN range(0, len(t), 400)] END AS pieces FROM n)
+    SELECT doc_id, tokens, len(pieces) AS windows, list_sum([length(p) FOR p IN pieces])::BIGINT AS chars,
+      sha256(array_to_string(pieces, '|')) AS digest FROM w""",
 )
 def _(t):
-    """Tokens of whole texts and the windows of 500 with an overlap of 100 that they fill."""
+    """Tokens of whole texts, and their windows of 500 tokens with an overlap of 100 as the tokenizer decodes them."""
     count = tokens.token_count(F.col("text"), tokens.bpe_counter(_load_words)).cast("long")
-    windows = F.ceil(F.greatest(F.col("tokens") - 100, F.lit(1)) / 400.0)
-    return t.documents.select("doc_id", count.alias("tokens")).select("doc_id", "tokens", windows.alias("windows"))
+    counted = t.documents.select("doc_id", "text", count.alias("tokens"))
+    cut = split.split_by_tokens(counted, "text", 500, 100, _Words)
+    chars = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + F.length(p))
+    digest = F.sha2(F.array_join("pieces", "|"), 256)
+    return cut.select("doc_id", "tokens", F.size("pieces").cast("long").alias("windows"), chars.alias("chars"), digest.alias("digest"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill.operators import usage
 from pagemill.plans import base, query
+from pagemill.session import scratch_dir
 
 D, M, S, U = base.SQL_DAILY, base.SQL_MONTHLY, base.SQL_STATS, base.SQL_USERS
 A = base.SQL_AS_OF
@@ -28,6 +29,25 @@ def _(t):
     return base.monthly(t).select("user_id", "month", "queries", "chats", "tokens", "label")
 
 
+def kept_totals(t):
+    """Events in three batches, days mixed over all of them, the second one sent again."""
+    kept = usage.UsageTotals(t.spark, scratch_dir(t.spark, "usage-totals"))
+    events = t.events.select("event_id", "user_id", "ts", F.floor("value").alias("tokens"))
+    for batch in (0, 1, 1, 2):
+        kept.add(events.filter(F.pmod("event_id", F.lit(3)) == batch), batch)
+    return kept
+
+
+@query("use_daily_kept", f"WITH {D} SELECT user_id, {_DATE}, queries, chats, tokens, label FROM daily")
+def _(t):
+    return _dated(kept_totals(t).daily()).select("user_id", "date", "queries", "chats", "tokens", "label")
+
+
+@query("use_monthly_kept", f"WITH {M} SELECT user_id, month, queries, chats, tokens, label FROM monthly")
+def _(t):
+    return kept_totals(t).monthly().select("user_id", "month", "queries", "chats", "tokens", "label")
+
+
 @query(
     "use_labels",
     "SELECT o_orderkey, strftime(o_orderdate, '%a, %b %-d') AS day_label, strftime(o_orderdate, '%b %Y') AS month_label FROM orders",

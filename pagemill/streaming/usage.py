@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from pagemill.operators.usage import UsageTotals
+
 EVENTS = (
     T.StructType()
     .add("event_id", "long")
@@ -16,53 +18,29 @@ EVENTS = (
     .add("value", "double")
     .add("props", "string")
 )
-COUNTERS = (
-    T.StructType()
-    .add("user_id", "long")
-    .add("date", "date")
-    .add("queries", "long")
-    .add("tokens", "long")
-    .add("batch", "long")
-)
 
 
-def daily_counters(events: DataFrame, lateness: str = "2 days") -> DataFrame:
-    """Queries and tokens per user and day; days older than the watermark leave the state."""
-    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    days = timed.groupBy("user_id", F.window("ts", "1 day").alias("w"))
-    counted = days.agg(F.count("*").alias("queries"), F.sum(F.floor("value")).alias("tokens"))
-    return counted.select("user_id", F.to_date("w.start").alias("date"), "queries", "tokens")
+def totals(spark: SparkSession, out: str) -> UsageTotals:
+    return UsageTotals(spark, f"{out}/counters")
 
 
 def start_daily(
     spark: SparkSession, path: str, out: str, files_per_batch: int = 100, pause: str | None = None
 ) -> StreamingQuery:
-    """Write changed counters of every micro-batch; replaying a batch overwrites its own folder."""
+    """Add the events of every micro-batch to the stored counters of their days.
+
+    The counters are the state: no event is too late to count, and a replayed batch replaces its own rows.
+    """
     events = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
-    def save(rows: DataFrame, batch: int) -> None:
-        (
-            rows.withColumn("batch", F.lit(batch).cast("long"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch")
-            .parquet(f"{out}/counters")
-        )
+    def add(rows: DataFrame, batch: int) -> None:
+        totals(spark, out).add(rows.select("user_id", "ts", F.floor("value").alias("tokens")), batch)
 
-    writer = (
-        daily_counters(events)
-        .writeStream.outputMode("update")
-        .foreachBatch(save)
-        .option("checkpointLocation", f"{out}/checkpoint")
-    )
+    writer = events.writeStream.foreachBatch(add).option("checkpointLocation", f"{out}/checkpoint")
     writer = writer.trigger(processingTime=pause) if pause else writer.trigger(availableNow=True)
     return writer.start()
 
 
 def read_daily(spark: SparkSession, out: str) -> DataFrame:
-    """Newest counters of every user and day."""
-    rows = spark.read.schema(COUNTERS).parquet(f"{out}/counters")
-    newest = rows.groupBy("user_id", "date").agg(
-        F.max_by(F.struct("queries", "tokens"), "batch").alias("c")
-    )
-    return newest.select("user_id", "date", "c.queries", "c.tokens")
+    """The counters of every user and day."""
+    return totals(spark, out).daily().select("user_id", "date", "queries", "tokens")
