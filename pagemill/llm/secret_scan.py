@@ -21,11 +21,13 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm.batches import map_columns, texts
@@ -67,14 +69,16 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, int]]:
-    """Runs and their parts, the longest of a run first."""
+    """Runs and their parts that no base span holds whole, the longest of a run first; linear in spans but for a search."""
+    starts, ends = [s[0] for s in base], list(accumulate((s[1] for s in base), max))
     out = []
     for m in _CANDIDATE.finditer(text):
         spans = {m.span()}
         if not _PLAIN.isdisjoint(m[0]):
             spans.update(p.span() for part in _PARTS for p in part.finditer(text, *m.span()))
         for a, b in sorted(spans, key=lambda s: (s[0] - s[1], s)):
-            if not any(c <= a and b <= d for c, d, _, _ in base):
+            before = bisect_right(starts, a)
+            if not before or ends[before - 1] < b:
                 out.append((a, b))
     return out
 
@@ -201,14 +205,15 @@ def format_spans(
     text: str, base: list[tuple[int, int, str, str]], formats: list[tuple[Automaton, float]]
 ) -> list[tuple[int, int, str, str]]:
     """The candidates that one of the formats explains; none inside another."""
-    out: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int]] = []  # by start, and as none lies in another also by end
     for a, b in candidates(text, base):
-        if any(c <= a and b <= d for c, d, _, _ in out):
+        before = bisect_right(found, (a, math.inf))
+        if before and found[before - 1][1] >= b:
             continue
         value = classes_of(text[a:b])
         if any(automaton.gain(value) >= least for automaton, least in formats):
-            out.append((a, b, "format", text[a:b]))
-    return sorted(out)
+            found.insert(before, (a, b))
+    return [(a, b, "format", text[a:b]) for a, b in found]
 
 
 # --- Spark ----------------------------------------------------------------------------------------------
@@ -227,12 +232,13 @@ def credentials(docs: DataFrame) -> DataFrame:
 
 def learn_formats(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[Automaton, float]]:
     """Fit on the ``sample`` distinct credentials of each kind whose hash is smallest; long ones are not formats."""
-    found = credentials(docs).filter("length(value) <= 256").withColumn("h", F.xxhash64("value"))
+    found = credentials(docs).filter("length(value) <= 256").distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    drawn = found.withColumn("place", place).filter(F.col("place") <= sample)
     values: dict[str, list[str]] = defaultdict(list)
-    for kind, _, _, _ in BASE:
-        rows = found.filter(F.col("kind") == kind).select("h", "value").distinct().orderBy("h", "value").limit(sample)
-        values[kind] += [r["value"] for r in rows.collect()]
-    return fit({k: v for k, v in values.items() if v})
+    for row in sorted(drawn.collect(), key=lambda r: (r["kind"], r["place"])):
+        values[row["kind"]].append(row["value"])
+    return fit(values)
 
 
 def scan(docs: DataFrame, formats: list[tuple[Automaton, float]]) -> DataFrame:
