@@ -195,7 +195,28 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 SLIPS = 97  # one of so many different words of a document loses a character
 
 
-@query("op11_spelling_variants")
+# CRC-32 by its rule (reflected polynomial 0xEDB88320), then words that meet with one character left out
+SQL_SPELLING = r"""WITH RECURSIVE t AS MATERIALIZED (SELECT list(list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+  d AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' AS name, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+') AS runs FROM documents),
+  r AS (SELECT name, run, count(*) AS n FROM (SELECT name, unnest(runs) AS run FROM d) WHERE length(run) >= 5 GROUP BY name, run),
+  h AS (SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], [('0x' || x)::BIGINT FOR x IN regexp_extract_all(hex(encode(name || run)), '..')]),
+     lambda c, b: xor(t[1 + xor(c & 255, b)], c >> 8)), 4294967295) AS h FROM r, t),
+  w AS (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY word
+     HAVING length(word) >= 5 AND sum(n) >= 3),
+  cut AS (SELECT word, n, unnest(range(length(word))) AS i FROM w),
+  gaps AS (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM w),
+  open AS (SELECT word, n, left(word, i) || '$' || substr(word, i + 2) AS k FROM cut),
+  near AS (SELECT a.word AS a, b.word AS b, b.n AS m FROM open a JOIN open b ON a.k = b.k AND a.word <> b.word
+    UNION SELECT c.word, g.word, g.n FROM open c JOIN (SELECT word, n, left(word, i) || '$' || substr(word, i + 1) AS k FROM gaps) g ON c.k = g.k
+    UNION SELECT g.word, c.word, c.n FROM open c JOIN (SELECT word, n, left(word, i) || '$' || substr(word, i + 1) AS k FROM gaps) g ON c.k = g.k),
+  best AS (SELECT a, count(*) AS n_near, arg_min(b, (-m, b)) AS b, arg_min(m, (-m, b)) AS m FROM near GROUP BY a),
+  f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN b END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN best ON a = word),
+  chain AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+  roots AS (SELECT c.word, c.root FROM chain c JOIN f ON f.word = c.root WHERE f.form IS NULL)
+  SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)"""
+
+
+@query("op11_spelling_variants", SQL_SPELLING)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return spelling_variants.spelling_variants(table(spark, folder, "documents"), drop_every=SLIPS)
 
