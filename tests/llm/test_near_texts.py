@@ -108,11 +108,23 @@ def test_families_copies_and_chains_against_all_pairs(spark, monkeypatch):
     lines = [[f"line{k}w{i}" for i in range(12)] for k in range(8)]
     rows += [sum(rnd.sample(lines, rnd.randint(3, 6)), []) for _ in range(150)]  # put together from lines that all share
     rows = list(enumerate(" ".join(words) for words in rows))
-    monkeypatch.setattr(near_texts, "MEMBERS", 10)
-    monkeypatch.setattr(near_texts, "BLOCKED", 20)
+    monkeypatch.setattr(near_texts, "MEMBERS", 5)
+    monkeypatch.setattr(near_texts, "BLOCKED", 900)
     assert kept(spark, rows) == brute(rows)
 
 
+def test_a_hot_family_around_the_limit_gives_links_only(spark, monkeypatch):
+    """Copies of one text with so many changes that two of them are alike by 0.4 to 0.95."""
+    rnd = random.Random(14)
+    text = " ".join(f"w{k}" for k in range(150))
+    rows = [(i, changed(rnd, text, rnd.randint(0, 9))) for i in range(500)]
+    made, plain = [], near_texts.family_links
+    monkeypatch.setattr(near_texts, "family_links", lambda *a: made.append(plain(*a)) or made[0])
+    counts = count_pairs(monkeypatch)
+    assert kept(spark, rows) == brute(rows)
+    assert made[0].count() < 500 and sum(counts) < 500 * 10
+
+
 def test_odd_texts(spark):
     long = " ".join(f"v{k}" for k in range(150_000))
     rows = [
