@@ -53,6 +53,8 @@ class BucketedTable:
         put = self.aligned(rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in own)))
         put = put.sortWithinPartitions(*self.folders, self.key)
         place = ", ".join((f"batch = {batch:d}", *self.folders))
+        self.spark.sql(f"ALTER TABLE {self.table()} DROP IF EXISTS PARTITION (batch = {batch:d})")
+        delete_paths(self.spark, f"{self.path}/batch={batch:d}")
         # in the session of the rows, which in a stream's batch is another one of the same catalog
         put.sparkSession.sql(f"INSERT OVERWRITE TABLE {self.table()} PARTITION ({place}) SELECT * FROM {{put}}", put=put)
 

@@ -255,15 +255,15 @@ def brute_nearest(q, v, k):
     return out
 
 
-@pytest.mark.parametrize("broadcast_bytes", [1 << 25, 2000])
-def test_nearest_is_exact_with_ties_and_a_hot_vector(spark, broadcast_bytes):
+@pytest.mark.parametrize("cell_rows", [1024, 12])
+def test_nearest_is_exact_with_ties_and_a_hot_vector(spark, cell_rows):
     rng = np.random.default_rng(2)
     hot = rng.normal(size=8).astype("float32")
     v = {("c%d" % (i % 2), f"v{i:03d}"): (hot if i % 3 == 0 else rng.normal(size=8).astype("float32")) for i in range(300)}
     q = {(i, 0, "c%d" % (i % 3)): (hot if i == 4 else rng.normal(size=8).astype("float32")) for i in range(12)}
     qs = spark.createDataFrame([(a, b, c, [float(z) for z in x]) for (a, b, c), x in q.items()], "question_id int, sub_idx int, collection string, embedding array<float>")
     vs = spark.createDataFrame([(c, i, [float(z) for z in x]) for (c, i), x in v.items()], "collection string, id string, embedding array<float>")
-    hits = retrieve.nearest_vectors(qs, vs.repartition(6), k=7, broadcast_bytes=broadcast_bytes).collect()
+    hits = retrieve.nearest_vectors(qs, vs.repartition(6), k=7, cell_rows=cell_rows).collect()
     got = {}
     for r in sorted(hits, key=lambda r: r["rank"]):
         got.setdefault((r["question_id"], r["sub_idx"]), []).append((r["id"], r["distance"]))
@@ -284,6 +284,7 @@ def test_vectors_of_two_widths_and_unusable_questions(spark):
 
 
 def test_a_failing_pair_model_gives_the_constant_score(spark):
+    """The batch's pairs have no score; ``rerank`` gives their questions the constant.  tests/test_scale.py has several batches."""
     def load():
         def score(pairs):
             if any(q == "bad" for q, _ in pairs):
@@ -293,9 +294,12 @@ def test_a_failing_pair_model_gives_the_constant_score(spark):
         return score
 
     scorer = retrieve.pair_scorer(load)
-    for rows, want in (([("a", "bc"), (None, "x")], [3.0, 1.0]), ([("bad", "x"), ("a", "b")], [0.65, 0.65])):
+    for rows, want, ranks in (([("a", "bc"), (None, "x")], [3.0, 1.0], [0.95, 0.05]), ([("bad", "x"), ("a", "b")], [None, None], [0.65, 0.65])):
         df = spark.createDataFrame(rows, "q string, c string").coalesce(1)
         assert [r[0] for r in df.select(scorer(F.col("q"), F.col("c"))).collect()] == want
+        scored = df.select(F.lit(1).alias("question_id"), scorer(F.col("q"), F.col("c")).alias("raw_score"), F.monotonically_increasing_id().alias("cand_pos"))
+        ranked = retrieve.rerank(scored.withColumns({"skip": F.lit(False), "semantic_score": F.lit(0.5)}))
+        assert [r["rerank_score"] for r in ranked.orderBy("cand_pos").collect()] == pytest.approx(ranks)
 
 
 def test_rerank_and_confidence_edges(spark):
