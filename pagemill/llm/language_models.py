@@ -1,8 +1,8 @@
 """Language identification by character language models with interpolated Kneser-Ney smoothing.
 
-Every labelled training text is counted: each task counts the words of its texts, turns them into
-character n-grams (a word stands between blanks, ``" word "``) and hands on one row per n-gram and
-language; Spark adds them up and works out the probabilities over the whole table.  Lower orders use
+Every labelled training text is counted: tasks count the words of their texts, Spark adds them up, and each
+distinct word of a language is turned into character n-grams once (it stands between blanks, ``" word "``); Spark
+adds up the n-grams and works out the probabilities over the whole table.  Lower orders use
 continuation counts (how many characters stand before an n-gram), except at the head of a word.  The model
 holds every n-gram that was counted, so it grows with the input as the distinct n-grams do; only where a
 caller sets ``max_grams`` does it keep, of all languages, the n-grams from a count on at which they fit, with
@@ -40,7 +40,7 @@ from pagemill.session import cut_lineage
 ORDER = 5
 CALIBRATION_DOCS = 4_000
 KEPT_WORDS = 100_000  # a worker's memory of word scores; it is emptied when full
-TASK_WORDS = 100_000  # distinct words that a counting task holds before it hands on n-grams
+TASK_WORDS, TASK_GRAMS = 200_000, 500_000  # distinct words and n-grams that a counting task holds before it hands them on
 DISCOUNT = 0.75
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -60,40 +60,61 @@ def training_fold(doc_id: Column, folds: int = 4) -> Column:
 # --- counting ------------------------------------------------------------------------------------
 
 
-def _grams(words: Counter, order: int) -> Counter:
+def count_words(train: DataFrame) -> DataFrame:
+    """``text, lang`` to ``lang, word, n`` over all rows."""
+
+    def work(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
+        held: dict[str, Counter] = defaultdict(Counter)
+
+        def hand_on() -> Iterator[dict]:
+            for lang, words in held.items():
+                if words:
+                    yield {"lang": [lang] * len(words), "word": list(words), "n": list(words.values())}
+            held.clear()
+
+        for batch in batches:
+            for text, lang in zip(texts(batch["text"]), batch["lang"].to_pylist(), strict=True):
+                held[lang].update(words_of(text))
+            if sum(map(len, held.values())) > TASK_WORDS:
+                yield from hand_on()
+        yield from hand_on()
+
+    parts = map_columns(train.select("text", "lang"), "lang string, word string, n long", work)
+    return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+
+def _grams(words: dict[str, int], order: int) -> Counter:
     out: Counter = Counter()
     for word, n in words.items():
         marked = f" {word} "
         for size in range(1, order + 1):
-            for i in range(len(marked) - size + 1):
+            for i in range(size == 1, len(marked) - size + 1):  # a blank is not predicted by itself at the head of a word
                 out[marked[i : i + size]] += n
-    del out[" "]  # never predicted by itself at the head of a word; its last one is counted below
-    out[" "] += sum(words.values())
     return out
 
 
 def count_grams(train: DataFrame, order: int = ORDER) -> DataFrame:
-    """``text, lang`` to ``lang, gram, n`` over all rows."""
+    """``text, lang`` to ``lang, gram, n`` over all rows; each distinct word of a language is cut once."""
 
     def work(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
         held: dict[str, Counter] = defaultdict(Counter)
 
         def hand_on() -> Iterator[dict]:
-            for lang, words in held.items():
-                grams = _grams(words, order)
-                if not words:
-                    continue
+            for lang, grams in held.items():
                 yield {"lang": [lang] * len(grams), "gram": list(grams), "n": list(grams.values())}
             held.clear()
 
         for batch in batches:
-            for text, lang in zip(texts(batch["text"]), batch["lang"].to_pylist(), strict=True):
-                held[lang].update(words_of(text))
-            if sum(map(len, held.values())) > TASK_WORDS:
+            words: dict[str, dict[str, int]] = defaultdict(dict)
+            for lang, word, n in zip(*(batch[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+                words[lang][word] = n
+            for lang, own in words.items():
+                held[lang].update(_grams(own, order))
+            if sum(map(len, held.values())) > TASK_GRAMS:
                 yield from hand_on()
         yield from hand_on()
 
-    parts = map_columns(train.select("text", "lang"), "lang string, gram string, n long", work)
+    parts = map_columns(count_words(train), "lang string, gram string, n long", work)
     return parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
