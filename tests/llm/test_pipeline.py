@@ -74,4 +74,4 @@ def test_every_query_is_registered():
 
     named = set(entry.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= named
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 14)}
