@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.session import salt_buckets
 
-SKETCH_BITS = 1 << 22  # of each of the two sketches of `mark_first`, half a megabyte
+SKETCH_BITS = 1 << 20  # of each of the two sketches of `mark_first`, an eighth of a megabyte
 
 
 def with_first(
@@ -110,7 +110,7 @@ def mark_first(
     held = firsts.select(taken.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
     held = held.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))).alias("bits"))
     every = df.sparkSession.range(2 * bits // 64).withColumnRenamed("id", "word").join(held, "word", "left")
-    words = every.agg(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("s"))
+    words = every.agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("s"))
     words = words.select(F.col("s")["bits"]).scalar()
     repeated, leading = _bit(slot(keys), words), _bit(slot(order) + F.lit(bits), words)
     sure = F.when(~repeated, True).when(~leading, False)
