@@ -56,6 +56,19 @@ def test_url_rules(spark):
     assert {r["verdict"] for r in url_rules.filter_urls(df, known.limit(0)).collect()} == {"allow"}
 
 
+def test_url_rules_are_those_of_the_contract(spark):
+    """The contract's list word by word, and the query's verdict on every page of the smallest table."""
+    words = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    split = [re.fullmatch(r"(\w+) ([^/]+)(/.*)", w).groups() for w in words.split(", ")]
+    contract = [(host, path, verdict) for verdict, host, path in split]
+    assert contract == queries.URL_RULES
+    folder = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").select("page_id", "url").collect()
+    want = sorted((i, *slow_verdict(u, contract)) for i, u in pages)
+    assert sorted(map(tuple, queries.QUERIES["op5_url_rules"](spark, folder).collect())) == want
+    assert any(r[3:] == ("net/de/", "allow") for r in want)
+
+
 def test_url_filter_runs_no_python(spark):
     known = spark.createDataFrame(queries.URL_RULES, "host string, path string, verdict string")
     df = url_rules.filter_urls(spark.range(5).selectExpr("id page_id", "'http://a.com/en/' url"), known)
