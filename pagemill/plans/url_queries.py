@@ -492,7 +492,8 @@ def _(t):
 
 @query("src_raw_pages", "SELECT url, sha256(url) AS stem, CASE WHEN NOT contains(url, '#top') THEN length(html) END AS chars, CASE WHEN contains(url, '#top') THEN 'missing raw HTML file' END AS error FROM pages WHERE NOT starts_with(url, 'http://')")
 def _(t):
-    saved = F.concat(F.sha2("url", 256), F.lit(".html"))
+    """A URL may have been fetched for several pages; each fetch has its own file."""
+    saved = F.concat(F.sha2("url", 256), F.lit("-"), "page_id", F.lit(".html"))
     status = F.when(url_col().startswith("http://"), "failed").otherwise("success")
     results = t.pages.select("url", status.alias("status"), saved.alias("saved_file"))
     files = t.pages.filter(~F.contains("url", F.lit("#top"))).select(saved.alias("saved_file"), "html")

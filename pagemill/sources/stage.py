@@ -47,7 +47,7 @@ def read_lenient_table(
 def raw_pages(results: DataFrame, files: DataFrame) -> DataFrame:
     """HTML of successful crawl results; a missing file leaves ``html`` null and an ``error``.
 
-    ``results(url, status, saved_file)``, ``files(saved_file, html)``.
+    ``results(url, status, saved_file)``, ``files(saved_file, html)``; names of files do not repeat.
     """
     wanted = results.filter(
         (F.col("status") == "success") & (text_or_empty(F.col("saved_file")) != "")

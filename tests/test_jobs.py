@@ -339,6 +339,32 @@ def test_vector_table_replays_and_upserts(spark):
     assert table.counts().count() == 0  # in place: the same table, not a copy
 
 
+def page_tables(spark, rows, files=1):
+    """A folder with a page table alone, and an SQL connection to it."""
+    import duckdb
+
+    from pagemill.plans import Tables
+
+    folder = scratch_dir(spark, "tables")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.repartitionByRange(files, "page_id").write.parquet(f"{folder}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+    return Tables(spark, folder), con
+
+
+def test_raw_pages_of_one_url_keep_their_own_file(spark):
+    from pagemill.plans import load_all
+
+    rows = [(0, "https://a/x", "one"), (1, "https://a/x", "three"), (2, "https://a/y#top", "z"), (3, "http://a/x", "n"), (4, None, "u")]
+    t, con = page_tables(spark, rows)
+    query = load_all()["src_raw_pages"]
+    want = con.execute(query.sql)
+    names = [d[0] for d in want.description]
+    got = query.build(t).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str) and len(got) == 3
+
+
 # --- streaming ----------------------------------------------------------------------------------------
 
 def page(i, words):
