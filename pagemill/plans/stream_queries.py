@@ -12,21 +12,34 @@ from pagemill.streaming import usage as stream_usage
 from pagemill.streaming.indexer import SiteIndexer
 
 
-def page_files(t, files: int = 2) -> str:
-    """The page table in parts that arrive in id order, so that a stream has ordered batches."""
+def page_files(t, parts: int = 2) -> tuple[str, int]:
+    """The page table in parts that arrive in id order, and the number of files that make a part.
+
+    A batch of so many files is one part, however many tasks have written it: the number of batches and the
+    order of ids between them do not follow the size of the table.
+    """
     path = scratch_dir(t.spark, "page-files")
-    write_page_files(t, path, files)
-    return path
+    return path, write_page_files(t, path, parts)
+
+
+def files_of(t, path: str) -> int:
+    return len(t.spark.read.parquet(path).inputFiles())
 
 
-def write_page_files(t, path: str, parts: int, between=lambda: None) -> None:
-    """Parts are ranges of ids; Spark writes each with as many tasks as it reads."""
-    pages = t.plain("pages")
+def write_page_files(t, path: str, parts: int, between=lambda files: None) -> int:
+    """Parts are ranges of ids; Spark writes the first with as many tasks as it reads, the others in no more files.
+
+    ``between`` is called after each part with the number of files of the first, which is returned.
+    """
+    pages, files = t.plain("pages"), 0
     low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
     part = F.floor((F.col("page_id") - F.lit(low)) * parts / F.lit(high - low + 1))
     for i in range(parts):
-        pages.filter(part == i).write.mode("append").parquet(path)
-        between()
+        rows = pages.filter(part == i)
+        (rows.coalesce(files) if files else rows).write.mode("append").parquet(path)
+        files = files or files_of(t, path)
+        between(files)
+    return files
 
 
 def indexer(t, name: str = "index") -> SiteIndexer:
@@ -43,35 +56,36 @@ _GATED = f"""WITH {PARSED}, probed AS (SELECT page_id, url, content, {_DECLARED}
 
 @query("stream_index", f"{_GATED} SELECT DISTINCT {CANON} AS source_url FROM gated WHERE english")
 def _(t):
-    done = indexer(t).run(page_files(t), files_per_batch=1)
+    done = indexer(t).run(*page_files(t))
     return done.vectors().read().select(F.col("metadata.source_url").alias("source_url")).distinct()
 
 
 @query("stream_resume", f"{_GATED} SELECT DISTINCT {CANON} AS source_url FROM gated WHERE english")
 def _(t):
-    """A run after each of two files, and one more that finds nothing new."""
+    """A run after each of two parts, and one more that finds nothing new."""
     path = scratch_dir(t.spark, "page-files")
     job = indexer(t, "resume")
-    write_page_files(t, path, 2, between=lambda: job.run(path))
+    write_page_files(t, path, 2, between=lambda files: job.run(path, files))
     job.run(path)
     return job.vectors().read().select(F.col("metadata.source_url").alias("source_url")).distinct()
 
 
 @query("stream_force", f"{_GATED} SELECT count(*) FILTER (english) AS english, 1 AS runs FROM gated")
 def _(t):
-    path, job = page_files(t, 1), indexer(t, "force")
-    job.run(path)
-    job.run(path, force=True)  # the same folder, filled anew
-    return job.run(path).summary().select("english", F.col("batches").cast("int").alias("runs"))
+    (path, files), job = page_files(t, 1), indexer(t, "force")
+    job.run(path, files)
+    job.run(path, files, force=True)  # the same folder, filled anew
+    return job.run(path, files).summary().select("english", F.col("batches").cast("int").alias("runs"))
 
 
 @query("stream_url_dedup", f"{_GATED} SELECT url_key FROM once")
 def _(t):
-    """Pages arrive in two files, the second of which repeats the first."""
+    """Pages arrive in two parts, the second of which repeats the first."""
     path = scratch_dir(t.spark, "page-files")
     t.plain("pages").write.parquet(path)
+    files = files_of(t, path)
     t.plain("pages").write.mode("append").parquet(path)
-    done = indexer(t, "dedup").run(path, files_per_batch=1)
+    done = indexer(t, "dedup").run(path, files)
     return done.processed_urls().select("url_key")
 
 
@@ -93,7 +107,7 @@ def _(t):
         return encode
 
     job.load_encoder = counting
-    done = job.run(page_files(t, 2), files_per_batch=1)
+    done = job.run(*page_files(t, 2))
     return done.summary().select(
         "chunks", "embeddings", "cached", F.lit(calls.value).alias("encoder_calls"), F.lit(texts.value).alias("encoded_texts")
     )
@@ -104,9 +118,9 @@ def _(t):
     """A timed trigger instead of draining: the stream stays up and takes what arrives meanwhile."""
     path, job, running = scratch_dir(t.spark, "page-files"), indexer(t, "pause"), []
 
-    def go_on():
+    def go_on(files):
         if not running:
-            running.append(job.start(path, pause="1 second"))
+            running.append(job.start(path, files, pause="1 second"))
         running[0].processAllAvailable()
 
     write_page_files(t, path, 2, between=go_on)
@@ -119,7 +133,7 @@ def _(t):
     f"""{_GATED} SELECT count(*) AS pages, count(*) FILTER (english) AS english, count(*) FILTER (NOT english) AS non_english, 0 AS failed, 0 AS batch FROM gated""",
 )
 def _(t):
-    done = indexer(t, "stats").run(page_files(t, 1))
+    done = indexer(t, "stats").run(*page_files(t, 1))
     return done.stats().select("pages", "english", "non_english", "failed", "batch")
 
 
@@ -128,7 +142,7 @@ def _(t):
     f"""{_GATED} SELECT 'done' AS status, 'website_pages' AS collection_name, count(*) AS crawled_pages, '' AS message FROM gated""",
 )
 def _(t):
-    done = indexer(t, "progress").run(page_files(t, 2), files_per_batch=1)
+    done = indexer(t, "progress").run(*page_files(t, 2))
     return done.progress().select("status", "collection_name", "crawled_pages", "message")
 
 
@@ -137,7 +151,7 @@ def _(t):
     f"""{_GATED} SELECT count(*) AS pages, count(*) FILTER (english) AS english, count(*) FILTER (NOT english) AS non_english, 0 AS failed FROM gated""",
 )
 def _(t):
-    done = indexer(t, "summary").run(page_files(t), files_per_batch=1)
+    done = indexer(t, "summary").run(*page_files(t))
     return done.summary().select("pages", "english", "non_english", "failed")
 
 

@@ -146,7 +146,8 @@ class SiteIndexer:
             kept, F.lit(self.collection), F.lit(self.crawled_at)
         )
         chunks = chunk.chunk_documents(documents, self.chunk_size, self.overlap, gates=self.gates)
-        chunks = chunks.filter(F.col("reason") == "")
+        # written once: what comes next reads the chunks four times
+        chunks = cut_lineage(chunks.filter(F.col("reason") == ""), "chunks")
         cache = self.cache().before(batch)
         embedded = embed.embed_chunks(chunks, cache, self.model, self.dim, load=self.load_encoder).observe(
             stored,

@@ -393,6 +393,17 @@ def test_stream_restart_and_replay_add_nothing(spark):
     assert split_run.progress().first()["status"] == "done"
 
 
+def test_stream_batches_do_not_follow_the_files_of_the_table(spark):
+    from pagemill.plans import stream_queries
+
+    rows = [(i, f"https://a/{i % 30}", PAGE) for i in range(40)]
+    t, _ = page_tables(spark, rows, files=7)
+    assert stream_queries.files_of(t, f"{t.folder}/pages.parquet") == 7
+    path, files = stream_queries.page_files(t)
+    job = SiteIndexer(spark, scratch_dir(spark, "parts"), "site").run(path, files)
+    assert sorted((r["batch"], r["pages"]) for r in job.stats().collect()) == [(0, 20), (1, 10)]
+
+
 def test_stream_retries_pages_that_failed_and_forces_in_place(spark):
     words = "This is a page about the number that it has, with words for the gate and a body of text to index"
     names = "page_id long, url string, html string"
