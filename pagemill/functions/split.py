@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from pagemill import fixed_values as fv
+from pagemill.functions.slices import small_batches
 
 
 def _cut(text: str, separator: str) -> list[str]:
@@ -74,7 +75,7 @@ def split_by_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer()
-        for batch in batches:
+        for batch in small_batches(batches, [text]):
             rows = [_token_windows(t or "", size, overlap, tokenizer) for t in batch.column(text).to_pylist()]
             columns = [*batch.columns, pa.array(rows, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, into])
@@ -103,7 +104,7 @@ def split_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer() if load_tokenizer else None
         width = fv.CHARS_PER_TOKEN
-        for batch in batches:
+        for batch in small_batches(batches, [texts]):
             rows = []
             columns = [batch.column(c).to_pylist() for c in (texts, size, overlap)]
             for items, n, m in zip(*columns):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill import fixed_values as fv
+from pagemill.functions.slices import ROWS
 from pagemill.functions.text import estimate_tokens
 
 
@@ -39,13 +40,14 @@ def explode_windows(df: DataFrame, tokens: Column, size: int, overlap: int) -> D
 def bpe_counter(load: Callable[[], Callable[[list[str]], list[list[int]]]]) -> Callable[[Column], Column]:
     """Token counter from a loader of a batch encoder, e.g. of a byte-pair file on the workers.
 
-    The loader runs once per Python worker; texts arrive in Arrow batches.
+    The loader runs once per Python worker; texts arrive in Arrow batches and are encoded a few hundred at a time.
     """
     @F.pandas_udf(T.IntegerType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = load()
         for batch in batches:
-            yield pd.Series([len(ids) for ids in encode(batch.fillna("").tolist())], dtype="int32")
+            parts = (batch.iloc[at : at + ROWS].fillna("").tolist() for at in range(0, len(batch), ROWS))
+            yield pd.Series([len(ids) for part in parts for ids in encode(part)], dtype="int32")
 
     return count
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from pagemill.functions import dom
+from pagemill.functions.slices import small_batches
 from pagemill.functions.text import let, strip
 from pagemill.functions.urls import normalize_url
 
@@ -69,7 +70,7 @@ def read_pages(
             return {"error": f"{type(exc).__name__}: {exc}"}
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, ["html"]):
             urls = batch.column("url").to_pylist() if "url" in batch.schema.names else [None] * len(batch)
             rows = [read(h, u) for h, u in zip(batch.column("html").to_pylist(), urls)]
             columns = [batch.column(f.name) for f in kept]

@@ -365,6 +365,41 @@ def test_raw_pages_of_one_url_keep_their_own_file(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want.fetchall(), key=str) and len(got) == 3
 
 
+def test_workers_hold_few_rows_at_a_time(spark):
+    import pyarrow as pa
+
+    from pagemill.functions import tokens
+    from pagemill.functions.slices import small_batches
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(1000)), "t": ["x" * 100] * 1000})
+    for size, most in ((1 << 20, 256), (2000, 20), (1, 1)):
+        got = list(small_batches(iter([batch, batch.slice(0, 0)]), ["t"], size=size))
+        assert [i for b in got for i in b.column("i").to_pylist()] == list(range(1000)) and max(map(len, got)) <= most
+        assert len(got[-1]) == 0 and got[-1].schema == batch.schema
+
+    most = spark.sparkContext.accumulator(0)
+
+    def load():
+        def encode(texts):
+            if len(texts) > 256:
+                most.add(1)
+            return [t.split() for t in texts]
+
+        return encode
+
+    def load_model():
+        def score(pairs):
+            if len(pairs) > 256:
+                most.add(1)
+            return [len(a) for a, _ in pairs]
+
+        return score
+
+    df = spark.range(0, 1000, 1, 1).select(F.concat_ws(" ", "id", F.lit("a")).alias("t"))
+    counted = df.select("t", tokens.bpe_counter(load)(F.col("t")).alias("n"), retrieve.pair_scorer(load_model)(F.col("t"), F.col("t")).alias("s"))
+    assert all(r["n"] == 2 and r["s"] == len(r["t"]) for r in counted.collect()) and most.value == 0
+
+
 # --- streaming ----------------------------------------------------------------------------------------
 
 def page(i, words):
