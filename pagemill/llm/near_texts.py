@@ -2,6 +2,9 @@
 
 Texts with one set of shingles are one class and count once in all of this.
 
+0. Each class has a SimHash fingerprint over its shingles.  Fingerprints that differ in at most two bits are found by
+   op2's grid of segment counts; every pair found is checked on whole sets, and what is alike is linked before all else.
+   Texts alike by 0.8 differ in some 8 bits, so the steps below look for what this one cannot reach.
 1. Classes that may have a partner meet in cells, the equal ones of ``BANDS`` bands of ``ROWS`` minima of hash
    functions.  A pair alike by 0.8 shares a cell with probability 0.9993, and nothing below lowers that.
 2. Stars: each class is checked against the pivot that most of its cells name; later rounds draw other pivots and check
@@ -80,12 +83,14 @@ def _key() -> list[Column]:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, text`` to ``doc_id, text_hash, node, size, cells, low``, row for row.
+    """``doc_id, text`` to ``doc_id, text_hash, node, size, fp, cells, low``, row for row.
 
-    ``node`` names the set of shingles, ``low`` has one byte of each minimum; a wordless text has neither cells nor bytes.
+    ``node`` names the set of shingles, ``fp`` is its SimHash, ``low`` has one byte of each minimum; a wordless text has
+    neither cells nor bytes.
     """
+    from pagemill.llm.simhash import fingerprint_of
 
-    @F.arrow_udf("node long, size int, cells array<long>, low binary")
+    @F.arrow_udf("node long, size int, fp long, cells array<long>, low binary")
     def sketch(column: pa.Array) -> pa.Array:
         sets = [shingles(t, words) for t in raw_texts(column)]
         nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets]
@@ -93,10 +98,11 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
         columns = [
             pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64()),
             pa.array([len(s) for s in sets], pa.int32()),
+            pa.array([fingerprint_of(s) for s in sets], pa.int64()),
             pa.array([[] if m is None else cells_of(m) for m in least], pa.list_(pa.int64())),
             pa.array([b"" if m is None else (m >> np.uint64(20)).astype(np.uint8).tobytes() for m in least], pa.binary()),
         ]
-        return pa.StructArray.from_arrays(columns, ["node", "size", "cells", "low"])
+        return pa.StructArray.from_arrays(columns, ["node", "size", "fp", "cells", "low"])
 
     return docs.select(*_key(), sketch("text").alias("s")).select("doc_id", "text_hash", "s.*")
 
@@ -282,14 +288,32 @@ def rare_meetings(members: DataFrame, known: DataFrame, texts: DataFrame, words:
     return pairs, family_links(met.filter(F.col("n") > MEMBERS), rows, similarity)
 
 
+def near_fingerprint_pairs(known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Distinct ``node, size, fp`` to pairs ``a, b`` of classes with fingerprints at most two bits apart.
+
+    Classes of one fingerprint meet the smallest of them; near fingerprints meet by their smallest classes.
+    """
+    from pagemill.llm.simhash import near_fingerprints
+
+    heads = cut_lineage(known.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("head")), "near-fingerprints")
+    a, b = (heads.select(F.col("fp").alias(f"{x}_fp"), F.col("head.node").alias(x), F.col("head.size").alias(f"{x}_size")) for x in "ab")
+    near = near_fingerprints(heads.select("fp")).select(F.col("a").alias("a_fp"), F.col("b").alias("b_fp"))
+    near = near.join(a, "a_fp").join(b, "b_fp").select("a", "a_size", "b", "b_size")
+    same = known.withColumnRenamed("fp", "a_fp").join(a, "a_fp").filter("node <> a")
+    same = same.select("a", "a_size", F.col("node").alias("b"), F.col("size").alias("b_size"))
+    return near.unionByName(same).filter(_sizes_fit(similarity)).select("a", "b").distinct()
+
+
 def links(docs: DataFrame, known: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Pairs ``a, b`` of classes whose sets are alike by ``similarity`` or more, enough to join every component."""
     met = cut_lineage(crowded_cells(known), "near-cells")
-    wanted = known.join(met.select("node").distinct(), "node", "left_semi").select("node", "first.*")
+    near = cut_lineage(near_fingerprint_pairs(known.filter("size > 0"), similarity), "near-simhash")
+    asked = met.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    wanted = known.join(asked, "node", "left_semi").select("node", "first.*")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text")
     same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
     texts = cut_lineage(rows.join(wanted, same).select("node", "text"), "near-wanted")
-    found = docs.sparkSession.createDataFrame([], "a long, b long")
+    found = cut_lineage(alike(near, texts, words, similarity), "near-links")
     for seed in range(STARS + 1):
         components = component_roots(found).withColumnRenamed("root", "component")
         held = cut_lineage(contested(met, components), "near-contested")
@@ -311,7 +335,7 @@ def near_texts(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     """
     marked = cut_lineage(sketches(docs, words), "near-sketches")
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    grouped = marked.groupBy("node").agg(F.min(key).alias("first"), *(F.first(c).alias(c) for c in ("size", "cells", "low")))
+    grouped = marked.groupBy("node").agg(F.min(key).alias("first"), *(F.first(c).alias(c) for c in ("size", "fp", "cells", "low")))
     known = cut_lineage(grouped, "near-distinct")
     roots = component_roots(links(docs, known, words, similarity)).withColumnRenamed("node", "linked")
     rooted = known.join(roots, F.col("node") == F.col("linked"), "left")

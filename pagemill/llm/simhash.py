@@ -39,6 +39,14 @@ def _bits_set(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The SimHash of shingles by their hashes, as a signed long; without any it is zero."""
+    counts = np.zeros(BITS, np.int64)
+    for start in range(0, len(hashes), BLOCK):
+        counts += _bits_set(hashes[start : start + BLOCK])
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big", signed=True)
+
+
 def fingerprint(text: bytes, words: int = WORDS) -> int:
     """The SimHash of UTF-8 text as a signed long: words split at ASCII white space, A-Z lower-cased."""
     found = text.lower().split()
@@ -139,7 +147,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, words: int = near_texts.WORDS, similarity: float = near_texts.SIMILARITY) -> DataFrame:
-    """One row of each component of texts that are alike (``near_texts``) with all its columns; of equal rows one stays."""
+    """One row of each component of texts that are alike with all its columns; of equal rows one stays.
+
+    SimHash fingerprints give the first links, ``near_texts`` checks them and adds what they do not reach.
+    """
     judged = cut_lineage(near_texts.near_texts(docs, words, similarity), "simhash-judged")
     dropped = judged.filter(~F.col("kept")).select("doc_id", "text_hash")
     staying = without_rows(docs, dropped)

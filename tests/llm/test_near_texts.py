@@ -145,3 +145,31 @@ def test_repeated_rows_of_texts_with_partners(spark):
     rows = [(1, text)] * 40 + [(2, changed(rnd, text, 1))] * 40 + [(3, changed(rnd, text, 9))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(df).collect()) == [1, 3]
+
+
+def test_near_fingerprints_give_the_first_links(spark):
+    """SimHash pairs join what plain comparison of all fingerprints joins, and link without any cell of hash minima."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(60):
+        text = " ".join(f"w{rnd.randrange(5000)}" for _ in range(400))
+        rows += [(3 * k, text), (3 * k + 1, changed(rnd, text, 1)), (3 * k + 2, changed(rnd, text, 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = near_texts.sketches(docs).selectExpr("node", "size", "fp", "cells", "low", "struct(doc_id, text_hash) first")
+    nodes = {r["node"]: r for r in known.collect()}
+    names = {r["first"]["doc_id"]: n for n, r in nodes.items()}
+
+    def components(pairs):
+        root = {n: n for n in nodes}
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = {n: low if r == high else r for n, r in root.items()}
+        return root
+
+    near = [(a, b) for a in nodes for b in nodes if a < b and bin((nodes[a]["fp"] ^ nodes[b]["fp"]) & (1 << 64) - 1).count("1") <= 2]
+    pairs = [(r["a"], r["b"]) for r in near_texts.near_fingerprint_pairs(known).collect()]
+    assert len(near) > 20 and components(pairs) == components(near)
+    texts = dict(rows)
+    back = {n: i for i, n in names.items()}
+    found = near_texts.links(docs, known.selectExpr("node", "size", "fp", "cast(array() as array<long>) cells", "low", "first"))
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(a, b) for a, b in pairs if alike(texts[back[a]], texts[back[b]]) >= 0.8}
