@@ -244,7 +244,6 @@ def split_documents(
             "_settings": chunk_settings(F.col("category"), size, overlap),
         }
     )
-    step = step.withColumn("_paras", text.paragraphs(F.col("_text")))
 
     def contextual(items: Column) -> Column:
         return F.transform(
@@ -255,18 +254,20 @@ def split_documents(
             ),
         )
 
-    step = step.withColumns(
-        {
-            "_facts": contextual(facts(F.col("_paras"))),
-            "_sections": contextual(merge_small(sections(F.col("_paras"), F.col("_fallback")))),
-        }
-    )
+    def found(ps: Column) -> Column:
+        merged = contextual(merge_small(sections(ps, F.col("_fallback"))))
+        return let(
+            merged,
+            lambda ss: F.struct(
+                contextual(facts(ps)).alias("_facts"), ss["heading"].alias("_headings"), ss["content"].alias("_texts")
+            ),
+        )
+
     columns = [c for c in documents.columns if c != "content"]
     prepared = step.select(
         *columns,
-        "_facts",
-        F.col("_sections.heading").alias("_headings"),
-        F.col("_sections.content").alias("_texts"),
+        # a generator's columns are worked out once; plain ones would be written out wherever they are used
+        F.inline(F.array(let(text.paragraphs(F.col("_text")), found))),
         F.col("_settings.size").alias("chunk_size"),
         F.col("_settings.overlap").alias("_overlap"),
     )
