@@ -21,6 +21,7 @@ _PLAIN = str.maketrans({
     "ﬅ": "ſt", "ﬆ": "st",
     " ": "\n", " ": "\n", "\x85": "\n",
 })
+_TO_PLAIN = re.compile("[" + "".join(map(chr, _PLAIN)) + "]")
 # fixed values: control characters that carry no text
 _CONTROL = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f﻿￹-￻]")
 
@@ -60,7 +61,10 @@ def _unmix(text: str) -> str:
 def _fix(text: str) -> str:
     if "&" in text and "<" not in text:
         text = html.unescape(text)
-    text = _unmix(text).translate(_PLAIN)
+    if not text.isascii():
+        text = _unmix(text)
+        if _TO_PLAIN.search(text):
+            text = text.translate(_PLAIN)
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     return unicodedata.normalize("NFC", _CONTROL.sub("", text))
 
@@ -87,12 +91,13 @@ def _fix_nfkc_udf(texts: pd.Series) -> pd.Series:
     return texts.map(_settle, na_action="ignore")
 
 
-_PRINTABLE = r"\A[\x20-\x25\x27-\x7e\t\n\f]*\z"
+# ASCII without ampersands, and letters of Latin-1: no rule changes them (the second byte of mixed-up UTF-8 is never one)
+_PLAIN_TEXT = r"\A[\x20-\x25\x27-\x7e\t\n\f\u00c0-\u00ff]*\z"
 
 
 def _where_needed(c: Column, udf) -> Column:
-    # plain ASCII rows stay in the JVM; the UDF sees a null for them
-    needed = F.when(~text_or_empty(c).rlike(_PRINTABLE), c)
+    # plain rows stay in the JVM; the UDF sees a null for them
+    needed = F.when(~text_or_empty(c).rlike(_PLAIN_TEXT), c)
     return F.coalesce(udf(needed), text_or_empty(c))
 
 

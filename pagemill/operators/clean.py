@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill import fixed_values as fv
 from pagemill.functions import text
 from pagemill.functions.repair import normalize_text
-from pagemill.functions.text import let, strip, text_or_empty
+from pagemill.functions.text import let, strip, strip_text, text_or_empty
 from pagemill.operators.dedup import repeats
 from pagemill.session import cut_lineage
 
@@ -31,7 +31,7 @@ def compose_text() -> Column:
     blocks = F.concat(
         F.array(strip(text_or_empty(F.col("title")))),
         F.coalesce(headings, none),
-        F.array(strip(text_or_empty(F.col("content")))),
+        F.array(strip_text(text_or_empty(F.col("content")))),
         F.coalesce(F.transform(F.col("lists"), list_block), none),
         F.coalesce(F.transform(F.col("tables"), table_block), none),
     )
@@ -42,26 +42,28 @@ def add_clean_text(documents: DataFrame) -> DataFrame:
     """Add ``cleaned_content`` and what the cleaning changed."""
     steps = documents.withColumn("_raw", compose_text())
     steps = steps.withColumn("_normal", normalize_text(F.col("_raw")))
-    steps = steps.withColumn(
-        "_lines", text.drop_repeated_lines(text.strip_boilerplate_lines(F.col("_normal")))
-    )
-    steps = steps.withColumn("_paras", text.drop_duplicate_paragraphs(F.col("_lines.text")))
-    return steps.select(
-        *documents.columns,
-        # the text was repaired to a fixed point above; only white space can need another pass
-        text.normalize_whitespace(F.col("_paras.text")).alias("cleaned_content"),
-        (F.col("_normal") != F.col("_raw")).alias("encoding_fixed"),
-        F.col("_lines.removed").alias("repeated_lines_removed"),
-        F.col("_paras.removed").alias("duplicate_paragraphs_removed"),
+
+    def found(lines: Column, paras: Column) -> Column:
+        return F.struct(
+            # the text was repaired to a fixed point above; only white space can need another pass
+            text.normalize_whitespace(paras["text"]).alias("cleaned_content"),
+            (F.col("_normal") != F.col("_raw")).alias("encoding_fixed"),
+            lines["removed"].alias("repeated_lines_removed"),
+            paras["removed"].alias("duplicate_paragraphs_removed"),
+        )
+
+    done = let(
+        text.drop_repeated_lines(text.strip_boilerplate_lines(F.col("_normal"))),
+        lambda lines: let(text.drop_duplicate_paragraphs(lines["text"]), lambda paras: found(lines, paras)),
     )
+    # a generator's columns are worked out once; plain ones would be written out wherever they are used
+    return steps.select(*documents.columns, F.inline(F.array(done)))
 
 
 def reject_reason(cleaned: Column) -> Column:
-    n = F.length(strip(text_or_empty(cleaned)))
-    return (
-        F.when(n == 0, fv.REJECT_EMPTY_DOCUMENT)
-        .when(n < fv.MIN_CONTENT_CHARS, fv.REJECT_SHORT_DOCUMENT)
-        .otherwise("")
+    return let(
+        F.length(strip_text(text_or_empty(cleaned))),
+        lambda n: F.when(n == 0, fv.REJECT_EMPTY_DOCUMENT).when(n < fv.MIN_CONTENT_CHARS, fv.REJECT_SHORT_DOCUMENT).otherwise(""),
     )
 
 
@@ -88,12 +90,13 @@ def drop_duplicates(documents: DataFrame, order: str = "pos") -> DataFrame:
 
 
 def clean_documents(
-    parsed: DataFrame, gates: bool = True, materialize: bool = True
+    parsed: DataFrame, gates: bool = True, materialize: bool = True, keep_content: bool = True
 ) -> DataFrame:
     """Parsed documents (with 1-based ``pos``) to accepted and rejected ones, told by ``reason``.
 
     ``gates`` switches the length and duplicate rejects (off on the incremental path).  The cleaned
-    text is written once, before the rejects and the duplicate check read it several times.
+    text is written once, before the rejects and the duplicate check read it several times; ``keep_content``
+    tells whether the text as parsed is kept beside it.
     """
     cleaned = add_clean_text(parsed).select(
         "pos",
@@ -107,17 +110,17 @@ def clean_documents(
         "repeated_lines_removed",
         "duplicate_paragraphs_removed",
     )
-    if materialize:
-        # the text is written with its fingerprint, so that later steps read no more than they need
-        mark = text.fingerprint(F.col("cleaned_content"))
-        cleaned = cut_lineage(cleaned.withColumn("fingerprint", mark) if gates else cleaned, "cleaned")
-    cleaned = cleaned.withColumn("content_length", F.length("cleaned_content"))
+    cleaned = cleaned if keep_content else cleaned.drop("content")
+    reason = reject_reason(F.col("cleaned_content"))
     if not gates:
         empty = strip(F.col("cleaned_content")) == ""
         reason = F.when(empty, F.lit(fv.REJECT_EMPTY_DOCUMENT)).otherwise("")
-        return cleaned.withColumns({"reason": reason, "duplicate_of": F.lit("")})
-    judged = cleaned.withColumn("reason", reject_reason(F.col("cleaned_content")))
-    return drop_duplicates(judged)
+    cleaned = cleaned.withColumns({"content_length": F.length("cleaned_content"), "reason": reason})
+    if materialize:
+        # the text is written with all that is told from it, so that later steps read no more than they need
+        mark = text.fingerprint(F.col("cleaned_content"))
+        cleaned = cut_lineage(cleaned.withColumn("fingerprint", mark) if gates else cleaned, "cleaned")
+    return drop_duplicates(cleaned) if gates else cleaned.withColumn("duplicate_of", F.lit(""))
 
 
 def accepted(documents: DataFrame) -> DataFrame:

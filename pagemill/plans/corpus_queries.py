@@ -194,7 +194,7 @@ def as_parsed(t):
 
 
 def cleaned(t):
-    return clean.clean_documents(as_parsed(t))
+    return clean.clean_documents(as_parsed(t), keep_content=False)
 
 
 _LINE = sql.strip("l")
