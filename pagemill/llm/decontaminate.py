@@ -37,7 +37,7 @@ from pagemill.llm.batches import map_columns, texts, without_rows
 WINDOW, SHORTEST, MIN_SHARE = 8, 5, 0.25
 SCREEN_ROWS = 2_000_000  # 16 MB
 KEPT_SURFACES = 400_000  # a worker's memory of tokens; it is emptied when full
-_TOKEN = re.compile(r"[.!?\n]|\d+(?:[.,]\d+)*|[^\W\d_]+|[%€$£]")
+_TOKEN = re.compile(r"[a-zA-Z]++[^\W\d_]*+|[.!?\n]|\d++(?:[.,]\d+)*+|[^\W\d_]++|[%€$£]")  # runs of letters, the most common first
 
 # Units that count as one behind a number
 UNITS = frozenset(
@@ -54,22 +54,23 @@ class Tokens(dict):
     """Surface form to a 64-bit hash whose last three bits say the kind; computed once per form."""
 
     def __missing__(self, surface: str) -> int:
+        low = surface.lower()
         if surface in ".!?\n":
             kind = _END
         elif surface[0].isdigit():
             kind = _NUMBER
-        elif surface.lower() in UNITS:
+        elif low in UNITS:
             kind = _UNIT
         elif surface[0].isupper() and surface[1:].islower():
             kind = _CAPITAL
         else:
             kind = _LITERAL
-        self[surface] = code = xxhash.xxh64_intdigest(surface.lower()) & ~7 | kind
+        self[surface] = code = xxhash.xxh64_intdigest(low) & ~7 | kind
         return code
 
 
-def template(text: str, known: Tokens) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
-    """Codes of the template's tokens, which of them are placeholders, and the tokens themselves.
+def template(text: str, known: Tokens) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the template's tokens, which of them are placeholders, all tokens, and where the template's are among these.
 
     Then the codes of the tokens as words, and which tokens begin a sentence with a capital.
     """
@@ -88,52 +89,78 @@ def template(text: str, known: Tokens) -> tuple[np.ndarray, np.ndarray, list[str
         kinds[0] = _LITERAL
     slots = kinds != _LITERAL
     words = codes | np.uint64(7)
-    surfaces = [found[i] for i in kept] if slots.any() or opening.any() else []
-    return np.where(slots, _SLOTS[kinds], words), slots, surfaces, words, opening
+    return np.where(slots, _SLOTS[kinds], words), slots, found, kept, words, opening
 
 
-def window_hashes(codes: np.ndarray, size: int, first: np.ndarray | None = None) -> np.ndarray:
-    """Hashes of the windows; ``first`` has other codes for their first tokens."""
-    out = (codes if first is None else first)[: max(0, len(codes) - size + 1)]
+def _mixed(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed ^ (mixed >> np.uint64(31))) + codes
+
+
+def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows."""
+    out = codes[: max(0, len(codes) - size + 1)].copy()
+    for k in range(1, size):
+        out = _mixed(out, codes[k : k + len(out)])
+    return out
+
+
+def hashes_at(places: np.ndarray, codes: np.ndarray, size: int, first: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of the windows at ``places``; ``first`` has other codes for their first tokens."""
+    out = codes[places] if first is None else first
     for k in range(1, size):
-        mixed = out * np.uint64(0x9E3779B97F4A7C15)
-        out = (mixed ^ (mixed >> np.uint64(31))) + codes[k : k + len(out)]
+        out = _mixed(out, codes[places + k])
     return out
 
 
-def windows(text: str, known: Tokens, sizes: list[int], screen: np.ndarray | None) -> Iterator[tuple]:
+class Screen:
+    """Sorted hashes; a table of their first bits turns most others away before the search."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        bits = min(24, max(16, len(hashes).bit_length() + 4))
+        self.shift, self.table = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.table[hashes >> self.shift] = True
+
+    def places(self, values: np.ndarray) -> np.ndarray:
+        """Where ``values`` are among the hashes."""
+        likely = np.nonzero(self.table[values >> self.shift])[0]
+        if not len(likely):
+            return likely
+        wanted = values[likely]
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return likely[self.hashes[at] == wanted]
+
+
+def windows(text: str, known: Tokens, sizes: list[int], screen: Screen | None) -> Iterator[tuple]:
     """``size, hash, position, slot values, exact`` of the windows that could match.
 
     A window of more placeholders than words is ``exact``: its hash is that of its tokens with their values.  One that
     begins a sentence with a capital comes as a word and as a name, since inside a sentence it would be a name.
     """
-    codes, slots, found, words, opening = template(text, known)
+    codes, slots, found, kept, words, opening = template(text, known)
     before = np.concatenate([[0], np.cumsum(slots)])
     for size in sizes:
         if len(codes) < size or (size < SHORTEST and len(codes) != size):
             continue
         n_slots = before[size:] - before[:-size]
         heavy = n_slots * 2 > size
-        plain = window_hashes(words, size) ^ _EXACT if heavy.any() or opening.any() else None
         hashes = window_hashes(codes, size)
-        kinds = [(hashes if plain is None else np.where(heavy, plain, hashes), heavy, np.ones(len(hashes), bool), False)]
-        starts = opening[: len(hashes)] & ~heavy
-        if starts.any():
-            crowded = (n_slots + 1) * 2 > size
-            named = window_hashes(codes, size, np.where(opening, _SLOTS[_CAPITAL], codes))
-            kinds.append((np.where(crowded, plain, named), crowded, starts, True))
-        for hashes, exact, fits, as_name in kinds:
-            if screen is not None:
-                fits = fits & _in_sorted(hashes, screen)
-            for i in np.nonzero(fits)[0].tolist():
-                values = [found[j].lower() for j in range(i, i + size) if slots[j] or (as_name and j == i)] if found else []
-                yield size, int(hashes[i].astype(np.int64)), i, values, bool(exact[i])
-
-
-def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(values), bool)
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+        full = np.nonzero(heavy)[0]
+        if len(full):
+            hashes[full] = hashes_at(full, words, size) ^ _EXACT
+        kinds = [(np.arange(len(hashes)), hashes, heavy, False)]
+        starts = np.nonzero(opening[: len(hashes)] & ~heavy)[0]
+        if len(starts):
+            crowded = (n_slots[starts] + 1) * 2 > size
+            named = hashes_at(starts, codes, size, np.full(len(starts), _SLOTS[_CAPITAL]))
+            named[crowded] = hashes_at(starts[crowded], words, size) ^ _EXACT
+            kinds.append((starts, named, crowded, True))
+        for places, hashes, exact, as_name in kinds:
+            for i in (range(len(hashes)) if screen is None else screen.places(hashes).tolist()):
+                at = int(places[i])
+                values = [found[kept[j]].lower() for j in range(at, at + size) if slots[j] or (as_name and j == at)]
+                yield size, int(hashes[i].astype(np.int64)), at, values, bool(exact[i])
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -165,11 +192,11 @@ def document_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW) ->
         screen = docs.sparkSession.sparkContext.broadcast(np.sort(hashes.view(np.uint64)))
 
     def work(batches: Iterator[dict[str, pa.Array]]) -> Iterator[dict]:
-        known = Tokens()
+        known, sought = Tokens(), screen and Screen(screen.value)
         for batch in batches:
             rows, ids, hashes = [], batch["doc_id"].to_pylist(), batch["text_hash"].to_pylist()
             for i, text in enumerate(texts(batch["text"])):
-                for found in windows(text, known, sizes, screen and screen.value):
+                for found in windows(text, known, sizes, sought):
                     rows.append((ids[i], hashes[i], *found[:4]))
             names = ("doc_id", "text_hash", "size", "hash", "position", "values")
             yield {name: [r[k] for r in rows] for k, name in enumerate(names)}

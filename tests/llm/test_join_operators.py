@@ -146,6 +146,25 @@ def test_decontamination_matches_all_windows(spark, monkeypatch):
         assert {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(docs, benchmark).collect()} == want
 
 
+def test_windows_are_hashed_once_and_screened(monkeypatch):
+    """Words and names are worked out only where they are asked; a screen gives what it has of all windows."""
+    hashed = []
+    whole = decontaminate.window_hashes
+    monkeypatch.setattr(decontaminate, "window_hashes", lambda *a: hashed.append(1) or whole(*a))
+    text = " ".join([RENAMED, "Sum. Seven 1 2 3 4 5 6 kg 8 9. Tom Miller buys", ITEM, "It's 3.5 kg, \u00c9t\u00e9 caf\u00e9s. An Old End"])
+    known, sizes = decontaminate.Tokens(), [1, 5, 8]
+    every = list(decontaminate.windows(text, known, [5, 8], None))
+    assert len(hashed) == 2 and {w[4] for w in every} == {True, False}
+    words, slots = (decontaminate.template(text, known)[i] for i in (4, 1))
+    plain = whole(words, 8) ^ decontaminate._EXACT
+    exact = {w[2]: w[1] for w in every if w[0] == 8 and w[4]}
+    assert exact == {i: int(plain.view(np.int64)[i]) for i in exact} and slots.any()
+    for part in ([], every[::7], every):
+        wanted = np.unique(np.array([w[1] for w in part], np.int64).view(np.uint64))
+        got = list(decontaminate.windows(text, known, sizes, decontaminate.Screen(wanted)))
+        assert got == [w for w in every if np.uint64(w[1] & 0xFFFFFFFFFFFFFFFF) in wanted]
+
+
 # --- order MinHash -------------------------------------------------------------------------------------------
 
 
