@@ -16,6 +16,7 @@ from pagemill.llm.queries import tokenizer_file
 from pagemill.session import cut_lineage
 
 PIECE_MODEL = "piece_bpe_32k.model"
+PIECE_WORDS = 40_000_000  # bytes of words that a worker keeps: it lives on, and the other stages need the memory
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,8 @@ def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The documents with their piece ids and whether decoding gives the text back."""
     prepare(spark)
     model = tokenizer_file(PIECE_MODEL)
-    encoded = docs.withColumn("piece_ids", pieces.encode_pieces("text", model))
-    return encoded.withColumn("round_trip", pieces.decode_pieces("piece_ids", model).eqNullSafe(F.col("text")))
+    encoded = docs.withColumn("piece_ids", pieces.encode_pieces("text", model, PIECE_WORDS))
+    return encoded.withColumn("round_trip", pieces.decode_pieces("piece_ids", model, PIECE_WORDS).eqNullSafe(F.col("text")))
 
 
 STAGES = [

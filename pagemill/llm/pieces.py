@@ -43,7 +43,7 @@ codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
 class PieceModel:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept_bytes: int = KEPT_BYTES) -> None:
         from sentencepiece import SentencePieceProcessor
 
         source = SentencePieceProcessor(model_file=path)
@@ -69,7 +69,7 @@ class PieceModel:
         self.kind = np.dtype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
         self.splitter = self._splitter()
         self.words: dict[str, bytes] = {}
-        self.held = 0  # bytes of these
+        self.held, self.kept_bytes = 0, kept_bytes  # bytes of these
         self.pairs: dict[tuple[str, str], bool] = {}
         self.codes: dict[str, bytes] = {}
 
@@ -187,7 +187,7 @@ class PieceModel:
         return b"".join(reversed(found))
 
     def encode(self, many: list[str]) -> list[np.ndarray]:
-        if self.held > KEPT_BYTES:
+        if self.held > self.kept_bytes:
             self.words.clear()
             self.held = 0
         split = [self.split(t) for t in many]
@@ -202,16 +202,19 @@ class PieceModel:
 
 
 @lru_cache(maxsize=2)
-def load_model(path: str) -> PieceModel:
-    return PieceModel(path)
+def load_model(path: str, kept_bytes: int = KEPT_BYTES) -> PieceModel:
+    return PieceModel(path, kept_bytes)
 
 
-def encode_pieces(text: Column | str, model_path: str) -> Column:
-    """The ids of a text."""
+def encode_pieces(text: Column | str, model_path: str, kept_bytes: int = KEPT_BYTES) -> Column:
+    """The ids of a text.
+
+    A worker lives on between tasks and remembers its words, up to ``kept_bytes``; other stages of a job lack that memory.
+    """
 
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
-        found = load_model(model_path).encode(texts(column))
+        found = load_model(model_path, kept_bytes).encode(texts(column))
         lengths = np.array([len(f) for f in found], np.int32)
         offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
         values = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)
@@ -221,12 +224,12 @@ def encode_pieces(text: Column | str, model_path: str) -> Column:
     return encode(text)
 
 
-def decode_pieces(ids: Column | str, model_path: str) -> Column:
-    """The text of ids."""
+def decode_pieces(ids: Column | str, model_path: str, kept_bytes: int = KEPT_BYTES) -> Column:
+    """The text of ids; with the ``kept_bytes`` of ``encode_pieces`` both share one model."""
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        model, values, ends = load_model(model_path), column.values.to_numpy(), column.offsets.to_numpy().tolist()
+        model, values, ends = load_model(model_path, kept_bytes), column.values.to_numpy(), column.offsets.to_numpy().tolist()
         missing = column.is_null().to_pylist()
         rows = zip(missing, ends[:-1], ends[1:], strict=True)
         return pa.array([None if gone else model.decode(values[a:b].tolist()) for gone, a, b in rows], pa.string())

@@ -153,6 +153,18 @@ def test_piece_rows(docs, nothing):
     assert nothing.select(pieces.encode_pieces("text", path)).count() == 0
 
 
+def test_a_worker_keeps_no_more_words_than_asked(docs):
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    small, large = pieces.PieceModel(path, 20_000), pieces.PieceModel(path)
+    for i in range(40):
+        batch = [f"word{i}x{k} and more" for k in range(10)]
+        assert [x.tolist() for x in small.encode(batch)] == [x.tolist() for x in large.encode(batch)]
+    assert small.held < 30_000 < large.held
+    ids = pieces.encode_pieces("text", path, 20_000)
+    back = pieces.decode_pieces(ids, path, 20_000).eqNullSafe(pieces.decode_pieces(pieces.encode_pieces("text", path), path))
+    assert docs.filter(~back | ~ids.eqNullSafe(pieces.encode_pieces("text", path))).count() == 0
+
+
 # --- language models -----------------------------------------------------------------------------------------
 
 
