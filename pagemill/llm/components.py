@@ -1,16 +1,19 @@
 """Connected components of a graph given as edges, by alternating star contraction.
 
 Every round writes its edges to the shared folder, so lineage stays short and a lost executor costs one
-round.  Nothing is collected but two counts per round.  A node with very many neighbours is met by
-aggregates that combine on the map side (its smallest neighbour), never as one list.
+round; what the round before wrote is removed.  Nothing is collected but two counts per round.  A node with
+very many neighbours is met by aggregates that combine on the map side (its smallest neighbour), never as
+one list.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.session import cut_lineage
+from pagemill.session import delete_paths, scratch_dir, shuffles_dropped, stored
 
 
 def _linked_to_smallest(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -38,11 +41,14 @@ def component_roots(edges: DataFrame) -> DataFrame:
     """
     a, b = F.col("a"), F.col("b")
     current = edges.filter("a <> b").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    current = cut_lineage(current, "components")
+    spark, home = edges.sparkSession, scratch_dir(edges.sparkSession, "components")
+    current = stored(current, f"{home}/0")
     before = None
-    while True:
-        after = cut_lineage(_linked_to_smallest(_linked_to_smallest(current, True), False), "components")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    for turn in count(1):
+        after = stored(_linked_to_smallest(_linked_to_smallest(current, True), False), f"{home}/{turn}")
+        delete_paths(spark, f"{home}/{turn - 1}")
+        with shuffles_dropped(spark):
+            state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
         current, before = after, state
