@@ -46,9 +46,10 @@ def secrets_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their piece ids and whether decoding gives the text back."""
     prepare(spark)
-    model = tokenizer_file(PIECE_MODEL)
-    encoded = docs.withColumn("piece_ids", pieces.encode_pieces("text", model, PIECE_WORDS))
-    return encoded.withColumn("round_trip", pieces.decode_pieces("piece_ids", model, PIECE_WORDS).eqNullSafe(F.col("text")))
+    found = pieces.encode_and_decode("text", tokenizer_file(PIECE_MODEL), PIECE_WORDS)
+    pieced = docs.withColumn("_pieces", found)
+    columns = {"piece_ids": F.col("_pieces.ids"), "round_trip": F.col("_pieces.decoded").eqNullSafe(F.col("text"))}
+    return pieced.withColumns(columns).drop("_pieces")
 
 
 STAGES = [

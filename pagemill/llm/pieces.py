@@ -214,16 +214,18 @@ def encode_pieces(text: Column | str, model_path: str, kept_bytes: int = KEPT_BY
 
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
-        found = load_model(model_path, kept_bytes).encode(texts(column))
-        lengths = np.array([len(f) for f in found], np.int32)
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-        values = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)
-        missing = column.is_null()
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=missing)
+        return _ids_array(load_model(model_path, kept_bytes).encode(texts(column)), column.is_null())
 
     return encode(text)
 
 
+def _ids_array(found: list[np.ndarray], missing: pa.Array) -> pa.Array:
+    lengths = np.array([len(f) for f in found], np.int32)
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=missing)
+
+
 def decode_pieces(ids: Column | str, model_path: str, kept_bytes: int = KEPT_BYTES) -> Column:
     """The text of ids; with the ``kept_bytes`` of ``encode_pieces`` both share one model."""
 
@@ -235,3 +237,21 @@ def decode_pieces(ids: Column | str, model_path: str, kept_bytes: int = KEPT_BYT
         return pa.array([None if gone else model.decode(values[a:b].tolist()) for gone, a, b in rows], pa.string())
 
     return decode(ids)
+
+
+def encode_and_decode(text: Column | str, model_path: str, kept_bytes: int = KEPT_BYTES) -> Column:
+    """A struct of the ``ids`` of a text and what they decode to, ``decoded``.
+
+    Spark works ``decode_pieces`` of a column of ``encode_pieces`` out as one chain beside that column, so that
+    every text is encoded twice; here it is encoded once.
+    """
+
+    @F.arrow_udf("ids array<int>, decoded string")
+    def both(column: pa.Array) -> pa.Array:
+        model, missing = load_model(model_path, kept_bytes), column.is_null()
+        found = model.encode(texts(column))
+        rows = zip(found, missing.to_pylist(), strict=True)
+        decoded = pa.array([None if gone else model.decode(ids.tolist()) for ids, gone in rows], pa.string())
+        return pa.StructArray.from_arrays([_ids_array(found, missing), decoded], ["ids", "decoded"])
+
+    return both(text)

@@ -4,8 +4,10 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import language_models, pieces, queries, secret_scan, token_counts, url_rules
 from pagemill.llm.batches import prepare
@@ -153,6 +155,19 @@ def test_piece_rows(docs, nothing):
     assert nothing.select(pieces.encode_pieces("text", path)).count() == 0
 
 
+def test_each_text_is_encoded_once(spark, docs, nothing):
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    ids = pieces.encode_pieces("text", path)
+    found = docs.select(pieces.encode_and_decode("text", path).alias("s"), ids.alias("ids"), pieces.decode_pieces(ids, path).alias("back"))
+    assert found.filter(~F.col("s.ids").eqNullSafe(F.col("ids")) | ~F.col("s.decoded").eqNullSafe(F.col("back"))).count() == 0
+    assert nothing.select(pieces.encode_and_decode("text", path)).count() == 0
+    folder = "/root/testdata/sf0.001"
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    for df in (queries.QUERIES["op1_sentencepiece"](spark, folder), corpus_pipeline.sentence_pieces(spark, documents, folder)):
+        (asked,) = re.findall(r"ArrowEvalPython \[(.*?)\], \[", df._jdf.queryExecution().executedPlan().toString())
+        assert len(re.findall(r"\(text#", asked)) == 1
+
+
 def test_a_worker_keeps_no_more_words_than_asked(docs):
     path = queries.tokenizer_file("piece_bpe_32k.model")
     small, large = pieces.PieceModel(path, 20_000), pieces.PieceModel(path)
