@@ -319,6 +319,21 @@ def test_rerank_and_confidence_edges(spark):
     assert all(0 <= r["confidence"] <= 1 for r in c.values())
 
 
+def test_factors_are_all_five(spark, tmp_path):
+    """The reference tells five factors; a chunk that refuses lowers ``answerability``."""
+    from pagemill.plans import Tables, load_all
+
+    said = ["Plain words on the first thing.", "We Cannot Answer this one.", "Plain words on the third thing."]
+    docs = [(i, said[i], "en", "src", len(said[i])) for i in range(3)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    vecs = [(0, [1.0, 0.0], 0), (1, [0.9, 0.1], 0), (2, [1.0, 0.0], 1)]
+    spark.createDataFrame(vecs, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rows = load_all()["conf_factors_pct"].build(Tables(spark, str(tmp_path))).collect()
+    got = {r["question_id"]: r.asDict() for r in rows}
+    assert {q: (r.get("answerability"), r["grounding"]) for q, r in got.items()} == {"0": (50.0, 50.0), "1": (50.0, 50.0), "2": (100.0, 33.33)}
+    assert set(got["0"]) == {"question_id", "semantic", "rerank", "top_score", "answerability", "grounding"}
+
+
 def test_vector_table_replays_and_upserts(spark):
     def batch(pairs):
         meta = F.struct(*[F.lit("m").alias(f) for f in ("chunk_id", "document_id", "source_url", "title", "category", "heading", "source_type")], F.lit("c").alias("collection"))
