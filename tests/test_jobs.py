@@ -97,6 +97,14 @@ def test_bad_pages_do_not_fail_the_job(spark):
     assert [r["link"] for r in links] == ["http://a.b/x", "http://a.b/c/y/z"]
 
 
+def test_open_comments_and_unknown_sections_are_no_text_and_no_error(spark):
+    words = "<p>" + "word " * 100 + "</p>"
+    htmls = ["<body><![foo bar]>" + words, "<body><p>x</p><!-- " + words, "<body><p>x</p><!-->" + words, "<body>" + words + "<![x y", "<body>x<!-- a --!>" + words]
+    df = spark.createDataFrame(list(enumerate(htmls)), "i int, html string")
+    rows = {r["i"]: (r["needs_render"], r["error"], r["visible_text"][:3]) for r in pages.read_pages(df, ["needs_render", "visible_text"]).collect()}
+    assert rows == {0: (False, None, "wor"), 1: (True, None, "x"), 2: (False, None, "x w"), 3: (False, None, "wor"), 4: (False, None, "x w")}
+
+
 def test_robots_and_sitemaps(spark):
     body = "User-agent: badbot\nDisallow: /\n\nUser-agent: *\nAllow: /a/ok\nDisallow: /a\nDisallow:\nSITEMAP: https://h/s.xml\n"
     rules = robots.robots_rules(spark.createDataFrame([("h", body), ("g", "")], "host string, body string"))
